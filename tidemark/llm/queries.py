@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import mixing, quality, token_files
 
-QUERIES = {"op5_quality_rules": quality.op5_quality_rules}
+QUERIES = {
+    "op5_quality_rules": quality.op5_quality_rules,
+    "op9_token_files": token_files.op9_token_files,
+    "op10_mixing": mixing.op10_mixing,
+}
 SQL = {"op5_quality_rules": quality.OP5_SQL}

@@ -96,24 +96,41 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), bounds
 
 
-def groups(column: pa.Array, limit: int = GROUP) -> Iterator[Group]:
-    """The words of a string column, in groups of whole texts; every row is in one group."""
+@dataclass
+class Bytes:
+    """Some whole texts: first is the row of the first in its batch; text i is data[bounds[i]:bounds[i + 1]]."""
+
+    first: int
+    bounds: np.ndarray
+    data: np.ndarray
+
+    @property
+    def n_docs(self) -> int:
+        return len(self.bounds) - 1
+
+
+def byte_groups(column: pa.Array, limit: int = GROUP) -> Iterator[Bytes]:
+    """A string column in groups of whole texts of about limit bytes; every row is in one group."""
     data, bounds = utf8(column)
     a, n = 0, len(bounds) - 1
     while a < n:
         b = max(a + 1, int(np.searchsorted(bounds, bounds[a] + limit, "right")) - 1)
-        at = bounds[a : b + 1] - bounds[a]
-        part = data[bounds[a] : bounds[b]]
-        inside = ~SPACE[part]
-        edge = np.zeros(len(part) + 1, bool)
-        edge[at] = True
-        before, after = np.ones(len(part), bool), np.ones(len(part), bool)
+        yield Bytes(a, bounds[a : b + 1] - bounds[a], data[bounds[a] : bounds[b]])
+        a = b
+
+
+def groups(column: pa.Array, limit: int = GROUP) -> Iterator[Group]:
+    """The same with the words found."""
+    for g in byte_groups(column, limit):
+        inside = ~SPACE[g.data]
+        edge = np.zeros(len(g.data) + 1, bool)
+        edge[g.bounds] = True
+        before, after = np.ones(len(g.data), bool), np.ones(len(g.data), bool)
         before[1:] = ~inside[:-1]
         after[:-1] = ~inside[1:]
         start = np.flatnonzero(inside & (before | edge[:-1]))
         end = np.flatnonzero(inside & (after | edge[1:])) + 1
-        yield Group(a, at, part, start, end, np.searchsorted(at, start, "right") - 1)
-        a = b
+        yield Group(g.first, g.bounds, g.data, start, end, np.searchsorted(g.bounds, start, "right") - 1)
 
 
 def per_doc(values: np.ndarray | None, doc: np.ndarray, n: int) -> np.ndarray:

@@ -2,9 +2,10 @@
 
 Every source gets a target number of words; a row of it then wants
 target / source size copies. The whole part is given; the fractional parts of
-a source are rounded by pivotal steps: two rows exchange probability until one of them
-is 0 or 1. A step keeps every row's expectation and the sum of the probabilities. Rows
-meet in order of their sizes, so mass moves between rows of like size and the words taken stay near the target.
+a source are rounded by pivotal steps: two rows exchange probability, with their sizes
+as exchange rate, until one of them is 0 or 1. A step keeps every row's expectation
+and the sum of size times probability, so what a source takes differs from its target
+by less than its last undecided row.
 
 Rows are dealt to buckets of about ``BUCKET`` rows by a hash of their content, so a large
 source is spread over many tasks. Each bucket leaves one undecided row at most; these
@@ -61,13 +62,13 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float =
     return share.select("source", "source_size", F.when(F.col("held"), F.col("most")).otherwise(free).alias("target"))
 
 
-def pivotal(p: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, int]:
+def pivotal(size: np.ndarray, p: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, int]:
     """Rounds p in the given order; returns p and the place of the one row that is still fractional, or -1.
 
-    Of two fractional rows with a sum below 1 one gets the sum and the other 0; else one gets 1 and the other the rest.
-    Which is which is drawn so that expectations stay.
+    Two fractional rows exchange size times probability until one of them has probability 0 or 1;
+    the two directions are drawn in inverse proportion to their lengths, so expectations stay.
     """
-    p = p.astype(float).tolist()
+    size, p = size.astype(float).tolist(), p.astype(float).tolist()
     at = -1
     for j, u in enumerate(rng.random(len(p)).tolist()):
         if not EXACT < p[j] < 1.0 - EXACT:
@@ -76,17 +77,17 @@ def pivotal(p: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, int]:
         if at < 0:
             at = j
             continue
-        both = p[at] + p[j]
-        if both < 1.0:
-            win, lose = (at, j) if u * both < p[at] else (j, at)
-            p[win], p[lose] = both, 0.0
-        else:
-            win, lose = (at, j) if u * (2.0 - both) < 1.0 - p[j] else (j, at)
-            p[win], p[lose], win = 1.0, both - 1.0, lose
-        if EXACT < p[win] < 1.0 - EXACT:
-            at = win
-        else:
-            p[win], at = float(round(p[win])), -1
+        i = at
+        up = min((1.0 - p[i]) * size[i], p[j] * size[j])
+        down = min(p[i] * size[i], (1.0 - p[j]) * size[j])
+        moved = up if u * (up + down) < down else -down
+        p[i], p[j] = p[i] + moved / size[i], p[j] - moved / size[j]
+        at = -1
+        for k in (i, j):
+            if EXACT < p[k] < 1.0 - EXACT:
+                at = k
+            else:
+                p[k] = float(round(p[k]))
     return np.array(p), at
 
 
@@ -121,7 +122,7 @@ def copies(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = C
 
     def level0(t: pa.Table) -> pa.Table:
         t = t.take(np.lexsort((t["mix_key"].to_numpy(), -t["piece_size"].to_numpy())))
-        p, at = pivotal(t["part"].to_numpy(), _rng(seed, t["source_key"][0].as_py(), t["source_key"][0].as_py() >> 32, 0, t["bucket"][0].as_py()))
+        p, at = pivotal(t["piece_size"].to_numpy(), t["part"].to_numpy(), _rng(seed, t["source_key"][0].as_py(), t["source_key"][0].as_py() >> 32, 0, t["bucket"][0].as_py()))
         return t.set_column(t.schema.get_field_index("part"), "part", pa.array(p))
 
     first = stored(dealt.groupBy("source_key", "bucket").applyInArrow(level0, dealt.schema), "mix-level-0")
@@ -136,7 +137,7 @@ def copies(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = C
             def step(t: pa.Table, level: int = level, last: bool = level == levels) -> pa.Table:
                 t = t.sort_by([("piece_size", "descending"), ("bucket", "ascending")])
                 rng = _rng(seed, t["source_key"][0].as_py(), t["source_key"][0].as_py() >> 32, level, t["node"][0].as_py())
-                p, at = pivotal(t["part"].to_numpy(), rng)
+                p, at = pivotal(t["piece_size"].to_numpy(), t["part"].to_numpy(), rng)
                 if last and at >= 0:
                     p[at] = float(rng.random() < p[at])
                 return t.set_column(t.schema.get_field_index("part"), "part", pa.array(p))

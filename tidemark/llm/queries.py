@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing, quality, token_files
+from . import chat, mixing, quality, token_files, warc
 
 QUERIES = {
     "op5_quality_rules": quality.op5_quality_rules,
+    "op6_warc": warc.op6_warc,
+    "op8_chat": chat.op8_chat,
     "op9_token_files": token_files.op9_token_files,
     "op10_mixing": mixing.op10_mixing,
 }

@@ -23,12 +23,11 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import words
+from . import store, words
 from .tables import place, table
 
 MAGIC = b"TIDEIDS1"
@@ -146,19 +145,6 @@ class WordEncoder:
 _encoders: dict[str, WordEncoder] = {}
 
 
-def _store(uri: str) -> tuple[pafs.FileSystem, str]:
-    fs, path = pafs.FileSystem.from_uri(uri)
-    return fs, path.rstrip("/")
-
-
-def _commit(fs: pafs.FileSystem, path: str, name: str, content: bytes) -> None:
-    """Whole under a temporary name, then renamed: a task that is lost or runs twice leaves no half file."""
-    temp = f"{path}/.{name}.{TaskContext.get().taskAttemptId() if TaskContext.get() else 0}.tmp"
-    with fs.open_output_stream(temp) as out:
-        out.write(content)
-    fs.move(temp, f"{path}/{name}")
-
-
 def write(docs: DataFrame, uri: str, tokenizer_path: str, vocabulary: int, end_id: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Writes docs to token files in the folder uri and returns the manifest, which is in uri/manifest.
 
@@ -172,12 +158,10 @@ def write(docs: DataFrame, uri: str, tokenizer_path: str, vocabulary: int, end_i
     shards = max(1, -(-((total[0] or 0) + 16 * total[1]) // SHARD_BYTES))
     key = F.xxhash64("text")
     dealt = rows.withColumn("tie", key).repartitionByRange(shards, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").drop("tie")
-    fs, path = _store(uri)
-    fs.create_dir(path, recursive=True)
+    store.make_dir(uri)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoders.get(tokenizer_path) or _encoders.setdefault(tokenizer_path, WordEncoder(tokenizer_path))
-        fs, path = _store(uri)
         shard, file, waiting, held = TaskContext.get().partitionId(), 0, [], 0
 
         def flush() -> pa.RecordBatch:
@@ -185,7 +169,7 @@ def write(docs: DataFrame, uri: str, tokenizer_path: str, vocabulary: int, end_i
             names, lengths, ids = [x for w in waiting for x in w[0]], np.concatenate([w[1] for w in waiting]), np.concatenate([w[2] for w in waiting])
             content = to_file(names, lengths, ids, bits, shard, file)
             name = f"part-{shard:06d}-{file:06d}.ids"
-            _commit(fs, path, name, content)
+            store.commit(uri, name, content)
             row = [shard, file, name, len(names), len(ids), len(content), zlib.crc32(content)]
             file, waiting, held = file + 1, [], 0
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.int32(), pa.string(), *[pa.int64()] * 4))], ["shard", "file", "name", "docs", "ids", "bytes", "crc"])

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, quality, token_files, warc
+from . import chat, html_text, langid, mixing, quality, token_files, warc
 
 QUERIES = {
+    "op2_language_id": langid.op2_language_id,
+    "op4_html_text": html_text.op4_html_text,
     "op5_quality_rules": quality.op5_quality_rules,
     "op6_warc": warc.op6_warc,
     "op8_chat": chat.op8_chat,

@@ -5,7 +5,8 @@ target / source size copies. The whole part is given; the fractional parts of
 a source are rounded by pivotal steps: two rows exchange probability, with their sizes
 as exchange rate, until one of them is 0 or 1. A step keeps every row's expectation
 and the sum of size times probability, so what a source takes differs from its target
-by less than its last undecided row.
+by less than its last undecided row. Large rows go first and are paired with all smaller rows of their bucket as one, so the last
+undecided row is a small one.
 
 Rows are dealt to buckets of about ``BUCKET`` rows by a hash of their content, so a large
 source is spread over many tasks. Each bucket leaves one undecided row at most; these
@@ -91,10 +92,49 @@ def pivotal(size: np.ndarray, p: np.ndarray, rng: np.random.Generator) -> tuple[
     return np.array(p), at
 
 
+def sweep(size: np.ndarray, p: float, rng: np.random.Generator) -> np.ndarray:
+    """Pivotal steps for rows, the largest first, that all have probability p: each row against all that follow it as one.
+
+    The row becomes 0 or 1 and those that follow share the difference, so they go on with one common
+    probability; where they can't take it all, they become 0 or 1 and the row is the one that stays fractional.
+    """
+    out = np.zeros(len(size))
+    rest = np.concatenate((np.cumsum(size[::-1])[::-1][1:], np.zeros(1))).tolist()
+    for i, (s, r, u) in enumerate(zip(size.tolist(), rest, rng.random(len(size)).tolist())):
+        if not EXACT < p < 1.0 - EXACT:
+            out[i:] = round(p)
+            break
+        if r <= 0.0:
+            out[i] = p
+            break
+        up, down = min((1.0 - p) * s, p * r), min(p * s, (1.0 - p) * r)
+        moved = up if u * (up + down) < down else -down
+        q, p = p + moved / s, p - moved / r
+        if EXACT < q < 1.0 - EXACT:
+            out[i], out[i + 1 :] = q, round(p)
+            break
+        out[i] = round(q)
+    return out
+
+
 def _rng(*key: int) -> np.random.Generator:
     return np.random.default_rng([int(x) & 0xFFFFFFFF for x in key])
 
 
+def _step(seed: int, level: int, last: bool):
+    """A node of the tree: rounds what its children left undecided; the last node of a source draws for the one row that remains."""
+
+    def step(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("piece_size", "descending"), ("bucket", "ascending")])
+        rng = _rng(seed, t["source_key"][0].as_py(), t["source_key"][0].as_py() >> 32, level, t["node"][0].as_py())
+        p, at = pivotal(t["piece_size"].to_numpy(), t["part"].to_numpy(), rng)
+        if last and at >= 0:
+            p[at] = float(rng.random() < p[at])
+        return t.set_column(t.schema.get_field_index("part"), "part", pa.array(p))
+
+    return step
+
+
 def copies(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP, seed: int = 7) -> DataFrame:
     """rows (with columns source, size and mix_key) -> and source_size, target and copies.
 
@@ -122,8 +162,12 @@ def copies(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = C
 
     def level0(t: pa.Table) -> pa.Table:
         t = t.take(np.lexsort((t["mix_key"].to_numpy(), -t["piece_size"].to_numpy())))
-        p, at = pivotal(t["piece_size"].to_numpy(), t["part"].to_numpy(), _rng(seed, t["source_key"][0].as_py(), t["source_key"][0].as_py() >> 32, 0, t["bucket"][0].as_py()))
-        return t.set_column(t.schema.get_field_index("part"), "part", pa.array(p))
+        size, part = t["piece_size"].to_numpy(), t["part"].to_numpy().copy()
+        open_rows = part > 0  # one probability in a source; rows of size 0 are last and have none
+        rng = _rng(seed, t["source_key"][0].as_py(), t["source_key"][0].as_py() >> 32, 0, t["bucket"][0].as_py())
+        if open_rows.any():
+            part[open_rows] = sweep(size[open_rows], float(part[open_rows][0]), rng)
+        return t.set_column(t.schema.get_field_index("part"), "part", pa.array(part))
 
     first = stored(dealt.groupBy("source_key", "bucket").applyInArrow(level0, dealt.schema), "mix-level-0")
     done = first.where("part in (0, 1)")
@@ -133,17 +177,8 @@ def copies(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = C
         open_rows = left.select("source_key", "bucket", "piece_size", "part", F.col("bucket").alias("node"))
         settled = []
         for level in range(1, levels + 1):
-
-            def step(t: pa.Table, level: int = level, last: bool = level == levels) -> pa.Table:
-                t = t.sort_by([("piece_size", "descending"), ("bucket", "ascending")])
-                rng = _rng(seed, t["source_key"][0].as_py(), t["source_key"][0].as_py() >> 32, level, t["node"][0].as_py())
-                p, at = pivotal(t["piece_size"].to_numpy(), t["part"].to_numpy(), rng)
-                if last and at >= 0:
-                    p[at] = float(rng.random() < p[at])
-                return t.set_column(t.schema.get_field_index("part"), "part", pa.array(p))
-
             grouped = open_rows.withColumn("node", F.floor(F.col("node") / FAN)).groupBy("source_key", "node")
-            now = stored(grouped.applyInArrow(step, open_rows.schema), f"mix-level-{level}")
+            now = stored(grouped.applyInArrow(_step(seed, level, level == levels), open_rows.schema), f"mix-level-{level}")
             settled.append(now.where("part in (0, 1)"))
             open_rows = now.where("part not in (0, 1)")
         decided = reduce(DataFrame.unionByName, settled).select("source_key", "bucket", F.col("part").alias("decided"))

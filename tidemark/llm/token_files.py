@@ -16,8 +16,10 @@ whole sequence, and readers take what it lists only.
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
+import re
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 
@@ -35,7 +37,7 @@ BLOCK = 4096
 FILE_IDS = 4 << 20
 SHARD_BYTES = 24 << 20
 #: Distinct words that a worker remembers the ids of; beyond this it forgets all and goes on.
-REMEMBERED = 800_000
+REMEMBERED = 700_000
 
 FILES = "shard int, file int, name string, docs long, ids long, bytes long, crc long"
 
@@ -92,53 +94,78 @@ class TokenFile:
 
 
 class _Codes(dict):
+    """Numbers words in the order in which they are met; new holds those that came since it was emptied."""
+
+    def __init__(self):
+        self.new: list[bytes] = []
+
     def __missing__(self, word: bytes) -> int:
         self[word] = n = len(self)
+        self.new.append(word)
         return n
 
 
+#: Lower-case letters that the tokenizer's normalizer and splitter leave alone: a-z, and those of U+00DF to U+00FF in UTF-8.
+PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+#: A full stop or comma at the end of a word is a piece of its own; words are remembered without it.
+STOP = re.compile(rb"(?<=[a-z0-9])([.,])(?=[ \t\n\r\x0b\x0c]|\Z)")
+
+
 class WordEncoder:
     """Ids of texts by way of ids of words.
 
-    For tokenizers that never let a token span white space, so that a text's ids are those of its words one after the other.
-    A word is encoded by the library once and remembered.
+    For tokenizers that fold case, and never let a token span white space or letters and other characters: a text's ids are those of
+    its words one after the other. The library encodes a word once; it is then remembered. Words of PLAIN letters go straight to the
+    tokenizer's model, as the steps before it would not change or split them.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = {c: as_bytes.pre_tokenize_str(chr(c))[0][0] for c in range(0xDF, 0x100)}
         self.forget()
 
     def forget(self) -> None:
-        self.codes, self.known, self.starts, self.flat = _Codes(), 0, np.zeros(1, np.int64), np.zeros(0, np.uint32)
-
-    def _learn(self) -> None:
-        if len(self.codes) > self.known:
-            new = list(self.codes)[self.known :] if self.known == 0 else [w for w, _ in zip(reversed(self.codes), range(len(self.codes) - self.known))][::-1]
-            lists = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)]
-            self.starts = np.concatenate((self.starts, self.starts[-1] + np.cumsum([len(x) for x in lists])))
-            self.flat = np.concatenate((self.flat, np.fromiter((i for x in lists for i in x), np.uint32)))
-            self.known = len(self.codes)
+        self.codes, self.starts, self.flat = _Codes(), np.zeros(1, np.int64), np.zeros(0, np.uint32)
+
+    def _learn(self, step: int = 20_000) -> None:
+        new, self.codes.new = self.codes.new, []
+        for a in range(0, len(new), step):
+            part, lists, others = new[a : a + step], [], []
+            for i, w in enumerate(part):
+                if PLAIN.fullmatch(w):
+                    lists.append([t.id for t in self.model.tokenize(w.decode().translate(self.letters))])
+                else:
+                    lists.append(None)
+                    others.append(i)
+            for i, e in zip(others, self.tokenizer.encode_batch_fast([part[i].decode() for i in others], add_special_tokens=False)):
+                lists[i] = e.ids
+            sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+            self.starts = np.concatenate((self.starts, self.starts[-1] + np.cumsum(sizes)))
+            self.flat = np.concatenate((self.flat, np.fromiter(itertools.chain.from_iterable(lists), np.uint32, int(sizes.sum()))))
 
     def encode(self, data: np.ndarray, bounds: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of some texts, each followed by end_id, and their numbers."""
         if len(self.codes) > REMEMBERED:
             self.forget()
         raw = data.tobytes()
-        texts = [raw[a:b].split() for a, b in zip(bounds[:-1], bounds[1:])]
-        n = np.array([len(x) for x in texts], np.int64)
-        code = np.fromiter((c for x in texts for c in map(self.codes.__getitem__, x)), np.int64, int(n.sum()))
+        texts = [raw[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
+        split = [x.split() if b"<|" in x else STOP.sub(rb" \1", x.lower()).split() for x in texts]  # special tokens keep their case
+        n = np.fromiter(map(len, split), np.int64, len(split))
+        code = np.fromiter(map(self.codes.__getitem__, itertools.chain.from_iterable(split)), np.int64, int(n.sum()))
         self._learn()
         size = self.starts[code + 1] - self.starts[code]
         word_end = np.concatenate((np.zeros(1, np.int64), np.cumsum(size)))
         lengths = word_end[np.cumsum(n)] - word_end[np.cumsum(n) - n] + 1
         ids = np.full(int(lengths.sum()), end_id, np.uint32)
         at = np.repeat(self.starts[code] - word_end[:-1], size) + np.arange(int(size.sum()))
-        place_of = np.ones(len(ids), bool)
-        place_of[np.cumsum(lengths) - 1] = False
-        ids[place_of] = self.flat[at]
+        inside = np.ones(len(ids), bool)
+        inside[np.cumsum(lengths) - 1] = False
+        ids[inside] = self.flat[at]
         return ids, lengths
 
 

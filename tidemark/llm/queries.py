@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, html_text, langid, mixing, quality, token_files, warc
+from . import chat, decontamination, html_text, langid, mixing, quality, token_files, warc
 
 QUERIES = {
     "op2_language_id": langid.op2_language_id,
+    "op3_decontamination": decontamination.op3_decontamination,
     "op4_html_text": html_text.op4_html_text,
     "op5_quality_rules": quality.op5_quality_rules,
     "op6_warc": warc.op6_warc,
@@ -13,4 +14,4 @@ QUERIES = {
     "op9_token_files": token_files.op9_token_files,
     "op10_mixing": mixing.op10_mixing,
 }
-SQL = {"op5_quality_rules": quality.OP5_SQL}
+SQL = {"op3_decontamination": decontamination.OP3_SQL, "op5_quality_rules": quality.OP5_SQL}

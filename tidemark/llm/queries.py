@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontamination, html_text, langid, mixing, quality, token_files, warc
+from . import chat, decontamination, html_text, jaccard, langid, mixing, quality, token_files, warc
 
 QUERIES = {
     "op2_language_id": langid.op2_language_id,
@@ -10,8 +10,9 @@ QUERIES = {
     "op4_html_text": html_text.op4_html_text,
     "op5_quality_rules": quality.op5_quality_rules,
     "op6_warc": warc.op6_warc,
+    "op7_ngram_jaccard": jaccard.op7_ngram_jaccard,
     "op8_chat": chat.op8_chat,
     "op9_token_files": token_files.op9_token_files,
     "op10_mixing": mixing.op10_mixing,
 }
-SQL = {"op3_decontamination": decontamination.OP3_SQL, "op5_quality_rules": quality.OP5_SQL}
+SQL = {"op7_ngram_jaccard": jaccard.OP7_SQL, "op3_decontamination": decontamination.OP3_SQL, "op5_quality_rules": quality.OP5_SQL}

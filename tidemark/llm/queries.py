@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, decontamination, html_text, jaccard, langid, mixing, quality, token_files, warc
+from . import chat, decontamination, html_text, jaccard, langid, lm, mixing, quality, token_files, warc
 
 QUERIES = {
+    "op1_lm_scoring": lm.op1_lm_scoring,
     "op2_language_id": langid.op2_language_id,
     "op3_decontamination": decontamination.op3_decontamination,
     "op4_html_text": html_text.op4_html_text,

@@ -60,4 +60,8 @@ if __name__ == "__main__":
     spark = session()
     for name in sys.argv[2:] or entry.oracle_sql():
         began = time.time()
-        print(name, differences(spark, sys.argv[1], name) or "equal", round(time.time() - began, 1), flush=True)
+        try:
+            found = differences(spark, sys.argv[1], name) or "equal"
+        except Exception as e:  # noqa: BLE001
+            found = f"failed: {str(e)[:1500]}"
+        print(name, found, round(time.time() - began, 1), flush=True)

@@ -1 +1 @@
-"""Part of tidemark."""
+"""Column expressions."""

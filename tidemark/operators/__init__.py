@@ -1 +1 @@
-"""Part of tidemark."""
+"""DataFrame to DataFrame operators."""

@@ -1 +1 @@
-"""Part of tidemark."""
+"""Readers and writers."""

@@ -1,0 +1,49 @@
+"""Text of PDF files, as far as it can be had without a PDF library: streams that are plain or deflated, and their literal strings.
+
+Files that use other filters, encodings by font, or encryption give what can be read of them, perhaps nothing.
+"""
+
+from __future__ import annotations
+
+import re
+import zlib
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+
+STREAM = re.compile(rb"<<(.*?)>>\s*stream\r?\n(.*?)\r?\nendstream", re.S)
+SHOWN = re.compile(rb"\((?:\\.|[^\\()])*\)|\bT\*|\bT[dDmjJ]\b|\bET\b", re.S)
+ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
+
+
+def _literal(s: bytes) -> str:
+    s = re.sub(rb"\\(\d{1,3}|.)", lambda m: bytes([int(m[1], 8) & 255]) if m[1].isdigit() else ESCAPES.get(m[1], m[1]), s[1:-1], flags=re.S)
+    return s.decode("latin-1")
+
+
+def pdf_text(data: bytes) -> str:
+    """The strings that a file's streams show, with a line end at each move to a new line."""
+    out = []
+    for head, body in STREAM.findall(data):
+        if b"FlateDecode" in head:
+            try:
+                body = zlib.decompress(body)
+            except zlib.error:
+                continue
+        if b"BT" not in body:
+            continue
+        for m in SHOWN.finditer(body):
+            out.append(_literal(m[0]) if m[0][:1] == b"(" else "" if m[0] in (b"Tj", b"TJ") else "\n")
+    return "\n".join(line for line in (" ".join(x.split()) for x in "".join(out).split("\n")) if line)
+
+
+def read_pdfs(spark: SparkSession, path: str) -> DataFrame:
+    """url (where the file is) and text of each PDF under path."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").option("recursiveFileLookup", "true").load(path).select("path", "content")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([pdf_text(x.as_py()) for x in b.column(1)], pa.string())], ["url", "text"])
+
+    return files.mapInArrow(run, "url string, text string")

@@ -1 +1 @@
-"""Part of tidemark."""
+"""Operators on streams."""

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import table
+from .tables import stored, table
 
 SHINGLE = 5
 SIMILARITY = 0.75
@@ -64,8 +64,9 @@ def blocks(fingerprint: Column, radius: int = RADIUS) -> Column:
 def indexed(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
     """Items with words, length, k (words of a shingle), shingles and fingerprint; items without a word are left out."""
     items = benchmark.select(F.col(f"`{item_id}`").alias("item_id"), word_list(F.col(f"`{text}`")).alias("item_words"))
-    items = items.where(F.size("item_words") > 0).withColumn("length", F.size("item_words")).withColumn("k", F.least(F.col("length"), F.lit(SHINGLE)))
-    return items.withColumn("item_shingles", weighted(F.col("item_words"), F.col("k"))).withColumn("item_print", simhash(F.col("item_shingles")))
+    items = stored(items.where(F.size("item_words") > 0), "item-words").withColumn("length", F.size("item_words")).withColumn("k", F.least(F.col("length"), F.lit(SHINGLE)))
+    items = stored(items.withColumn("item_shingles", weighted(F.col("item_words"), F.col("k"))), "item-shingles")
+    return items.withColumn("item_print", simhash(F.col("item_shingles")))
 
 
 def row_key(id_column: Column, text: Column) -> Column:
@@ -79,7 +80,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
     Null and empty texts and items leak nothing. Rows that repeat in id and text give one row; items that repeat in text each give theirs, and those that repeat
     in id and text one. Other columns of either table play no part. An empty table gives an empty table.
     """
-    items = indexed(benchmark, item_id, item_text).dropDuplicates(["item_id", "item_words"]).withColumn("item_key", F.xxhash64(F.col("item_id").cast("string"), "item_words"))
+    # tables are written between steps, so that no later filter makes Spark compute word lists, shingles or fingerprints again for each use
+    items = stored(indexed(benchmark, item_id, item_text).dropDuplicates(["item_id", "item_words"]).withColumn("item_key", F.xxhash64(F.col("item_id").cast("string"), "item_words")), "items")
     sizes = sorted(r["k"] for r in items.select("k").distinct().collect())  # 1 to SHINGLE
     hashed = items.select("item_key", "length", "k", _hashes(F.col("item_words")).alias("hashes"))
     gram_of = lambda hashes, at, k: F.xxhash64(*(F.get(hashes, at + j) for j in range(k)))
@@ -100,15 +102,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
         anchors = listed.select("doc_key", F.lit(0).cast("long").alias("item_key"), F.lit(0).alias("length"), F.lit(0).alias("start")).where(F.lit(False))
     # one window at each end of a text, however far the item would stick out
     windows = anchors.select("doc_key", "item_key", "length", F.greatest("start", F.lit(0)).alias("start")).distinct()
+    windows = stored(windows, "windows")
 
     texts = plain.join(windows, "doc_key").select("doc_key", "doc_id", "item_key", "length", "start", word_list(F.col("text")).alias("words"))
     n = F.size("words")
     cut = F.greatest(F.least(F.col("start"), n - F.col("length")), F.lit(0))
-    texts = texts.withColumn("start", cut).withColumn("window", F.slice("words", F.col("start") + 1, F.col("length"))).drop("words").distinct()
+    texts = texts.withColumn("start", cut).withColumn("window", F.slice("words", F.col("start") + 1, F.col("length"))).drop("words")
     k = F.least(F.col("length"), F.lit(SHINGLE))
-    texts = texts.where(F.size("window") >= k).withColumn("shingles", weighted(F.col("window"), k)).withColumn("print", simhash(F.col("shingles")))
+    texts = stored(texts, "window-words").distinct().where(F.size("window") >= k)
+    texts = stored(texts.withColumn("shingles", weighted(F.col("window"), k)).drop("window"), "window-shingles")
+    texts = stored(texts.withColumn("print", simhash(F.col("shingles"))), "window-prints")
 
-    left = texts.withColumn("block", F.explode(blocks(F.col("print")))).select("*", F.col("block.number").alias("number"), F.col("block.value").alias("value")).drop("block", "window")
+    left = texts.withColumn("block", F.explode(blocks(F.col("print")))).select("*", F.col("block.number").alias("number"), F.col("block.value").alias("value")).drop("block")
     right = items.select("item_key", "item_id", "item_shingles", "item_print", F.explode(blocks(F.col("item_print"))).alias("block"))
     right = right.select("item_key", "item_id", "item_shingles", "item_print", F.col("block.number").alias("number"), F.col("block.value").alias("value"))
     near = left.join(right, ["item_key", "number", "value"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS).dropDuplicates(["doc_key", "item_key", "start"])

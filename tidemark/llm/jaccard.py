@@ -114,8 +114,8 @@ def _packed(column: pa.ChunkedArray, kind: type) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, kind)
 
 
-def _shared(t: pa.Table) -> pa.Table:
-    """Of one block of columns: for each row its columns that another row has too, and the rarity of each (log2 of its rows)."""
+def _shared(t: pa.Table, buckets: int) -> pa.Table:
+    """Of one block of columns: for each row its columns that another row has too, and the rarity of each (log2 of its rows); packed by buckets of rows."""
     cls, size, counts, grams = _packed(t["classes"], np.uint64), _packed(t["sizes"], np.uint32), _packed(t["counts"], np.uint32), _packed(t["grams"], np.uint64)
     names, first, row = np.unique(cls, return_index=True, return_inverse=True)
     size = size[first]
@@ -135,27 +135,54 @@ def _shared(t: pa.Table) -> pa.Table:
     rarity = np.repeat(np.minimum(8 * np.log2(np.maximum(df, 1)), 127).astype(np.int8), df)
     keep = np.repeat(df > 1, df)
     grams, row, rarity = grams[keep], row[keep], rarity[keep]
-    order = np.argsort(row, kind="stable")
-    grams, row, rarity = grams[order], row[order], rarity[order]
-    head = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1]))) if len(row) else np.zeros(0, int)
-    offsets = pa.array(np.concatenate((head, [len(row)])), pa.int32())
-    at = row[head] if len(row) else np.zeros(0, int)
+    bucket = _bucket(names, buckets)[row]
+    order = np.lexsort((row, bucket))
+    grams, row, rarity, bucket = grams[order], row[order], rarity[order], bucket[order]
+    cut = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True]))) if len(row) else np.zeros(1, int)
+    out = []
+    for x, y in zip(cut[:-1], cut[1:]):
+        new = np.flatnonzero(np.concatenate(([True], row[x + 1 : y] != row[x : y - 1])))
+        at = row[x:y][new]
+        counts = np.diff(np.concatenate((new, [y - x])))
+        out.append((int(bucket[x]), names[at].tobytes(), size[at].astype(np.uint32).tobytes(), counts.astype(np.uint32).tobytes(), grams[x:y].tobytes(), rarity[x:y].tobytes()))
+    columns = list(zip(*out)) or [()] * 6
+    return pa.table({k: pa.array(c, pa.int32() if k == "bucket" else pa.binary()) for k, c in zip(("bucket", "classes", "sizes", "counts", "grams", "rarities"), columns)})
+
+
+def _bucket(classes: np.ndarray, buckets: int) -> np.ndarray:
+    return ((words.mix(classes) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+
+
+def _rows(t: pa.Table, percent: int) -> pa.Table:
+    """The rows of a bucket, put together from their parts in all blocks of columns: those whose columns suffice for a link, rarest columns first."""
+    cls, size, counts, grams, rarity = (_packed(t[c], k) for c, k in (("classes", np.uint64), ("sizes", np.uint32), ("counts", np.uint32), ("grams", np.uint64), ("rarities", np.int8)))
+    names, first, row = np.unique(cls, return_index=True, return_inverse=True)
+    size = size[first].astype(np.int64)
+    row = np.repeat(row, counts)
+    have = np.bincount(row, minlength=len(names))
+    keep = 100 * have >= percent * size
+    inside = keep[row]
+    grams, rarity, row = grams[inside], rarity[inside], row[inside]
+    order = np.lexsort((grams, rarity, row))
+    offsets = pa.array(np.concatenate(([0], np.cumsum(have[keep]))), pa.int32())
+    least = -(-percent * size[keep] // 100)
     return pa.table({
-        "class": pa.array(names[at].view(np.int64)), "size": pa.array(size[at].astype(np.int64)),
-        "grams": pa.ListArray.from_arrays(offsets, pa.array(grams.view(np.int64))), "rarities": pa.ListArray.from_arrays(offsets, pa.array(rarity)),
+        "class": pa.array(names[keep].view(np.int64)), "size": pa.array(size[keep]),
+        "grams": pa.ListArray.from_arrays(offsets, pa.array(grams[order].view(np.int64))), "n_prefix": pa.array((have[keep] - least + 1).astype(np.int32)),
     })
 
 
 def incidence(docs: DataFrame, text: str, blocks: int, n: int = N, percent: int = PERCENT) -> DataFrame:
-    """class, size, grams (columns that other rows have too, sorted) and prefix, of the rows that could link with another."""
-    dealt = column_blocks(docs, text, blocks, n).groupBy("block")
-    found = dealt.applyInArrow(_shared, "class long, size long, grams array<long>, rarities array<tinyint>")
-    rows = found.groupBy("class", "size").agg(F.flatten(F.collect_list("grams")).alias("grams"), F.flatten(F.collect_list("rarities")).alias("rarities"))  # one row of each block at most
-    rows = rows.where(100 * F.size("grams") >= percent * F.col("size"))
-    least = F.ceil(F.lit(percent) * F.col("size") / 100).cast("int")  # exact: sizes are far below 2^53
-    order = F.array_sort(F.arrays_zip(F.col("rarities").alias("r"), F.col("grams").alias("g")))
-    prefix = F.transform(F.slice(order, F.lit(1), F.size("grams") - least + 1), lambda x: x["g"])
-    return rows.select("class", "size", F.array_sort("grams").alias("grams"), prefix.alias("prefix"))
+    """class, size and grams of the rows that could link with another: columns that other rows have too, the rarest first; the first n_prefix are the prefix."""
+
+    def shared(t: pa.Table) -> pa.Table:
+        return _shared(t, blocks)
+
+    def rows(t: pa.Table) -> pa.Table:
+        return _rows(t, percent)
+
+    found = column_blocks(docs, text, blocks, n).groupBy("block").applyInArrow(shared, "bucket int, classes binary, sizes binary, counts binary, grams binary, rarities binary")
+    return found.groupBy("bucket").applyInArrow(rows, "class long, size long, grams array<long>, n_prefix int")
 
 
 def _tile(left: pa.Table, right: pa.Table, percent: int) -> pa.Table:
@@ -241,7 +268,7 @@ def _numbered(lefts: DataFrame) -> DataFrame:
 def class_components(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
     """class and root of all classes that link with another."""
     rows = stored(rows, "incidence")
-    prefix = stored(rows.select("class", F.explode("prefix").alias("gram")), "prefixes")
+    prefix = stored(rows.select("class", F.explode(F.slice("grams", F.lit(1), F.col("n_prefix"))).alias("gram")), "prefixes")
 
     hubs = prefix.groupBy("gram").agg(F.min("class").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
     star = prefix.join(hubs, "gram").where("class <> hub").groupBy("class", "hub").agg(F.count(F.lit(1)).alias("votes"))

@@ -34,14 +34,16 @@ from .trie import EliasFano, Trie, probability, quantised, starts_of
 
 PAIR_PRIOR = 3000.0
 TRIPLE_PRIOR = 5.0
-BLOCK_TOKENS = 2_000_000
-SHARD_TOKENS = 2_500_000
+BLOCK_TOKENS = 1_500_000
+SHARD_TOKENS = 1_250_000
 #: A word or pair is split if it is more than this part of a mean shard.
 SPLIT = 4
 
 #: What stands before a text and after it: no words hash to these but by chance in 2^64.
 BEGIN, END = np.uint64(0x62656769), np.uint64(0x656E64)
 BITS = np.uint64(32)
+#: Words are told apart by 32 bits among the successors of a word, and by 24 among those of a pair: a chance match has the odds of successors / 2^bits.
+TRIPLE_SHIFT = 8
 
 _INTS = "<u4"
 
@@ -103,6 +105,18 @@ class Block:
         rank = np.stack([np.frombuffer(zstandard.decompress(p, max_output_size=max(1, tokens)), np.uint8) for p in planes], 1).copy().view(np.int32).ravel()
         return Block(doc_ids, _from_small(lengths), np.unpackbits(np.frombuffer(train, np.uint8), count=n).astype(bool), by_use[order], code[rank])
 
+    def firsts(self) -> np.ndarray:
+        out = np.zeros(len(self.codes), bool)
+        out[np.cumsum(self.lengths) - self.lengths] = True
+        return out
+
+    def before(self, first: np.ndarray) -> np.ndarray:
+        """The word before each place; BEGIN before the first ones."""
+        out = np.empty(len(self.codes), np.int64)
+        out[1:] = self.codes[:-1]
+        out[first] = np.searchsorted(self.words, BEGIN)
+        return out
+
     @property
     def doc(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.lengths)), self.lengths)
@@ -130,12 +144,16 @@ class Plan:
         return ((words.mix(hashes) >> BITS) * np.uint64(self.shards) >> BITS).astype(np.int32)
 
 
-def _distinct(keys: np.ndarray, flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct keys, ascending, and how often each comes with its flag set."""
-    found, times = np.unique(keys * 2 + flags, return_counts=True)
-    new = np.ones(len(found), bool)
-    new[1:] = found[1:] >> 1 != found[:-1] >> 1
-    return found[new] >> 1, np.add.reduceat(np.where(found & 1, times, 0), np.flatnonzero(new)) if len(found) else times
+def _distinct(keys: np.ndarray, flags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys, ascending; where each key is among them; how often each comes with its flag set."""
+    order = np.argsort(keys)
+    ranked = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = ranked[1:] != ranked[:-1]
+    inverse = np.empty(len(keys), np.int32)
+    inverse[order] = np.cumsum(new, dtype=np.int32) - 1
+    heads = np.flatnonzero(new)
+    return ranked[new], inverse, np.add.reduceat(flags[order], heads, dtype=np.int64) if len(heads) else np.zeros(0, np.int64)
 
 
 @dataclass
@@ -146,8 +164,9 @@ class Grams:
     pairs: np.ndarray  # u * words + v
     pair_counts: np.ndarray
     pair_shard: np.ndarray
-    triple_key: np.ndarray  # of each place: pair before * words + word; -1 at the first place of a text
-    triples: np.ndarray
+    later: np.ndarray  # places that are not the first of a text
+    triple_of: np.ndarray  # of each of these: the triple that ends there
+    triples: np.ndarray  # pair * words + w
     triple_counts: np.ndarray
     triple_shard: np.ndarray
     word_shard: np.ndarray
@@ -155,71 +174,72 @@ class Grams:
     @staticmethod
     def of(b: Block, plan: Plan) -> "Grams":
         n = np.int64(len(b.words))
-        codes = b.codes.astype(np.int64)
-        first = np.zeros(len(codes), bool)
-        first[np.cumsum(b.lengths) - b.lengths] = True
-        train = b.train[b.doc].astype(np.int64)
-        before = np.empty_like(codes)
-        before[1:] = codes[:-1]
-        before[first] = np.searchsorted(b.words, BEGIN)
-        key = before * n + codes
-        pairs, pair_counts = _distinct(key, train)
-        pair_of = np.searchsorted(pairs, key)
-        triple_key = np.full(len(codes), -1, np.int64)
+        first = b.firsts()
+        train = b.train[b.doc]
+        pairs, pair_of, pair_counts = _distinct(b.before(first) * n + b.codes, train)
         later = np.flatnonzero(~first)
-        triple_key[later] = pair_of[later - 1] * n + codes[later]
-        triples, triple_counts = _distinct(triple_key[later], train[later])
+        triples, triple_of, triple_counts = _distinct(pair_of[later - 1] * n + b.codes[later], train[later])
 
         home = plan.shard(b.words)
         u, v = np.divmod(pairs, n)
         pair_shard = home[u]
-        wide = np.isin(b.words, plan.split_words)
-        at = np.flatnonzero(wide[u])
+        at = np.flatnonzero(np.isin(b.words, plan.split_words)[u])
         hashes = words.chain(b.words[u[at]], b.words[v[at]])
         pair_shard[at] = plan.shard(hashes)
         split = np.isin(hashes, words.chain(plan.split_pairs[:, 0], plan.split_pairs[:, 1])) if len(plan.split_pairs) else np.zeros(len(at), bool)
-        parent, w = np.divmod(triples, n)
+        parent = triples // n
         triple_shard = pair_shard[parent]
-        hot = np.zeros(len(pairs), bool)
-        hot[at[split]] = True
-        spread = np.flatnonzero(hot[parent])
-        triple_shard[spread] = plan.shard(words.chain(b.words[u[parent[spread]]], b.words[v[parent[spread]]], b.words[w[spread]]))
-        return Grams(pair_of, pairs, pair_counts, pair_shard, triple_key, triples, triple_counts, triple_shard, home)
-
-    def parts(self, b: Block, shards: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """For each shard: its words, its pairs (with those that are there for their triples only), which of these are at home, its triples."""
-        n = len(b.words)
+        if split.any():
+            hot = np.zeros(len(pairs), bool)
+            hot[at[split]] = True
+            spread = np.flatnonzero(hot[parent])
+            p = parent[spread]
+            triple_shard[spread] = plan.shard(words.chain(b.words[u[p]], b.words[v[p]], b.words[triples[spread] - p * n]))
+        return Grams(pair_of, pairs, pair_counts, pair_shard, later, triple_of, triples, triple_counts, triple_shard, home)
+
+    def parts(self, n: int, shards: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each shard: its words, its pairs (with those that are there for their triples only), which of these are at home, its triples. n: words of the block."""
         cut = lambda s: (o := np.argsort(s, kind="stable"), np.searchsorted(s[o], np.arange(shards + 1)))
         (wo, wc), (po, pc), (to, tc) = cut(self.word_shard), cut(self.pair_shard), cut(self.triple_shard)
         for s in range(shards):
             w, p, t = wo[wc[s] : wc[s + 1]], po[pc[s] : pc[s + 1]], to[tc[s] : tc[s + 1]]
-            guests = np.setdiff1d(self.triples[t] // n, p, assume_unique=False)
-            both = np.sort(np.concatenate((p, guests)))
+            parent = self.triples[t] // n
+            guests = np.unique(parent[self.pair_shard[parent] != s])
+            both = np.sort(np.concatenate((p, guests))) if len(guests) else p
             yield s, w, both, self.pair_shard[both] == s, t
 
 
-MESSAGE = "shard int, name string, words binary, word_counts binary, contexts binary, degrees binary, pairs binary, pair_counts binary, home binary, children binary, triples binary, triple_counts binary"
+MESSAGE = "shard int, name string, words binary, word_counts binary, degrees binary, others binary, other_degrees binary, pairs binary, pair_counts binary, home binary, children binary, triples binary, triple_counts binary"
 REPLY = "name string, shard int, words binary, pairs binary, rests binary, triples binary"
 
 
 def _message(b: Block, g: Grams, counts: np.ndarray, name: str, plan: Plan) -> Iterator[tuple]:
     n = len(b.words)
     prints = (b.words >> BITS).astype(_INTS)
-    for s, w, p, home, t in g.parts(b, plan.shards):
+    for s, w, p, home, t in g.parts(n, plan.shards):
         u, v = np.divmod(g.pairs[p], n)
         head = np.flatnonzero(np.concatenate(([True], u[1:] != u[:-1]))) if len(u) else np.zeros(0, int)
-        degrees = np.diff(np.concatenate((head, [len(u)])))
+        context, degree = u[head], np.diff(np.concatenate((head, [len(u)])))
+        own = g.word_shard[context] == s
+        degrees = np.zeros(len(w), np.int64)
+        degrees[np.searchsorted(w, context[own])] = degree[own]
         parent, last = np.divmod(g.triples[t], n)
         children = np.bincount(np.searchsorted(p, parent), minlength=len(p))
         yield (
-            s, name, b.words[w].tobytes(), _small(counts[w]), b.words[u[head]].tobytes(), _small(degrees), prints[v].tobytes(), _small(g.pair_counts[p]),
-            np.packbits(home).tobytes(), _small(children), prints[last].tobytes(), _small(g.triple_counts[t]),
+            s, name, b.words[w].tobytes(), _small(counts[w]), _small(degrees), b.words[context[~own]].tobytes(), _small(degree[~own]), prints[v].tobytes(), _small(g.pair_counts[p]),
+            np.packbits(home).tobytes(), _small(children), (prints[last] >> TRIPLE_SHIFT).astype(_INTS).view(np.uint8).reshape(-1, 4)[:, :3].tobytes(), _small(g.triple_counts[t]),
         )
 
 
+def _three_bytes(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 3, 4), np.uint8)
+    out[:, :3] = np.frombuffer(data, np.uint8).reshape(-1, 3)
+    return out.view(_INTS).ravel()
+
+
 def _merged(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    found, inverse = np.unique(keys, return_inverse=True)
-    return found, inverse, np.bincount(inverse, weights=counts, minlength=len(found)).astype(np.int64)
+    """The distinct keys, where each key is among them, and their summed counts."""
+    return _distinct(keys, counts)
 
 
 def _mapped(trie: Trie) -> Trie:
@@ -234,23 +254,26 @@ def _mapped(trie: Trie) -> Trie:
 
 def _shard_data(t: pa.Table) -> dict[str, object]:
     """The messages of a shard, one after the other: distinct words, pairs and triples with their counts, and where each message's are among them."""
-    cell = lambda c: [x.as_py() for x in t[c]]
     join = lambda parts, kind: np.concatenate([np.zeros(0, kind), *parts])
-    raw = lambda c, kind: [np.frombuffer(x, kind) for x in cell(c)]
-    ints = lambda c: [_from_small(x) for x in cell(c)]
-    asked, contexts, pairs, triples = raw("words", np.uint64), raw("contexts", np.uint64), raw("pairs", _INTS), raw("triples", _INTS)
-    home = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(p)).astype(bool) for x, p in zip(cell("home"), pairs)]
-    size = lambda parts: np.array([len(x) for x in parts], np.int64)
-    word, word_at, word_n = _merged(join(asked, np.uint64), join(ints("word_counts"), np.int64))
+    size = lambda parts: np.concatenate(([0], np.cumsum([len(x) for x in parts], dtype=np.int64)))
+    cell = lambda c: (x.as_py() for x in t[c])
+    asked = [np.frombuffer(x, np.uint64) for x in cell("words")]
+    pairs, triples = [np.frombuffer(x, _INTS) for x in cell("pairs")], [_three_bytes(x) for x in cell("triples")]
+    home = join((np.unpackbits(np.frombuffer(x, np.uint8), count=len(p)).astype(bool) for x, p in zip(cell("home"), pairs)), bool)
+    contexts = []
+    for own, degrees, others, other_degrees in zip(asked, map(_from_small, cell("degrees")), cell("others"), map(_from_small, cell("other_degrees"))):
+        hashes, n = np.concatenate((own[degrees > 0], np.frombuffer(others, np.uint64))), np.concatenate((degrees[degrees > 0], other_degrees))
+        order = np.argsort(hashes)
+        contexts.append(np.repeat(hashes[order], n[order]))
+    word, word_at, word_n = _merged(join(asked, np.uint64), join(map(_from_small, cell("word_counts")), np.int64))
     context = join(contexts, np.uint64)
     names = np.union1d(word, context)
-    node = np.repeat(np.searchsorted(names, context), join(ints("degrees"), np.int64))
-    at_home = join(home, bool)
-    pair, pair_at, pair_n = _merged(node.astype(np.uint64) << BITS | join(pairs, _INTS).astype(np.uint64), np.where(at_home, join(ints("pair_counts"), np.int64), 0))
-    parent = np.repeat(pair_at, join(ints("children"), np.int64))
-    triple, triple_at, triple_n = _merged(parent.astype(np.uint64) << BITS | join(triples, _INTS).astype(np.uint64), join(ints("triple_counts"), np.int64))
-    return {"names": names, "word": word, "word_at": word_at, "word_n": word_n, "pair": pair, "pair_at": pair_at, "pair_n": pair_n, "home": at_home, "triple": triple, "triple_at": triple_at, "triple_n": triple_n,
-            "cuts": [np.concatenate(([0], np.cumsum(size(x)))) for x in (asked, pairs, triples)], "message": cell("name")}
+    key = np.searchsorted(names, context).astype(np.uint64) << BITS | join(pairs, _INTS).astype(np.uint64)
+    pair, pair_at, pair_n = _merged(key, np.where(home, join(map(_from_small, cell("pair_counts")), np.int64), 0))
+    key = np.repeat(pair_at.astype(np.uint64), join(map(_from_small, cell("children")), np.int64)) << BITS | join(triples, _INTS).astype(np.uint64)
+    triple, triple_at, triple_n = _merged(key, join(map(_from_small, cell("triple_counts")), np.int64))
+    return {"names": names, "word": word, "word_at": word_at, "word_n": word_n, "pair": pair, "pair_at": pair_at, "pair_n": pair_n, "home": home, "triple": triple, "triple_at": triple_at, "triple_n": triple_n,
+            "cuts": [size(x) for x in (asked, pairs, triples)], "message": list(cell("name"))}
 
 
 def build(d: dict, plan: Plan) -> Trie:
@@ -394,13 +417,9 @@ def planned(found: DataFrame, uri: str) -> Plan:
 
     def both(b: Block, name: str) -> Iterator[tuple]:
         wide = np.isin(b.words, many)
-        first = np.zeros(len(b.codes), bool)
-        first[np.cumsum(b.lengths) - b.lengths] = True
-        before = np.empty_like(b.codes)
-        before[1:] = b.codes[:-1]
-        before[first] = np.searchsorted(b.words, BEGIN)
+        before = b.before(b.firsts())
         at = wide[before] & wide[b.codes] & b.train[b.doc]
-        key, n = np.unique(before[at].astype(np.int64) * len(b.words) + b.codes[at], return_counts=True)
+        key, n = np.unique(before[at] * len(b.words) + b.codes[at], return_counts=True)
         u, v = np.divmod(key, len(b.words))
         yield from zip(b.words[u].view(np.int64).tolist(), b.words[v].view(np.int64).tolist(), n.tolist())
 
@@ -437,7 +456,7 @@ def scored(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "
         counts = np.zeros(len(b.words), np.int64)
         pair_p, rest, triple_p = np.zeros(len(g.pairs)), np.ones(len(g.pairs)), np.zeros(len(g.triples))
         reply = {s: i for i, s in enumerate(t["shard"].to_pylist())}
-        for s, w, p, home, k in g.parts(b, plan.shards):
+        for s, w, p, home, k in g.parts(len(b.words), plan.shards):
             p = p[home]
             cell = lambda c: t[c][reply[s]].as_py()  # noqa: B023, E731
             counts[w] = _from_small(cell("words"))
@@ -447,9 +466,7 @@ def scored(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "
         u, v = np.divmod(g.pairs, len(b.words))
         two = pair_p + PAIR_PRIOR / (counts[u] + PAIR_PRIOR) * one[v]
         whole = two[g.pair_of]
-        later = np.flatnonzero(g.triple_key >= 0)
-        at = np.searchsorted(g.triples, g.triple_key[later])
-        whole[later] = triple_p[at] + rest[g.pair_of[later - 1]] * whole[later]
+        whole[g.later] = triple_p[g.triple_of] + rest[g.pair_of[g.later - 1]] * whole[g.later]
         sums = lambda x: np.bincount(b.doc, weights=x, minlength=len(b.lengths))
         return pa.table({
             "doc_id": pa.array(b.doc_ids, pa.int64()), "n_tokens": pa.array(b.lengths, pa.int64()), "n_known": pa.array(sums(counts[b.codes] > 0).astype(np.int64)),

@@ -61,17 +61,27 @@ class EliasFano:
         left = left - np.where(k > 0, ones[row, k - 1], 0).astype(np.int16)
         place = word * 64 + k * 8 + _SELECT[parts[row, k], left]
         out = (place - i).astype(np.uint64) << np.uint64(self.low_bits)
-        if self.low_bits:
-            at = i.astype(np.uint64) * np.uint64(self.low_bits)
-            word, shift = (at >> np.uint64(6)).astype(np.int64), at & np.uint64(63)
-            value = self.low[word] >> shift
-            over = shift > np.uint64(64 - self.low_bits)
-            value[over] |= self.low[word[over] + 1] << (np.uint64(64) - shift[over])
-            out |= value & np.uint64((1 << self.low_bits) - 1)
-        return out
+        return out | self._low(i) if self.low_bits else out
+
+    def values(self) -> np.ndarray:
+        """All numbers, decoded at once."""
+        flags = np.unpackbits(np.ascontiguousarray(self.high).view(np.uint8), bitorder="little")
+        i = np.arange(self.n)
+        out = (np.flatnonzero(flags)[: self.n] - i).astype(np.uint64) << np.uint64(self.low_bits)
+        return out | self._low(i) if self.low_bits else out
+
+    def _low(self, i: np.ndarray) -> np.ndarray:
+        at = i.astype(np.uint64) * np.uint64(self.low_bits)
+        word, shift = (at >> np.uint64(6)).astype(np.int64), at & np.uint64(63)
+        value = self.low[word] >> shift
+        over = shift > np.uint64(64 - self.low_bits)
+        value[over] |= self.low[word[over] + 1] << (np.uint64(64) - shift[over])
+        return value & np.uint64((1 << self.low_bits) - 1)
 
     def successor(self, q: np.ndarray) -> np.ndarray:
-        """The place of the first number that is at least q, for each q; n where there is none."""
+        """The place of the first number that is at least q, for each q; n where there is none. For many q all numbers are decoded once."""
+        if 16 * len(q) > self.n:
+            return np.searchsorted(self.values(), q)
         low, high = np.zeros(len(q), np.int64), np.full(len(q), self.n, np.int64)
         live = np.flatnonzero(low < high)
         while len(live):
@@ -99,7 +109,7 @@ def search(keys: np.ndarray, low: np.ndarray, high: np.ndarray, q: np.ndarray) -
 
 
 #: Probabilities are stored as steps of log10: STEPS of them a decade, in 16 bits; NONE marks what the trie has not.
-STEPS = 4096
+STEPS = 256
 NONE = np.uint16(0xFFFF)
 
 
@@ -142,9 +152,13 @@ class Trie:
         out = np.full(len(node), -1, np.int64)
         known = np.flatnonzero(node >= 0)
         if len(known):
-            nodes, inverse = np.unique(node[known], return_inverse=True)
-            low, high = starts.get(nodes).astype(np.int64), starts.get(nodes + 1).astype(np.int64)
-            out[known] = search(keys, low[inverse], high[inverse], word[known])
+            nodes = node[known]
+            if 4 * len(known) > starts.n:
+                begins = starts.values().astype(np.int64)
+                low, high = begins[nodes], begins[nodes + 1]
+            else:
+                low, high = starts.get(nodes).astype(np.int64), starts.get(nodes + 1).astype(np.int64)
+            out[known] = search(keys, low, high, word[known])
         return out
 
     def find_pairs(self, node: np.ndarray, word: np.ndarray) -> np.ndarray:

@@ -65,24 +65,24 @@ class Model:
 
 
 def build(counts: list[tuple[str, int, int]]) -> Model:
-    """A model from (language, window in base 256, times seen)."""
+    """A model from (language, window in base 256, times seen); without any it knows no language."""
+    if not counts:
+        return Model([], np.zeros(256, np.int64), 1, np.zeros(1, np.int32), np.zeros((0, 1), np.float32))
     languages = sorted({c[0] for c in counts})
     lang = np.array([languages.index(c[0]) for c in counts], np.int64)
     raw = np.array([c[1] for c in counts], np.int64)
     times = np.array([c[2] for c in counts], np.float64)
     places = [(raw >> (8 * k)) & 255 for k in range(ORDER + 1)]  # place 0 is the byte itself, place k is k bytes before it
-    known = np.unique(np.concatenate([*places, np.array([PAD])])) if len(raw) else np.array([PAD])
+    known = np.unique(np.concatenate([*places, np.array([PAD])]))
     base = len(known) + 1  # the last code is for bytes that were never seen
     codes = np.full(256, base - 1, np.int64)
     codes[known] = np.arange(base - 1)
     coded = [codes[p] for p in places]
 
     rows = np.zeros(base**ORDER, np.int32)  # row 0: no context
-    tables = [np.full((len(languages), 1, base), 1 / 256)]
     numbers = np.arange(base**ORDER, dtype=np.int64)
-    below = np.zeros(1, np.int64)  # contexts of the order before, and where they are among the rows of that order
-    offset, parent_rows = 0, {0: np.zeros(1, np.int64)}
-    prob_prev, ctx_prev = tables[0], np.zeros(1, np.int64)
+    offset = 0
+    prob_prev, ctx_prev = np.full((len(languages), 1, base), 1 / 256), np.zeros(1, np.int64)  # of the order before
     all_rows: list[np.ndarray] = []
     for k in range(ORDER + 1):
         context = sum((coded[j] * base ** (j - 1) for j in range(1, k + 1)), np.zeros(len(raw), np.int64))
@@ -107,7 +107,7 @@ def build(counts: list[tuple[str, int, int]]) -> Model:
         rows[hit] = (offset + place_of)[hit]
         offset += len(seen)
         prob_prev, ctx_prev = prob, seen
-    cost = -np.log2(np.concatenate(all_rows, 1)) if languages else np.zeros((0, offset, base))
+    cost = -np.log2(np.concatenate(all_rows, 1))
     return Model(languages, codes, base, rows, np.ascontiguousarray(cost.reshape(len(languages), -1), np.float32))
 
 

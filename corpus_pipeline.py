@@ -20,8 +20,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of 5-word shingle sets that are alike to 0.75 the document with the smallest id."""
-    return jaccard.one_of_each(docs)
+    """Of each component of 5-word shingle sets that are alike to 0.75 the document with the smallest id; all that link with nothing, whatever their ids."""
+    return jaccard.representatives(docs)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

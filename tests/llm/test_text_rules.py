@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import compare
+import corpus_pipeline
 import odd
 from tidemark.llm import decontamination, jaccard, quality, queries
 
@@ -98,6 +99,27 @@ def test_one_of_each_keeps_columns(spark):
     assert len(ids) == len(set(ids)) and {6, 9, 11} <= set(ids) and not {7, 10, 12} & set(ids)
 
 
+def test_representatives_go_by_row(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(None, f"{x} unrelated text of its own number {x}") for x in range(50)]  # null ids that link with nothing
+    rows += [(None, None), (None, ""), (3, None), (3, " \n")]  # no words: all stay
+    rows += [(1, a), (5, a + " end"), (5, b), (None, a)]  # one id for a copy of a smaller id's text and for a text of its own
+    rows += [(None, c), (None, c + " end"), (9, c), (9, c), (9, c + " end")]  # a component with null ids, and with one id twice
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.lit("mine")).withColumn("root", F.lit("mine"))
+    kept = jaccard.representatives(docs.repartition(5))
+    assert kept.columns == docs.columns and {r.key for r in kept.collect()} == {"mine"}
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    of_c = [x for x in got if (x[1] or "").startswith("c0 ")]
+    assert len(of_c) == 1 and of_c[0][0] == 9
+    assert sorted((x for x in got if x not in of_c), key=repr) == sorted(rows[:54] + [(1, a), (5, b)], key=repr)
+    assert jaccard.representatives(docs.limit(0)).count() == 0
+
+
+def test_pipeline_stage_keeps_rows_without_ids(spark):
+    docs = spark.createDataFrame([(None, f"{x} is a text that stands by itself, number {x}", "en", "a") for x in range(20)], odd.SCHEMA)
+    assert corpus_pipeline.near_copies_stage(spark, docs, "").count() == 20
+
+
 def test_leaks_of_odd_rows_equal_sql(spark, tmp_path):
     at = odd.tables(str(tmp_path / "t"), documents=odd.documents(spark), benchmark=odd.benchmark(spark))
     assert compare.differences(spark, at, "op3_decontamination") == ""

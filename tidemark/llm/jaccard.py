@@ -27,6 +27,8 @@ from .tables import shuffles, stored, table
 
 N = 5
 PERCENT = 75
+#: What a text with a word has a match of; the bytes of words.SPACE are no words.
+WORD = r"[^\x20\x09-\x0D]"
 #: Bytes of n-grams in a block of columns, left rows of a tile, and entries of its right rows.
 BLOCK_BYTES = 32 << 20
 LEFT_ROWS = 128
@@ -66,7 +68,7 @@ def _classes(grams: np.ndarray, doc: np.ndarray, n_docs: int) -> tuple[np.ndarra
 
 
 def members(docs: DataFrame, doc_id: str, text: str, n: int = N) -> DataFrame:
-    """doc_id, class and size (number of distinct n-grams) of each row."""
+    """doc_id, class and size (number of distinct n-grams) of each row. doc_id may be a struct."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -289,6 +291,16 @@ def class_components(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
     return components(links.unionByName(more))
 
 
+def placed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = N, percent: int = PERCENT) -> DataFrame:
+    """doc_id, class, size and root (the class that stands for all that it links with, by way of others too) of each row."""
+    spark = docs.sparkSession
+    who = stored(members(docs, doc_id, text, n), "members")
+    blocks = max(shuffles(spark), -(-8 * (who.agg(F.sum("size")).first()[0] or 0) // BLOCK_BYTES))
+    roots = class_components(incidence(docs, text, blocks, n, percent), percent)
+    found = who.join(roots.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    return stored(found, "placed")
+
+
 def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = N, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id that links lead to, its own included) and class of each row.
 
@@ -296,14 +308,9 @@ def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int =
     sequence as its only n-gram; null texts and those without a word have none and link with nothing. Rows that repeat, in id or in text,
     each give a row. A null doc_id is never a component's id unless all in it are null. Other columns play no part. An empty table gives an empty table.
     """
-    spark = docs.sparkSession
-    who = stored(members(docs, doc_id, text, n), "members")
-    blocks = max(shuffles(spark), -(-8 * (who.agg(F.sum("size")).first()[0] or 0) // BLOCK_BYTES))
-    roots = class_components(incidence(docs, text, blocks, n, percent), percent)
-    placed = who.join(roots.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-    placed = stored(placed, "placed")
-    least = placed.where("size > 0").groupBy("root").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    both = placed.join(least, "root", "left")
+    rows = placed(docs, doc_id, text, n, percent)
+    least = rows.where("size > 0").groupBy("root").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    both = rows.join(least, "root", "left")
     own = F.when(F.col("size") > 0, F.coalesce("least", "doc_id")).otherwise(F.col("doc_id"))
     return both.select("doc_id", F.col("size").alias("n_shingles"), own.alias("component_id"), F.col("class"))
 
@@ -314,15 +321,30 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked(docs).select("doc_id", "n_shingles", "component_id")
 
 
-def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The row with the smallest doc_id of each component, with all columns of docs; of rows that repeat in id one stays."""
+def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each component, that with the smallest doc_id, and all rows without a word, with all columns of docs.
+
+    Rows are told apart by id and text, whatever repeats: a null doc_id comes last, and of rows with one id in a component that with the smaller hash stays.
+    Of rows that are equal in id and text one stays, unless they are without a word.
+    """
     names = docs.columns
-    at = f"c{names.index(doc_id)}"
     plain = docs.toDF(*(f"c{i}" for i in range(len(names))))
-    found = linked(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")))
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    joined = plain.join(kept, F.col(at).eqNullSafe(F.col("doc_id")), "left_semi")
-    return joined.dropDuplicates([at]).select(*(F.col(f"c{i}").alias(x) for i, x in enumerate(names)))
+    own, words = F.col(f"c{names.index(doc_id)}"), F.col(f"c{names.index(text)}").cast("string")
+    key = F.xxhash64(own.isNull(), own, words)
+    rows = placed(plain.select(F.struct(own.alias("doc_id"), key.alias("key")).alias("doc"), words.alias("text")), "doc", "text").where("size > 0")
+    least = F.min(F.struct(F.col("doc_id.doc_id").isNull().alias("last"), F.col("doc_id.doc_id").alias("doc_id"), F.col("doc_id.key").alias("key")))
+    kept = rows.groupBy("root").agg(least.alias("least")).select("least.key")
+    spoken = F.coalesce(words.rlike(WORD), F.lit(False))
+    # equal rows become one in each task before they are dealt by key, so that no key has many rows; the join goes by the same key
+    single = plain.where(spoken).withColumn("key", key).dropDuplicates(["key"]).join(kept, "key", "left_semi").drop("key")
+    return single.unionByName(plain.where(~spoken)).select(*(F.col(f"c{i}").alias(x) for i, x in enumerate(names)))
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """representatives for tables that are to have each id once: of those that repeat in id one stays, whatever their texts."""
+    names = docs.columns
+    kept = representatives(docs, doc_id, text).toDF(*(f"c{i}" for i in range(len(names))))
+    return kept.dropDuplicates([f"c{names.index(doc_id)}"]).toDF(*names)
 
 
 OP7_SQL = r"""

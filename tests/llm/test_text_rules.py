@@ -138,6 +138,28 @@ def test_near_passages_and_clean_documents(spark):
     assert decontamination.clean(docs, items).columns == docs.columns
 
 
+def test_leaks_at_the_bound_with_far_prints(spark):
+    # pairs of a similarity of just over 0.75, whose SimHash prints differ in 30, 29 and 29 of 64 bits
+    pairs = [
+        ("gxq jdj zgxk ryy qvtcj bts ftz dopdz kqw mfnev tvu vpvgg", "nqlup"),
+        ("kjk ern ysu jnqi jigml rkx mei hyql ena vbtac sxve nshhc", "xaq"),
+        ("ldt mql qbmh oqjl yyxh aff kop ralcl zxt xrmrn cmu hzl", "blsqh"),
+    ]
+    texts = [" ".join([*w.split()[:-1], end]) for w, end in pairs]
+    docs = spark.createDataFrame([(i, f"it says {x} here") for i, x in enumerate(texts)], "doc_id long, text string")
+    items = spark.createDataFrame([(i, w) for i, (w, _) in enumerate(pairs)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): round(r.similarity, 6) for r in decontamination.leaks(docs, items).collect()}
+    assert got == {(i, i): round(similarity(x.split(), w.split()), 6) for i, (x, (w, _)) in enumerate(zip(texts, pairs))}
+    assert decontamination.clean(docs, items).count() == 0
+
+
+def test_many_items_and_a_hot_one(spark, monkeypatch):
+    monkeypatch.setattr(decontamination, "BROADCAST_ROWS", 3)
+    docs = spark.createDataFrame([(i, f"n{i} {odd.ITEM}") for i in range(60)], "doc_id long, text string")
+    found = decontamination.leaks(docs, odd.benchmark(spark)).collect()
+    assert sorted((r.doc_id, r.item_id) for r in found) == sorted((i, q) for i in range(60) for q in (1, 5))
+
+
 def similarity(a, b):
     s = lambda x: {tuple(y.lower() for y in x[i : i + 5]) for i in range(len(x) - 4)}
     weight = lambda y: sum(len("".join(t)) for t in y)

@@ -6,10 +6,8 @@ shingles that either has; a shingle weighs as many as its words have characters.
 
 1. Windows: a window as long as an item, in words, is a candidate for it only if the two share a shingle, as their similarity
    is 0 otherwise. A shared shingle at word p of a text and o of the item puts the window at p - o. Shingles of texts meet those of items in a join on their hashes.
-2. Fingerprints: each window and item gets a 64-bit SimHash of its weighted shingles.
-3. Index: fingerprints are cut into ``RADIUS`` + 1 blocks. Two that differ in at most RADIUS bits agree in a whole block, so an equal join on item, block
-   and value finds all of them.
-4. Windows that differ in at most RADIUS bits and have an exact similarity of at least ``SIMILARITY`` are leaks.
+2. Each window is compared with the items that it is a candidate for by their exact similarity; those of at least ``SIMILARITY`` are leaks. No print,
+   radius or count of shared shingles stands before that, so none is lost.
 """
 
 from __future__ import annotations
@@ -21,10 +19,10 @@ from .tables import stored, table
 
 SHINGLE = 5
 SIMILARITY = 0.75
-#: At a similarity of 0.75 fingerprints differ in 11 of 64 bits on average, with a deviation of 3: one in 10,000 such pairs differs in more than this.
-RADIUS = 23
 #: Shingles of items (16 bytes each) that are sent to all executors; more are joined by a shuffle.
 BROADCAST_ROWS = 1 << 20
+#: Parts that the windows of an item are dealt to where items are joined by a shuffle.
+DEALT = 16
 #: How letters, marks and digits are told from the rest.
 BREAKS = r"[^\p{L}\p{M}\p{N}]+"
 
@@ -47,26 +45,11 @@ def total(shingles: Column) -> Column:
     return F.aggregate(shingles, F.lit(0).cast("long"), lambda a, s: a + s["w"])
 
 
-def simhash(shingles: Column) -> Column:
-    """Bit b is set if the shingles whose hash has bit b weigh more than the others."""
-    bit = lambda s, b: F.when(F.getbit(s["h"], b) == 1, s["w"]).otherwise(-s["w"])
-    sums = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda b: F.aggregate(shingles, F.lit(0).cast("long"), lambda a, s: a + bit(s, b)))
-    flags = F.transform(sums, lambda x, b: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long")))
-    return F.aggregate(flags, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x))
-
-
-def blocks(fingerprint: Column, radius: int = RADIUS) -> Column:
-    """The radius + 1 blocks of a fingerprint, as structs of number and value."""
-    cuts = [64 * i // (radius + 1) for i in range(radius + 2)]
-    return F.array(*(F.struct(F.lit(i).alias("number"), F.shiftrightunsigned(fingerprint, a).bitwiseAND(F.lit((1 << (b - a)) - 1)).alias("value")) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:]))))
-
-
 def indexed(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
-    """Items with words, length, k (words of a shingle), shingles and fingerprint; items without a word are left out."""
+    """Items with words, length, k (words of a shingle) and shingles; items without a word are left out."""
     items = benchmark.select(F.col(f"`{item_id}`").alias("item_id"), word_list(F.col(f"`{text}`")).alias("item_words"))
     items = stored(items.where(F.size("item_words") > 0), "item-words").withColumn("length", F.size("item_words")).withColumn("k", F.least(F.col("length"), F.lit(SHINGLE)))
-    items = stored(items.withColumn("item_shingles", weighted(F.col("item_words"), F.col("k"))), "item-shingles")
-    return items.withColumn("item_print", simhash(F.col("item_shingles")))
+    return items.withColumn("item_shingles", weighted(F.col("item_words"), F.col("k")))
 
 
 def row_key(id_column: Column, text: Column) -> Column:
@@ -80,7 +63,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
     Null and empty texts and items leak nothing. Rows that repeat in id and text give one row; items that repeat in text each give theirs, and those that repeat
     in id and text one. Other columns of either table play no part. An empty table gives an empty table.
     """
-    # tables are written between steps, so that no later filter makes Spark compute word lists, shingles or fingerprints again for each use
+    # tables are written between steps, so that no later filter makes Spark compute word lists or shingles again for each use
     items = stored(indexed(benchmark, item_id, item_text).dropDuplicates(["item_id", "item_words"]).withColumn("item_key", F.xxhash64(F.col("item_id").cast("string"), "item_words")), "items")
     sizes = sorted(r["k"] for r in items.select("k").distinct().collect())  # 1 to SHINGLE
     hashed = items.select("item_key", "length", "k", _hashes(F.col("item_words")).alias("hashes"))
@@ -111,12 +94,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
     k = F.least(F.col("length"), F.lit(SHINGLE))
     texts = stored(texts, "window-words").distinct().where(F.size("window") >= k)
     texts = stored(texts.withColumn("shingles", weighted(F.col("window"), k)).drop("window"), "window-shingles")
-    texts = stored(texts.withColumn("print", simhash(F.col("shingles"))), "window-prints")
 
-    left = texts.withColumn("block", F.explode(blocks(F.col("print")))).select("*", F.col("block.number").alias("number"), F.col("block.value").alias("value")).drop("block")
-    right = items.select("item_key", "item_id", "item_shingles", "item_print", F.explode(blocks(F.col("item_print"))).alias("block"))
-    right = right.select("item_key", "item_id", "item_shingles", "item_print", F.col("block.number").alias("number"), F.col("block.value").alias("value"))
-    near = left.join(right, ["item_key", "number", "value"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS).dropDuplicates(["doc_key", "item_key", "start"])
+    right = items.select("item_key", "item_id", "item_shingles")
+    if (items.agg(F.sum(F.size("item_shingles"))).first()[0] or 0) <= BROADCAST_ROWS:
+        near = texts.join(F.broadcast(right), "item_key")
+    else:  # an item may be in a large part of all texts
+        part = F.pmod(F.xxhash64("doc_key", "start"), F.lit(DEALT)).cast("int")
+        near = texts.withColumn("part", part).join(right.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1)))), ["item_key", "part"])
     both, either = total(F.array_intersect("shingles", "item_shingles")), total(F.array_union("shingles", "item_shingles"))
     same = near.withColumn("similarity", both / either).where(F.col("similarity") >= SIMILARITY)
     best = F.max(F.struct("similarity", (-F.col("start")).alias("before"), "length")).alias("best")

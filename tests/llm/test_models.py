@@ -172,6 +172,31 @@ def test_main_text(page):
     assert html_text.main_text(page) == TEXT
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<body>{JUNK}<div style="overflow:hidden">{BODY}</div>{END}</body>',
+        f"<body>{JUNK}<div title='a hidden gem' data-x='display:none'>{BODY}</div>{END}</body>",
+        f'<article>{BODY.replace("<b>bold</b>", "<a href=/the/hidden/valley>bold</a>")}<p hidden>Not seen.</p><p style="color:red; display : none">Nor this.</p><p aria-hidden=true>Nor that.</p></article>',
+        f'<body>{JUNK}<div class="content no-sidebar">{BODY}</div>{END}</body>',
+        f"<body>{JUNK}<div><h2 class='page-header'>{PARAGRAPHS[0]}</h2>{BODY[len(PARAGRAPHS[0]) + 7 :]}</div><div id='comment_12'>I liked it.</div><div class='navMenu'>Home</div>{END}</body>",
+        f"<body>{JUNK}<article><p>{PARAGRAPHS[0]}</p></article><article class='comment'><p>Not one of us, said {'a reader ' * 40}</p></article><article><p>{PARAGRAPHS[1]}</p></article><article><p>{PARAGRAPHS[2]}</p></article>{END}</body>",
+        f"<body>{JUNK}<main><article>{BODY}</article></main><article class='related'><p>Another story.</p></article>{END}</body>",
+    ],
+)
+def test_main_text_is_whole(page):
+    assert html_text.main_text(page) == TEXT
+
+
+def test_stretches_by_their_own_links():
+    long, ad = "".join(f"<p>{'a long paragraph of a story ' * 30}</p>" for _ in range(3)), '<div class="ad">Buy now</div>'
+    page = f'<body><div>{long}</div>{ad}<div><p>It was short.</p></div>{ad}<div><a href="/a">One story</a> <a href="/b">Two stories</a></div></body>'
+    found = html_text.main_text(page).split("\n")
+    assert len(found) == 4 and found[-1] == "It was short."
+    assert html_text.main_text("<div><a href=/x>only links</a></div>") == "only links"
+    assert html_text.main_text("<div><a href=/x>never closed<p>but a text</p></div>") == "never closed\nbut a text"
+
+
 def test_html_of_odd_rows(spark):
     pages = spark.createDataFrame([(1, None), (2, ""), (3, "plain"), (3, "plain"), (None, "<p"), (4, "<div>" * 3000 + "deep"), (5, f"<article>{'<p>word</p>' * 20_000}</article>")], "page_id long, html string").withColumn("text", F.lit("mine")).withColumn("url", F.lit("u"))
     got = html_text.extracted(pages).collect()

@@ -3,9 +3,9 @@
 Markup is stripped so that every block element gives a line. What is no article text by its element or its
 name (menus, headers, footers, sidebars, notices, adverts, forms, comments) has no length and leaves a gap of empty lines. Text lengths
 are summed over windows of ``WINDOW`` lines; a surge is where the sums rise from nothing, a dive where they are nothing again. Of the
-stretches between a surge and the next dive those with a window of at least ``SHARE`` of the largest are kept, and with them the paragraphs
-that stand in the same container as a kept line. Where a page marks its article or main element, lines outside of it count as empty, and all
-of its stretches are kept.
+stretches between a surge and the next dive those are kept whose text is in links for at most ``LINKED``, however short they are beside others, and with them
+the paragraphs that stand in the same container as a kept line; where there are none, all are. Where a page marks its articles or main element, lines
+outside of these count as empty, and all of their stretches are kept.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .tables import table
 
 WINDOW = 3
-SHARE = 0.2
+LINKED = 0.5
 
 # Names of elements, and words in class, id and role that mark what is no article.
 RAW = "script|style|noscript|template|svg|math|iframe|object|textarea|select|title|head"
@@ -36,15 +36,31 @@ BAD_WORDS = frozenset(
     "comment comments disqus replies respond related recommended share sharing social subscribe subscription newsletter signup login "
     "popup modal overlay search pagination pager widget widgets complementary contentinfo dialog hidden".split()
 )
-COMMENT_WORDS = frozenset("comment comments disqus replies respond".split())
+COMMENT_WORDS = frozenset(
+    "comment comments disqus replies respond comment-list comments-list commentlist comment-body comment-content comment-text comment-form comment-respond "
+    "comment-thread comment-section comments-section comments-area comments-wrapper comments-container disqus-thread user-comments post-comments reader-comments".split()
+)
+#: Names of several words that mark what is no article; other compounds say nothing by a word in them (no-sidebar, page-header).
+BAD_NAMES = BAD_WORDS | COMMENT_WORDS | frozenset(
+    "ad-banner ad-block ad-box ad-container ad-slot ad-unit ad-wrapper ad-placeholder advert-box banner-ad banner-ads google-ad google-ads div-gpt-ad sponsored-content sponsored-links promo-box "
+    "cookie-notice cookie-banner cookie-bar cookie-consent cookie-message cookie-popup cookie-law cookies-notice cookies-banner consent-banner gdpr-notice gdpr-banner site-notice notice-bar alert-bar alert-banner "
+    "side-bar left-sidebar right-sidebar sidebar-left sidebar-right primary-sidebar secondary-sidebar main-sidebar sidebar-widget side-nav side-menu "
+    "main-menu main-nav main-navigation site-nav site-navigation site-menu primary-nav primary-menu secondary-nav top-nav top-menu top-bar nav-bar nav-menu nav-links navbar-nav menu-bar mobile-menu mobile-nav "
+    "bread-crumb bread-crumbs breadcrumb-nav breadcrumbs-nav site-header global-header main-header top-header site-footer global-footer main-footer page-footer footer-nav footer-links footer-menu footer-widgets "
+    "related-posts related-articles related-stories related-content related-links related-news recommended-posts recommended-articles recommended-stories "
+    "share-bar share-buttons share-links sharing-buttons social-bar social-buttons social-icons social-links social-media social-share "
+    "newsletter-signup newsletter-form newsletter-box subscribe-form subscribe-box subscription-form sign-up login-form signup-form search-form search-box search-bar "
+    "post-navigation posts-navigation page-navigation page-numbers pop-up popup-overlay modal-dialog modal-overlay widget-area".split()
+)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 ATTRIBUTES = r"""(?:"[^"]*"|'[^']*'|[^'">])*"""
 TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<({RAW})(?=[\s/>]){ATTRIBUTES}>.*?(?:</\1\s*>|(?=<body[\s>])|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)({ATTRIBUTES}|[^>]*)>|<[!?][^>]*>",
     re.S | re.I,
 )
-NAMES = re.compile(r"""(?<![\w-])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-HIDDEN = re.compile(r"""(?<![\w-])hidden(?![\w-])|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+UNSEEN = re.compile(r"(?:^|[;{\s])(?:display\s*:\s*none|visibility\s*:\s*hidden)(?![\w-])", re.I)
 
 
 def _tokens(page: str) -> list[tuple[str, str, object]]:
@@ -73,89 +89,117 @@ def _ends(tokens: list) -> dict[int, int]:
     return out
 
 
-def _marks(attributes: str) -> set[str]:
-    found = " ".join(a or b or c for a, b, c in NAMES.findall(attributes))
-    return set(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", found).lower()))
+def _attributes(text: str) -> dict[str, str]:
+    out: dict[str, str] = {}
+    for name, a, b, c in ATTRIBUTE.findall(text):
+        out.setdefault(name.lower(), a or b or c)
+    return out
+
+
+def _hidden(attributes: dict[str, str]) -> bool:
+    return "hidden" in attributes or attributes.get("aria-hidden", "").strip().lower() == "true" or bool(UNSEEN.search(attributes.get("style", "")))
 
 
-def _article(tokens: list, ends: dict[int, int], dropped) -> tuple[int, int] | None:
-    """The article or main element with most text that is not in a dropped one."""
+def _marks(attributes: dict[str, str]) -> set[str]:
+    """The whole names in class, id and role, with hyphens between their words and without numbers at their end."""
+    found = " ".join(attributes.get(x, "") for x in ("class", "id", "role"))
+    return {re.sub(r"(?:-?\d[\dx]*)+$", "", x) for x in re.sub(r"_+|--+", "-", re.sub(r"([a-z])([A-Z])", r"\1-\2", found).lower()).split()}
+
+
+def _articles(tokens: list, ends: dict[int, int], dropped) -> list[tuple[int, int]]:
+    """The article and main elements that are in no other, comment or dropped element; of those in one another with the same text the inner one."""
     spans, skip = [], -1
     for i, (kind, name, value) in enumerate(tokens):
         if i <= skip or kind != "open":
             continue
-        if name in ("article", "main") and not _marks(value) & COMMENT_WORDS:
+        if name in ("article", "main"):
+            marks = _marks(_attributes(value))
+            if name == "article" and marks & COMMENT_WORDS:
+                skip = ends.get(i, i)
+                continue
             j = ends.get(i, len(tokens))
-            spans.append((sum(len(t[2]) for t in tokens[i:j] if t[0] == "text"), -i, j))
+            spans.append((i, j, sum(len(t[2]) for t in tokens[i:j] if t[0] == "text"), bool(marks & BAD_NAMES)))
         elif dropped(i, False):
             skip = ends.get(i, i)
-    if not spans:
-        return None
-    inner = [s for s in spans if s[0] >= max(spans)[0]]  # of an article in a main element the one that has it all
-    _, i, j = max(inner, key=lambda s: -s[1])
-    return -i, j
-
-
-def lines(page: str) -> tuple[list[tuple[str, int]], bool]:
-    """The page's lines with the containers they stand in, empty where something was dropped, and whether they are those of a marked article."""
+    outer = []
+    for span in spans:
+        if outer and span[0] < outer[-1][1]:
+            if span[2] >= outer[-1][2]:
+                outer[-1] = span
+        else:
+            outer.append(span)
+    return [x[:2] for x in outer if not x[3]] or [x[:2] for x in outer]
+
+
+def lines(page: str) -> tuple[list[tuple[str, int, int]], bool]:
+    """The page's lines with the containers they stand in and how many characters of them are links, empty where something was dropped, and whether they are those of marked articles."""
     tokens = _tokens(page)
     ends = _ends(tokens)
     marked = {i for i, t in enumerate(tokens) if t[0] == "open" and t[1] in ("article", "main")}
 
     def dropped(i: int, inside: bool) -> bool:
         _, name, attributes = tokens[i]
-        marks = _marks(attributes) if "=" in attributes else set()
+        given = _attributes(attributes) if attributes else {}
+        marks = _marks(given) if "=" in attributes else set()
         if name in ("html", "body", "article", "main"):
             return bool(marks & COMMENT_WORDS) and name == "article"
-        bad = name in DROPPED or marks & BAD_WORDS or (attributes and HIDDEN.search(attributes))
+        bad = name in DROPPED or marks & BAD_NAMES - ({"header"} if name in HEADINGS else set()) or _hidden(given)
         if name == "header" and not inside:
             bad = True
         if not bad or marks & COMMENT_WORDS or name in VOID:
             return bool(bad)
         return not any(i < m < ends.get(i, i) for m in marked)  # a wrapper of the article
 
-    span = _article(tokens, ends, dropped)
-    out: list[tuple[str, int]] = []
+    spans = _articles(tokens, ends, dropped)
+    out: list[tuple[str, int, int]] = []
     piece: list[str] = []
-    containers, paragraph = [0], False
+    containers, paragraph, link, linked = [0], False, -1, 0
 
     def close() -> None:
+        nonlocal linked
         line = " ".join(html.unescape("".join(piece)).split())
         piece.clear()
         if line:
-            out.append((line, containers[-1] if paragraph or len(containers) > 1 else -1 - len(out)))
-
-    i, stop = span or (0, len(tokens))
-    while i < stop:
-        kind, name, value = tokens[i]
-        if kind == "text":
-            piece.append(value)
-        elif kind == "open" and dropped(i, span is not None):
-            close()
-            out.extend([("", -1)] * WINDOW)
-            if i in ends:
-                i = ends[i]
-            elif name in ("p", "li"):
-                i = next((j for j in range(i + 1, stop) if tokens[j][0] != "text" and tokens[j][1] in BLOCKS), stop) - 1
-            elif name not in VOID:
-                i = next((j for j in range(i + 1, stop) if tokens[j][0] == "open" and tokens[j][1] in ("article", "main", "h1")), stop) - 1
-        elif name in BLOCKS:
-            close()
-            paragraph = kind == "open" and name in PARAGRAPHS
-            if name in CONTAINERS and kind == "open":
-                containers.append(i)
-            elif name in CONTAINERS and len(containers) > 1:
-                containers.pop()
-        elif name in ("br", "td", "th"):
-            piece.append(" ")
-        i += 1
-    close()
-    return out, span is not None
-
-
-def between_surges(found: list[tuple[str, int]], share: float) -> list[str]:
-    """The lines of the stretches whose largest window has at least share of the largest of all, and the others in their containers."""
-    sizes = [len(x) for x, _ in found]
+            out.append((line, containers[-1] if paragraph or len(containers) > 1 else -1 - len(out), min(linked, len(line))))
+        linked = 0
+
+    for i, stop in spans or [(0, len(tokens))]:
+        while i < stop:
+            kind, name, value = tokens[i]
+            if kind == "text":
+                piece.append(value)
+                if i < link:
+                    linked += len(" ".join(value.split()))
+            elif kind == "open" and dropped(i, bool(spans)):
+                close()
+                out.extend([("", -1, 0)] * WINDOW)
+                if i in ends:
+                    i = ends[i]
+                elif name in ("p", "li"):
+                    i = next((j for j in range(i + 1, stop) if tokens[j][0] != "text" and tokens[j][1] in BLOCKS), stop) - 1
+                elif name not in VOID:
+                    i = next((j for j in range(i + 1, stop) if tokens[j][0] == "open" and tokens[j][1] in ("article", "main", "h1")), stop) - 1
+            elif name in BLOCKS:
+                close()
+                paragraph = kind == "open" and name in PARAGRAPHS
+                if name in CONTAINERS and kind == "open":
+                    containers.append(i)
+                elif name in CONTAINERS and len(containers) > 1:
+                    containers.pop()
+            elif name in ("br", "td", "th"):
+                piece.append(" ")
+            elif name == "a" and kind == "open" and "href" in _attributes(value):
+                link = max(link, ends.get(i, i))
+            i += 1
+        close()
+        del containers[1:]
+        paragraph = False
+    return out, bool(spans)
+
+
+def between_surges(found: list[tuple[str, int, int]], most_linked: float) -> list[str]:
+    """The lines of the stretches whose text is in links for most_linked at most (of all, if there are none), and the others in their containers."""
+    sizes = [len(x) for x, _, _ in found]
     sums = [sum(sizes[i : i + WINDOW]) for i in range(len(sizes))]
     stretches, start = [], None
     for i, s in enumerate([*sums, 0]):
@@ -164,17 +208,17 @@ def between_surges(found: list[tuple[str, int]], share: float) -> list[str]:
         elif not s and start is not None:
             stretches.append((start, i))  # dive
             start = None
-    most = max(sums, default=0)
-    kept = {i for a, b in stretches if max(sums[a:b]) >= share * most for i in range(a, b)}
+    own = [(a, b) for a, b in stretches if sum(x[2] for x in found[a:b]) <= most_linked * sum(sizes[a:b])] or stretches
+    kept = {i for a, b in own for i in range(a, b)}
     near = {found[i][1] for i in kept if found[i][0]}
-    return [x for i, (x, c) in enumerate(found) if x and (i in kept or c in near)]
+    return [x for i, (x, c, _) in enumerate(found) if x and (i in kept or c in near)]
 
 
 def main_text(page: str | None) -> str:
     if not page:
         return ""
     found, marked = lines(page)
-    return "\n".join(between_surges(found, 0.0 if marked else SHARE))
+    return "\n".join(between_surges(found, 1.0 if marked else LINKED))
 
 
 def extracted(pages: DataFrame, html_column: str = "html") -> DataFrame:

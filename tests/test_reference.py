@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 import compare
 from tidemark.functions import web
 from tidemark.functions.text import receipt
+from tidemark.llm import tables
 from tidemark.operators import memory, metering, pages, retrieval
 from tidemark.plans import reference
 from tidemark.sources import folder, pdf
@@ -121,3 +122,29 @@ def test_stream_over_several_batches(spark, tmp_path):
     got = reference.drained(monitors.running_counts(stream, ["user_id"], "value"), "complete")
     last = got.groupBy("user_id").agg(F.max("n").alias("n"))
     assert sorted(map(tuple, last.collect())) == sorted(map(tuple, df.groupBy("user_id").count().collect()))
+
+
+def test_streams_leave_results_in_the_shared_folder(spark):
+    rows = reference.stream_totals(spark, SF)
+    assert rows.count() and rows.inputFiles() and all(tables.shared_dir(spark).split(":")[-1].strip("/") + "/stream-" in x for x in rows.inputFiles())
+
+
+@pytest.mark.parametrize("per_batch", [1, 9])
+def test_changes_of_a_hot_key_over_batches(spark, tmp_path, per_batch):
+    rows = [(i, "hot" if i % 3 else None if i % 2 else f"k{i % 5}", None if i % 7 == 0 else str(i // 4 % 3)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "seq long, key string, content string")
+    for lo in range(0, 3000, 1000):
+        df.where(f"seq >= {lo} and seq < {lo + 1000}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", per_batch).parquet(str(tmp_path / "in"))
+    want = {}
+    for _, key, content in rows:
+        last, n, changed = want.get(key, (content, 0, 0))
+        want[key] = content, n + 1, changed + (last is not None and content is not None and last != content)
+    got = {r.key: (r.looks, r.changed) for r in monitors.change_counts(stream, ["key"], "seq", F.col("content")).collect()}
+    assert got == {k: x[1:] for k, x in want.items()}
+
+
+def test_a_key_of_a_batch_goes_to_many_tasks(spark):
+    df = spark.range(100_000).select(F.lit("hot").alias("key"), F.col("id").alias("seq"), F.col("id").cast("string").alias("digest"))
+    r = monitors.batch_changes(df, ["key"]).first()
+    assert (r.looks, r.changed, r.first, r.last) == (100_000, 99_999, "0", "99999")

@@ -5,8 +5,6 @@ Of the tables, events stands for a log of facts (key user_id and event_type, wri
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +12,7 @@ from ..functions import web
 from ..functions.text import fixed, micros
 from ..operators import memory, metering, pages, retrieval
 from ..streaming import monitors
+from ..streaming.monitors import drained
 
 BEFORE, AFTER = "2024-01-08 12:00:00", "2024-01-20 00:00:00"
 TERMS = ["that", "ther", "hand"]
@@ -162,13 +161,6 @@ def streamed(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.readStream.schema(table(spark, d, name).schema).parquet(f"{d}/{name}.parquet*")
 
 
-def drained(df: DataFrame, mode: str) -> DataFrame:
-    """What a stream gives once it has read all there is."""
-    name = f"stream_{uuid.uuid4().hex[:12]}"
-    df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    return df.sparkSession.table(name)
-
-
 def stream_totals(spark, d):
     return drained(monitors.running_counts(streamed(spark, d, "events"), ["user_id", "event_type"], "value"), "complete")
 
@@ -179,8 +171,7 @@ def stream_windows(spark, d):
 
 def stream_changes(spark, d):
     """The last report on each key."""
-    found = drained(monitors.change_counts(streamed(spark, d, "events"), ["user_id", "event_type"], "event_id", F.col("props")), "update")
-    return found.groupBy("user_id", "event_type").agg(F.max_by(F.struct("changed", "looks"), "looks").alias("x")).select("user_id", "event_type", "x.looks", "x.changed")
+    return monitors.change_counts(streamed(spark, d, "events"), ["user_id", "event_type"], "event_id", F.col("props"))
 
 
 QUERIES = {

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from ..llm.tables import place
 
 
 def changes(looks: DataFrame, key: list[str], at: str, seq: str, content: Column) -> DataFrame:
@@ -31,21 +34,84 @@ def windowed_counts(looks: DataFrame, at: str, kind: str, window: str = "1 day",
     return out.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), kind, "n")
 
 
+def _differs(a: Column, b: Column) -> Column:
+    return F.coalesce(((a != b) & (a != "") & (b != "")).cast("long"), F.lit(0))
+
+
+def batch_changes(rows: DataFrame, key: list[str]) -> DataFrame:
+    """Of rows (key, seq, digest): key, first and last digest in order of seq, looks and changed (how often a digest differs from the one before).
+
+    Rows are dealt by ranges of key and seq, so those of a frequent key pass through many tasks; each task gives a row a key, and these are combined.
+    """
+    order = [*key, F.col("seq").asc_nulls_last(), "digest"]
+    parts = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+    n, names = len(key), [*key, "part", "first", "last", "looks", "changed"]
+    schema = rows.select(*key).schema.add("part", "integer").add("first", "string").add("last", "string").add("looks", "long").add("changed", "long")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = None
+        for b in batches:
+            done = []
+            for *k, digest, part in zip(*(b.column(i).to_pylist() for i in range(n + 2))):
+                if now is None or now[:n] != k:
+                    if now is not None:
+                        done.append(now)
+                    now = [*k, part, digest, digest, 0, 0]
+                now[n + 4] += bool(digest and now[n + 2]) and digest != now[n + 2]
+                now[n + 2], now[n + 3] = digest, now[n + 3] + 1
+            yield packed(done)
+        if now is not None:
+            yield packed([now])
+
+    kinds = to_arrow_schema(schema)
+
+    def packed(done: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in done], f.type) for i, f in enumerate(kinds)], names)
+
+    found = parts.select(*key, "digest", "part").mapInArrow(run, schema)
+    before = F.lag("last").over(Window.partitionBy(*key).orderBy("part"))
+    joined = found.withColumn("changed", F.col("changed") + _differs(before, F.col("first")))
+    return joined.groupBy(*key).agg(F.min_by("first", "part").alias("first"), F.max_by("last", "part").alias("last"), F.sum("looks").alias("looks"), F.sum("changed").alias("changed"))
+
+
 def change_counts(looks: DataFrame, key: list[str], seq: str, content: Column) -> DataFrame:
-    """For a stream: after each batch, how often each key's content was looked at and how often it differed from the look before.
+    """For a stream, once it has read all there is: how often each key's content was looked at and how often it differed from the look before.
 
-    State is the last digest and two counts for each key. Rows of a batch are taken in order of seq.
+    State is the last digest and two counts for each key, a table in the shared folder that each batch reads and writes anew. Rows of a batch are
+    taken in order of seq; a look without content differs from none.
     """
-    rows = looks.select(*key, F.col(seq).alias("seq"), F.sha2(content, 256).alias("digest"))
-    names = [rows.schema[k] for k in key]
-    out = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in names) + "looks long, changed long"
-
-    def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, looks, changed = state.get if state.exists else ("", 0, 0)
-        for digest in pd.concat(list(frames)).sort_values("seq")["digest"]:
-            changed += bool(last) and digest != last
-            last, looks = digest, looks + 1
-        state.update((last, looks, changed))
-        yield pd.DataFrame([[*k, looks, changed]], columns=[*key, "looks", "changed"])
-
-    return rows.groupBy(*key).applyInPandasWithState(step, out, "last string, looks long, changed long", "update", GroupStateTimeout.NoTimeout)
+    rows = looks.select(*key, F.col(seq).alias("seq"), F.coalesce(F.sha2(content, 256), F.lit("")).alias("digest"))
+
+    def step(batch: DataFrame, before: DataFrame | None) -> DataFrame:
+        new = batch_changes(batch, key)
+        if before is None:
+            return new.drop("first")
+        a, b = before.alias("a"), new.alias("b")
+        both = a.join(b, reduce(lambda x, y: x & y, (F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in key)), "full")
+        add = lambda c: F.coalesce(f"a.{c}", F.lit(0)) + F.coalesce(f"b.{c}", F.lit(0))
+        differs = _differs(F.col("a.last"), F.col("b.first"))
+        return both.select(*(F.coalesce(f"a.{k}", f"b.{k}").alias(k) for k in key), F.coalesce("b.last", "a.last").alias("last"), add("looks").alias("looks"), (add("changed") + differs).alias("changed"))
+
+    return drained(rows, "append", step).select(*key, "looks", "changed")
+
+
+def drained(df: DataFrame, mode: str, step: Callable[[DataFrame, DataFrame | None], DataFrame] | None = None) -> DataFrame:
+    """What a stream gives once it has read all there is: each batch's rows, in complete mode the last one's.
+
+    With step, what it makes of each batch and of its result before. Results are tables in the shared folder, and so is the stream's own state.
+    """
+    spark, at, done = df.sparkSession, place(df.sparkSession, "stream"), []
+
+    def write(batch: DataFrame, number: int) -> None:
+        own = batch.sparkSession
+        out = step(batch, own.read.parquet(done[-1]) if done else None) if step else batch
+        path = f"{at}/result/{number}"
+        out.write.mode("overwrite").parquet(path)
+        if path not in done:
+            done.append(path)
+
+    df.writeStream.foreachBatch(write).option("checkpointLocation", f"{at}/state").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    if not done:
+        empty = spark.createDataFrame([], df.schema)
+        return step(empty, None) if step else empty
+    return spark.read.parquet(*(done[-1:] if step or mode == "complete" else done))

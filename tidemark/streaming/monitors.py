@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..llm.tables import place
+from ..plans.lineage import place
 
 
 def changes(looks: DataFrame, key: list[str], at: str, seq: str, content: Column) -> DataFrame:

@@ -3,13 +3,14 @@
 Rows are classes of documents with equal sets of n-grams, columns are n-grams. No pair of a large group is ever a row of a table:
 
 1. Columns are dealt to blocks by their hash. A block counts the classes of each column; a column with one class adds to no product and is dropped.
-2. What a row has left bounds its overlap with any other. A row of n columns links at similarity t only with an overlap of t * n, so rows
-   with less are done. For the others, a link implies a common column among the n - ceil(t * n) + 1 rarest of a row: its prefix.
-3. Tiles: the product is made for a block of left rows and a block of right rows at a time, where a right row has a prefix column in common with the
-   left block. A tile adds up overlaps of all its pairs, discards those below the bound that follows from both sizes,
-   and reports a spanning forest of the links, so no more rows than it has read.
-4. First the left rows are one hub of each prefix column. Then, for columns whose rows are not yet in one component, all rows that are not in the
-   column's largest component are left rows, so that every pair that could still join two components is in a tile. The components are exact.
+2. Sizes fall into bands, so that rows link within a band or with the next one only. Of two sizes a, b a link needs an overlap of t / (1 + t) * (a + b), so with m columns
+   left a row shares one of its m - overlap + 1 rarest with any row of a band that it links with: its prefix for that band, columns in order of their rarity.
+3. Tiles: the product is made for a block of left rows and a block of right rows at a time. A tile adds up overlaps of all its pairs,
+   discards those below the bound that follows from both sizes, and reports a spanning forest of the links, so no more rows than it has read.
+4. First each row meets the hub of a prefix column (its smallest row), so large groups become components by links in proportion to their rows.
+5. Then, for columns whose rows are not yet in one component, tasks compare (first for one near row each, then for all) the rows outside the column's largest component with all its rows. Long columns are cut
+   into pieces. A pair of two components goes to a tile if the parities of its columns, folded to some bits, differ in no more bits than its bound lets the sets differ:
+   sets never differ in less columns than bits, so that loses no link. The components are exact.
 """
 
 from __future__ import annotations
@@ -33,6 +34,11 @@ WORD = r"[^\x20\x09-\x0D]"
 BLOCK_BYTES = 32 << 20
 LEFT_ROWS = 128
 TILE_ENTRIES = 1 << 21
+#: Right rows of a tile; rows of a column that a task compares at a time, pairs and bytes that it holds meanwhile.
+TILE_ROWS = 1 << 13
+PIECE_ROWS = 1024
+PAIRS = 1 << 18
+HELD = 4 << 20
 
 
 def _sets(g: words.Group, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -155,6 +161,23 @@ def _bucket(classes: np.ndarray, buckets: int) -> np.ndarray:
     return ((words.mix(classes) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
 
 
+def bands(largest: int, percent: int) -> np.ndarray:
+    """The least sizes of bands 0, 1, ...: a size links with those of its own band and of those beside it only."""
+    out = [1]
+    while out[-1] <= largest:
+        out.append(out[-1] * 100 // percent + 1)
+    return np.array(out, np.int64)
+
+
+def parities(grams: np.ndarray, row: np.ndarray, have: np.ndarray) -> list[bytes]:
+    """Of each row (entries sorted by row) the parity of its columns at each of 64 to 8192 bits, at least as many as columns up to there."""
+    bits = np.left_shift(1, np.clip(np.ceil(np.log2(np.maximum(have, 1))), 6, 13).astype(np.int64))
+    at = np.cumsum(bits) - bits
+    flags = np.bincount(at[row] + (words.mix(grams).astype(np.int64) & (bits[row] - 1)), minlength=int(bits.sum())).astype(np.uint8) & 1
+    packed = np.packbits(flags, bitorder="little").tobytes()
+    return [packed[x : x + n] for x, n in zip((at // 8).tolist(), (bits // 8).tolist())]
+
+
 def _rows(t: pa.Table, percent: int) -> pa.Table:
     """The rows of a bucket, put together from their parts in all blocks of columns: those whose columns suffice for a link, rarest columns first."""
     cls, size, counts, grams, rarity = (_packed(t[c], k) for c, k in (("classes", np.uint64), ("sizes", np.uint32), ("counts", np.uint32), ("grams", np.uint64), ("rarities", np.int8)))
@@ -164,18 +187,28 @@ def _rows(t: pa.Table, percent: int) -> pa.Table:
     have = np.bincount(row, minlength=len(names))
     keep = 100 * have >= percent * size
     inside = keep[row]
-    grams, rarity, row = grams[inside], rarity[inside], row[inside]
+    grams, rarity, row = grams[inside], rarity[inside], (np.cumsum(keep) - 1)[row[inside]]
     order = np.lexsort((grams, rarity, row))
-    offsets = pa.array(np.concatenate(([0], np.cumsum(have[keep]))), pa.int32())
-    least = -(-percent * size[keep] // 100)
+    grams, row, size, have = grams[order], row[order], size[keep], have[keep]
+    offsets = pa.array(np.concatenate(([0], np.cumsum(have))), pa.int32())
+    least = bands(int(size.max(initial=1)), percent)
+    band = np.searchsorted(least, size, "right") - 1
+    # the least overlap with a row of the own band or above, and with one of the band below
+    own = -(-percent * (size + least[band]) // (100 + percent))
+    below = np.maximum(-(-percent * size // 100), -(-percent * (size + least[np.maximum(band - 1, 0)]) // (100 + percent)))
+    prefix = lambda need: pa.array(np.maximum(have - need + 1, 0).astype(np.int32))
     return pa.table({
-        "class": pa.array(names[keep].view(np.int64)), "size": pa.array(size[keep]),
-        "grams": pa.ListArray.from_arrays(offsets, pa.array(grams[order].view(np.int64))), "n_prefix": pa.array((have[keep] - least + 1).astype(np.int32)),
+        "class": pa.array(names[keep].view(np.int64)), "size": pa.array(size), "grams": pa.ListArray.from_arrays(offsets, pa.array(grams.view(np.int64))), "have": pa.array(have.astype(np.int32)),
+        "band": pa.array(band.astype(np.int32)), "n_own": prefix(own), "n_below": prefix(below), "parity": pa.array(parities(grams, row, have), pa.binary()),
     })
 
 
+ROWS = "class long, size long, grams array<long>, have int, band int, n_own int, n_below int, parity binary"
+
+
 def incidence(docs: DataFrame, text: str, blocks: int, n: int = N, percent: int = PERCENT) -> DataFrame:
-    """class, size and grams of the rows that could link with another: columns that other rows have too, the rarest first; the first n_prefix are the prefix."""
+    """ROWS of the rows that could link with another: size, columns that other rows have too (have of them), the rarest first; the first n_own are the prefix for the own band and
+    the one above, the first n_below for the one below; parity folds the columns."""
 
     def shared(t: pa.Table) -> pa.Table:
         return _shared(t, blocks)
@@ -184,7 +217,7 @@ def incidence(docs: DataFrame, text: str, blocks: int, n: int = N, percent: int
         return _rows(t, percent)
 
     found = column_blocks(docs, text, blocks, n).groupBy("block").applyInArrow(shared, "bucket int, classes binary, sizes binary, counts binary, grams binary, rarities binary")
-    return found.groupBy("bucket").applyInArrow(rows, "class long, size long, grams array<long>, n_prefix int")
+    return found.groupBy("bucket").applyInArrow(rows, ROWS)
 
 
 def _tile(left: pa.Table, right: pa.Table, percent: int) -> pa.Table:
@@ -247,7 +280,7 @@ def tile_links(rows: DataFrame, wanted: DataFrame, lefts: DataFrame, percent: in
     """a and b of links between left rows (left_block, class) and the right rows wanted with their block (left_block, class)."""
     cells = wanted.join(rows.select("class", "size", "grams"), "class")
     cells = stored(cells, "cells")
-    tiles = cells.groupBy("left_block").agg(F.greatest(F.lit(1), F.ceil(F.sum(F.size("grams")) / TILE_ENTRIES)).cast("int").alias("tiles"))
+    tiles = cells.groupBy("left_block").agg(F.greatest(F.lit(1), F.ceil(F.sum(F.size("grams")) / TILE_ENTRIES), F.ceil(F.count(F.lit(1)) / TILE_ROWS)).cast("int").alias("tiles"))
     tiles = stored(tiles, "tiles")
     right = cells.join(tiles, "left_block").withColumn("tile", F.pmod(F.xxhash64("class"), F.col("tiles")).cast("int")).drop("tiles")
     left = lefts.join(rows.select("class", "size", "grams"), "class").join(tiles, "left_block")
@@ -267,28 +300,142 @@ def _numbered(lefts: DataFrame) -> DataFrame:
     return lefts.withColumn("left_block", F.pmod(F.xxhash64("class"), F.lit(n)))
 
 
+def _folded(parity: list[bytes], width: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """For each number of 64-bit words: where each entry is among those of at least as many, and their parities folded to it."""
+    out: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    w = int(width.max(initial=1))
+    at, folded = np.zeros(len(width), np.int64), np.zeros((0, w), np.uint64)
+    while w >= 1:
+        own = np.flatnonzero(width == w)
+        at[own] = len(folded) + np.arange(len(own))
+        new = np.frombuffer(b"".join(parity[i] for i in own.tolist()), np.uint64).reshape(-1, w)
+        folded = np.concatenate((folded, new))
+        out[w] = at.copy(), folded
+        if w > 1:
+            folded = folded[:, : w // 2] ^ folded[:, w // 2 :]
+        w //= 2
+    return out
+
+
+def _near(columns: dict[str, np.ndarray], parity: list[bytes], percent: int, one: bool) -> np.ndarray:
+    """Of entries sorted by tile and side (left ones first): the pairs of a left and a right entry of a tile that may link, each once; with one, only that with the
+    smallest right class for each left entry."""
+    tile, right = columns["tile"], columns["right"]
+    ends = np.flatnonzero(np.concatenate((tile[1:] != tile[:-1], [True]))) + 1
+    begins = np.concatenate(([0], ends[:-1]))
+    lefts = np.add.reduceat((~right).astype(np.int64), begins)
+    left = np.flatnonzero(~right)
+    group = np.repeat(np.arange(len(begins)), lefts)
+    low, times = (begins + lefts)[group], (ends - begins - lefts)[group]
+    width = np.array([len(x) // 8 for x in parity], np.int64)
+    folded = _folded(parity, width)
+    cls, size, have, root, outer, own = (columns[c] for c in ("class", "size", "have", "root", "outer", "own"))
+    done, found, a = np.cumsum(times), [np.zeros((0, 2), np.int64)], 0
+    while a < len(left):
+        b = max(a + 1, int(np.searchsorted(done, (done[a - 1] if a else 0) + PAIRS, "right")))
+        t = times[a:b]
+        x = np.repeat(left[a:b], t)
+        y = np.repeat(low[a:b] - (np.cumsum(t) - t), t) + np.arange(int(t.sum()))
+        ok = (root[x] != root[y]) & (own[x] | own[y]) & (100 * np.minimum(size[x], size[y]) >= percent * np.maximum(size[x], size[y])) & (one | ~outer[y] | (cls[x] < cls[y]))
+        x, y = x[ok], y[ok]
+        differ = have[x] + have[y] - 2 * -(-percent * (size[x] + size[y]) // (100 + percent))
+        common = np.minimum(width[x], width[y])
+        for w in np.unique(common).tolist():
+            here = np.flatnonzero(common == w)
+            at, bits = folded[w]
+            near = np.bitwise_count(bits[at[x[here]]] ^ bits[at[y[here]]]).sum(1, dtype=np.int64) <= differ[here]
+            i, j = x[here[near]], y[here[near]]
+            if one:
+                order = np.lexsort((cls[j], i))
+                order = order[np.concatenate(([True], i[order][1:] != i[order][:-1]))] if len(order) else order
+                i, j = i[order], j[order]
+            found.append(np.stack((cls[i], cls[j]), 1))
+        a = b
+    return np.unique(np.concatenate(found), axis=0)
+
+
+def near_pairs(entries: DataFrame, percent: int, one: bool) -> DataFrame:
+    """a and b of the pairs in a tile that may link, with one at most one for each left entry; entries have gram, band, i, j (the tile), right and what _near needs."""
+    entries = entries.repartition("gram", "band", "i", "j").sortWithinPartitions("gram", "band", "i", "j", "right")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def flush(whole: bool) -> pa.RecordBatch:
+            """Compares the tiles that are complete; the last one may go on in the next batch."""
+            nonlocal held
+            t = pa.Table.from_batches(held).combine_chunks()
+            key = np.stack([t[c].to_numpy() for c in ("gram", "band", "i", "j")])
+            new = np.concatenate(([True], (key[:, 1:] != key[:, :-1]).any(0)))
+            cut = t.num_rows if whole else int(np.flatnonzero(new)[-1])
+            held = t.slice(cut).to_batches()
+            if not cut:
+                return pa.RecordBatch.from_pylist([], schema)
+            t = t.slice(0, cut)
+            columns = {c: t[c].to_numpy(zero_copy_only=False) for c in ("class", "size", "root", "outer", "own", "right")}
+            columns |= {"tile": np.cumsum(new)[:cut], "have": t["have"].to_numpy().astype(np.int64)}
+            found = _near(columns, t["parity"].to_pylist(), percent, one)
+            return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], schema=schema)
+
+        size = 0
+        for b in batches:
+            if b.num_rows:
+                held.append(b)
+                size += b.nbytes
+                if size > HELD:
+                    yield flush(False)
+                    size = 0
+        if held:
+            yield flush(True)
+
+    return entries.mapInArrow(run, "a long, b long").distinct()
+
+
 def class_components(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """class and root of all classes that link with another."""
+    """node (a class) and root of all classes that link with another."""
     rows = stored(rows, "incidence")
-    prefix = stored(rows.select("class", F.explode(F.slice("grams", F.lit(1), F.col("n_prefix"))).alias("gram")), "prefixes")
+    prefix = lambda band, n, own: rows.select("class", band.alias("band"), F.lit(own).alias("own"), F.explode(F.slice("grams", F.lit(1), F.col(n))).alias("gram"))
+    entries = stored(prefix(F.col("band"), "n_own", True).unionByName(prefix(F.col("band") - 1, "n_below", False)), "prefixes")
 
-    hubs = prefix.groupBy("gram").agg(F.min("class").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    star = prefix.join(hubs, "gram").where("class <> hub").groupBy("class", "hub").agg(F.count(F.lit(1)).alias("votes"))
+    hubs = stored(entries.groupBy("gram", "band").agg(F.min("class").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "hubs")
+    star = entries.join(hubs, ["gram", "band"]).where("class <> hub").groupBy("class", "hub").agg(F.count(F.lit(1)).alias("votes"))
     star = stored(star.groupBy("class").agg(F.max_by("hub", F.struct("votes", "hub")).alias("hub")), "stars")
     lefts = _numbered(star.select(F.col("hub").alias("class")).distinct())
     wanted = star.join(lefts.withColumnRenamed("class", "hub"), "hub").select("left_block", "class").distinct()
     links = stored(tile_links(rows, wanted, lefts, percent), "links")
     known = stored(components(links), "components")
 
-    placed = prefix.join(known.withColumnRenamed("node", "class"), "class", "left").select("gram", "class", F.coalesce("root", "class").alias("root"))
-    sizes = placed.groupBy("gram", "root").agg(F.count(F.lit(1)).alias("n"))
-    split = sizes.groupBy("gram").agg(F.max_by("root", F.struct("n", "root")).alias("largest"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
-    open_columns = stored(placed.join(split, "gram").select("gram", "class", (F.col("root") == F.col("largest")).alias("inner")), "open")
-    lefts = _numbered(open_columns.where(~F.col("inner")).select("class").distinct())
-    at = open_columns.where(~F.col("inner")).join(lefts, "class").select("gram", "left_block").distinct()
-    wanted = open_columns.select("gram", "class").join(at, "gram").select("left_block", "class").distinct()
-    more = stored(tile_links(rows, wanted, lefts, percent), "links")
-    return components(links.unionByName(more))
+    # columns with one row are of no use here, so they go before anything is joined
+    shared = stored(entries.join(hubs.select("gram", "band"), ["gram", "band"], "left_semi"), "shared")
+    # one near row for each first, which makes components of groups that have no hub in common; then all pairs of what is still apart
+    for one in (True, False):
+        pairs = stored(near_pairs(_open_tiles(rows, shared, known), percent, one), "pairs")
+        lefts = _numbered(pairs.select(F.col("a").alias("class")).distinct())
+        wanted = pairs.join(lefts.withColumnRenamed("class", "a"), "a").select("left_block", F.col("b").alias("class")).distinct()
+        links = links.unionByName(stored(tile_links(rows, wanted, lefts, percent), "links"))
+        known = components(links)
+        if one:
+            known = stored(known, "components")
+    return known
+
+
+def _open_tiles(rows: DataFrame, entries: DataFrame, known: DataFrame) -> DataFrame:
+    """What near_pairs compares: for prefix columns with rows of several components, those outside of its largest one (left) and all (right), in pieces."""
+    facts = rows.select("class", "size", "have", "parity").join(known.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    facts = stored(facts, "facts")
+    rooted = stored(entries.join(facts.select("class", "root"), "class"), "rooted")
+    sizes = rooted.groupBy("gram", "band", "root").agg(F.count(F.lit(1)).alias("n"))
+    split = sizes.groupBy("gram", "band").agg(F.max_by("root", F.struct("n", "root")).alias("largest"), F.count(F.lit(1)).alias("roots"), F.sum("n").alias("all"), F.max("n").alias("inner"))
+    pieces = lambda n: F.ceil(n / PIECE_ROWS).cast("int")
+    split = stored(split.where("roots > 1").select("gram", "band", "largest", pieces(F.col("all") - F.col("inner")).alias("n_left"), pieces(F.col("all")).alias("n_right")), "split")
+    open_rows = rooted.join(split, ["gram", "band"]).withColumn("outer", F.col("root") != F.col("largest")).join(facts.drop("root"), "class")
+    piece = lambda n: F.pmod(F.xxhash64("class"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    names = ["gram", "band", "class", "size", "have", "root", "outer", "own", "parity"]
+    left = open_rows.where("outer").select(*names, F.lit(False).alias("right"), piece("n_left").alias("i"), every("n_right").alias("j"))
+    right = open_rows.select(*names, F.lit(True).alias("right"), every("n_left").alias("i"), piece("n_right").alias("j"))
+    return left.unionByName(right)
 
 
 def placed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = N, percent: int = PERCENT) -> DataFrame:
@@ -310,7 +457,7 @@ def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int =
     """
     rows = placed(docs, doc_id, text, n, percent)
     least = rows.where("size > 0").groupBy("root").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    both = rows.join(least, "root", "left")
+    both = rows.join(stored(least, "least"), "root", "left")  # stored, so that Spark can split the rows of a large component
     own = F.when(F.col("size") > 0, F.coalesce("least", "doc_id")).otherwise(F.col("doc_id"))
     return both.select("doc_id", F.col("size").alias("n_shingles"), own.alias("component_id"), F.col("class"))
 

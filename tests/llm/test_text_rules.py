@@ -149,10 +149,33 @@ def test_leaks_at_the_bound_with_far_prints(spark):
     docs = spark.createDataFrame([(i, f"it says {x} here") for i, x in enumerate(texts)], "doc_id long, text string")
     items = spark.createDataFrame([(i, w) for i, (w, _) in enumerate(pairs)], "item_id long, text string")
     got = {(r.doc_id, r.item_id): round(r.similarity, 6) for r in decontamination.leaks(docs, items).collect()}
-    assert got == {(i, i): round(similarity(x.split(), w.split()), 6) for i, (x, (w, _)) in enumerate(zip(texts, pairs))}
+    best = lambda x, w: max(similarity(x[i : i + len(w)], w) for i in range(len(x) - len(w) + 1))
+    assert got == {(i, i): round(best(f"it says {x} here".split(), w.split()), 6) for i, (x, (w, _)) in enumerate(zip(texts, pairs))}
+    assert all(round(similarity(x.split(), w.split()), 6) <= got[i, i] for i, (x, (w, _)) in enumerate(zip(texts, pairs)))
     assert decontamination.clean(docs, items).count() == 0
 
 
+def test_leaks_with_words_put_in_and_left_out_equal_brute_force(spark):
+    rng = random.Random(5)
+    items = [[f"{x}{i}" for i in range(n)] for x, n in (("a", 14), ("b", 25), ("c", 40), ("d", 7))]
+    texts = []
+    for i in range(60):
+        w = list(items[i % 4])
+        for _ in range(rng.randrange(3)):
+            at = rng.randrange(len(w))
+            w[at:at + rng.randrange(2)] = ["new"] * rng.randrange(2)
+        texts.append(["lead", "in"][: rng.randrange(3)] + w + ["and", "out"][: rng.randrange(3)])
+    docs = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    wanted = {}
+    for i, x in enumerate(texts):
+        for q, w in enumerate(items):
+            best = max(similarity(x[s : s + len(w)], w) for s in range(max(1, len(x) - len(w) + 1)))
+            if best >= 0.75:
+                wanted[i, q] = round(best, 6)
+    assert {(r.doc_id, r.item_id): round(r.similarity, 6) for r in decontamination.leaks(docs, bench).collect()} == wanted and len(wanted) > 10
+
+
 def test_many_items_and_a_hot_one(spark, monkeypatch):
     monkeypatch.setattr(decontamination, "BROADCAST_ROWS", 3)
     docs = spark.createDataFrame([(i, f"n{i} {odd.ITEM}") for i in range(60)], "doc_id long, text string")

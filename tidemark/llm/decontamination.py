@@ -4,15 +4,17 @@ Texts and items are words (runs of letters, marks and digits, lower case) and th
 sequence where an item is shorter. The similarity of a window and an item is the weight of the shingles that both have over that of the
 shingles that either has; a shingle weighs as many as its words have characters.
 
-1. Windows: a window as long as an item, in words, is a candidate for it only if the two share a shingle, as their similarity
-   is 0 otherwise. A shared shingle at word p of a text and o of the item puts the window at p - o. Shingles of texts meet those of items in a join on their hashes.
-2. Each window is compared with the items that it is a candidate for by their exact similarity; those of at least ``SIMILARITY`` are leaks. No print,
-   radius or count of shared shingles stands before that, so none is lost.
+1. Windows: every window of a text that is as long as an item, in words, and shares a shingle with it is a candidate for it, as the similarity of all others is
+   0. A shared shingle at word p of a text is in the windows that start from p - length + k to p. Shingles of texts meet those of items in a join on their hashes.
+2. The weight of the shared shingles in a window bounds what both have in common from above. Each one adds its weight where its windows begin and takes
+   it off behind them, so running sums give the bound of all windows at once; those where it is below ``SIMILARITY`` times the item's weight can be no leak.
+3. The others are cut out of the text and compared with their items by their exact similarity; those of at least ``SIMILARITY`` are leaks. No print, radius or count
+   stands before that, so none is lost.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .tables import stored, table
@@ -66,7 +68,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
     # tables are written between steps, so that no later filter makes Spark compute word lists or shingles again for each use
     items = stored(indexed(benchmark, item_id, item_text).dropDuplicates(["item_id", "item_words"]).withColumn("item_key", F.xxhash64(F.col("item_id").cast("string"), "item_words")), "items")
     sizes = sorted(r["k"] for r in items.select("k").distinct().collect())  # 1 to SHINGLE
-    hashed = items.select("item_key", "length", "k", _hashes(F.col("item_words")).alias("hashes"))
+    hashed = items.select("item_key", "length", "k", "item_words", total(F.col("item_shingles")).alias("total"), _hashes(F.col("item_words")).alias("hashes"))
     gram_of = lambda hashes, at, k: F.xxhash64(*(F.get(hashes, at + j) for j in range(k)))
     plain = docs.select(row_key(F.col(f"`{doc_id}`"), F.col(f"`{text}`")).alias("doc_key"), F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     listed = plain.select("doc_key", _hashes(word_list(F.col("text"))).alias("hashes"))
@@ -76,23 +78,28 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
         n = F.size("hashes") - (k - 1)
         starts = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
         grams = lambda: F.transform(starts, lambda i: gram_of(F.col("hashes"), i, k))  # noqa: B023, E731
-        at_item = hashed.where(F.col("k") == k).select("item_key", F.col("length"), F.posexplode(grams()).alias("offset", "gram"))
-        at_text = listed.select("doc_key", F.posexplode(grams()).alias("place", "gram"))
+        weights = F.transform(starts, lambda i: F.length(F.array_join(F.slice("item_words", i + 1, k), "")).cast("long"))  # noqa: B023
+        at_item = hashed.where(F.col("k") == k).select("item_key", "length", "total", F.explode(F.arrays_zip(grams().alias("gram"), weights.alias("weight"))).alias("x")).select("item_key", "length", "total", "x.*").distinct()
+        at_text = listed.select("doc_key", F.size("hashes").alias("n"), F.posexplode(grams()).alias("place", "gram"))
         few = at_item.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-        found = at_text.join(F.broadcast(at_item) if few else at_item, "gram").select("doc_key", "item_key", "length", (F.col("place") - F.col("offset")).alias("start"))
+        last = F.greatest(F.col("n") - F.col("length"), F.lit(0))  # a text shorter than the item is one window
+        first = F.least(F.greatest(F.col("place") - F.col("length") + k, F.lit(0)), last)
+        found = at_text.join(F.broadcast(at_item) if few else at_item, "gram").select("doc_key", "item_key", "length", "total", "weight", first.alias("first"), F.least("place", last).alias("last"))
         anchors = found if anchors is None else anchors.unionByName(found)
     if anchors is None:
-        anchors = listed.select("doc_key", F.lit(0).cast("long").alias("item_key"), F.lit(0).alias("length"), F.lit(0).alias("start")).where(F.lit(False))
-    # one window at each end of a text, however far the item would stick out
-    windows = anchors.select("doc_key", "item_key", "length", F.greatest("start", F.lit(0)).alias("start")).distinct()
-    windows = stored(windows, "windows")
-
-    texts = plain.join(windows, "doc_key").select("doc_key", "doc_id", "item_key", "length", "start", word_list(F.col("text")).alias("words"))
-    n = F.size("words")
-    cut = F.greatest(F.least(F.col("start"), n - F.col("length")), F.lit(0))
-    texts = texts.withColumn("start", cut).withColumn("window", F.slice("words", F.col("start") + 1, F.col("length"))).drop("words")
+        anchors = listed.select("doc_key", *(F.lit(0).cast(t).alias(c) for c, t in (("item_key", "long"), ("length", "int"), ("total", "long"), ("weight", "long"), ("first", "int"), ("last", "int")))).where(F.lit(False))
+    turns = anchors.select("doc_key", "item_key", "length", "total", F.explode(F.array(F.struct(F.col("first").alias("start"), F.col("weight").alias("more")), F.struct((F.col("last") + 1).alias("start"), (-F.col("weight")).alias("more")))).alias("x"))
+    turns = turns.groupBy("doc_key", "item_key", "length", "total", "x.start").agg(F.sum("x.more").alias("more"))
+    by = Window.partitionBy("doc_key", "item_key").orderBy("start")
+    spans = turns.withColumn("bound", F.sum("more").over(by)).withColumn("until", F.lead("start").over(by)).where(F.col("bound") >= SIMILARITY * F.col("total"))
+    windows = stored(spans.select("doc_key", "item_key", "length", F.explode(F.sequence("start", F.col("until") - 1)).alias("start")), "windows")
+
+    # each text is split once for all of its windows
+    places = windows.groupBy("doc_key").agg(F.collect_set(F.struct("item_key", "length", "start")).alias("places"))
+    whole = plain.dropDuplicates(["doc_key"]).join(places, "doc_key").select("doc_key", "doc_id", word_list(F.col("text")).alias("words"), "places")
+    texts = whole.select("doc_key", "doc_id", F.explode(F.transform("places", lambda x: F.struct(x["item_key"].alias("item_key"), x["length"].alias("length"), x["start"].alias("start"), F.slice("words", x["start"] + 1, x["length"]).alias("window")))).alias("x"))
     k = F.least(F.col("length"), F.lit(SHINGLE))
-    texts = stored(texts, "window-words").distinct().where(F.size("window") >= k)
+    texts = stored(texts.select("doc_key", "doc_id", "x.*").where(F.size("window") >= F.least(F.col("length"), F.lit(SHINGLE))), "window-words")
     texts = stored(texts.withColumn("shingles", weighted(F.col("window"), k)).drop("window"), "window-shingles")
 
     right = items.select("item_key", "item_id", "item_shingles")
@@ -133,8 +140,9 @@ dp as (select r, k, w, unnest(range(1, len(w) - k + 2)) as p from docs, ks where
 dg as (select r, k, p, array_to_string(w[p : p + k - 1], ' ') as g from dp),
 ip as (select q, k, n, w, unnest(range(1, len(w) - k + 2)) as p from items),
 ig as (select q, k, n, p, array_to_string(w[p : p + k - 1], ' ') as g, length(array_to_string(w[p : p + k - 1], '')) as c from ip),
-win as (select distinct r, q, greatest(dg.p - ig.p, 0) as s from dg join ig on dg.g = ig.g and dg.k = ig.k),
-cut as (select distinct r, q, doc_id, item_id, n, k, docs.w as w, greatest(least(s, len(docs.w) - n), 0) as s from win join docs using (r) join items using (q)),
+hit as (select r, q, dg.p - 1 as p, ig.n, dg.k, len(docs.w) as m from dg join ig on dg.g = ig.g and dg.k = ig.k join docs using (r)),
+win as (select distinct r, q, unnest(range(least(greatest(p - n + k, 0), greatest(m - n, 0)), least(p, greatest(m - n, 0)) + 1)) as s from hit),
+cut as (select r, q, doc_id, item_id, n, k, docs.w as w, s from win join docs using (r) join items using (q)),
 wp as (select r, q, s, k, doc_id, item_id, n, w, unnest(range(s + 1, least(s + n, len(w)) - k + 2)) as p from cut),
 wg as (select distinct r, q, s, doc_id, item_id, n, array_to_string(w[p : p + k - 1], ' ') as g, length(array_to_string(w[p : p + k - 1], '')) as c from wp),
 iset as (select distinct q, g, c from ig),

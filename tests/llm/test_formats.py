@@ -206,6 +206,35 @@ def test_pivotal_keeps_expectations():
     assert np.allclose(seen / 20_000, 0.37, atol=0.02)
 
 
+def test_rounding_pairs_small_rows_and_keeps_sums(monkeypatch):
+    paired = []
+    pivotal = mixing.pivotal
+    monkeypatch.setattr(mixing, "pivotal", lambda size, *x: (paired.append(len(size)), pivotal(size, *x))[1])
+    rng = np.random.default_rng(3)
+    size = np.sort(np.concatenate((rng.integers(1, 90, 300), [2000, 3000]))).astype(float)[::-1].copy()
+    seen = np.zeros(len(size))
+    for _ in range(2000):
+        out = mixing.rounded(size, 0.3, rng)
+        open_rows = (out > 0) & (out < 1)
+        assert abs((out * size).sum() - 0.3 * size.sum()) < 1e-6 and open_rows.sum() <= 1 and (size[open_rows] < 1000).all()
+        seen += out
+    assert np.allclose(seen / 2000, 0.3, atol=0.06) and set(paired) == {300}
+
+
+def test_small_sources_are_paired_and_combined_in_the_tree(spark, monkeypatch):
+    levels = []
+    step = mixing._step
+    monkeypatch.setattr(mixing, "_step", lambda seed, level, last: (levels.append((level, last)), step(seed, level, last))[1])
+    got = mixing.op10_mixing(spark, SF).collect()
+    assert levels == [(1, True)]
+    taken, target, largest = Counter(), {}, Counter()
+    for r in got:
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+        largest[r.source] = max(largest[r.source], r.size)
+    assert all(abs(taken[s] - t) <= largest[s] for s, t in target.items())
+
+
 def test_mixed_rows_keep_their_columns(spark):
     docs = odd.documents(spark, clash=("size", "copies", "bucket", "mix_key"))
     got = mixing.mixed(docs)

@@ -5,12 +5,12 @@ target / source size copies. The whole part is given; the fractional parts of
 a source are rounded by pivotal steps: two rows exchange probability, with their sizes
 as exchange rate, until one of them is 0 or 1. A step keeps every row's expectation
 and the sum of size times probability, so what a source takes differs from its target
-by less than its last undecided row. Large rows go first and are paired with all smaller rows of their bucket as one, so the last
-undecided row is a small one.
+by less than its last undecided row. A pair decides its smaller row, so a large one would be the last: rows that are large beside what follows
+them (``LARGE``) are decided first, each paired with all that follow as one, and the others pair by pair.
 
 Rows are dealt to buckets of about ``BUCKET`` rows by a hash of their content, so a large
-source is spread over many tasks. Each bucket leaves one undecided row at most; these
-are combined in a tree of fan-in ``FAN`` until each source has one left. Random
+source is spread over many tasks. Each bucket pairs its rows and leaves one undecided at most; these
+are combined in a tree of fan-in ``FAN`` until each source has one left, whatever the size of a source. Random
 numbers depend on seed, source, level and bucket only, so reruns agree on any cluster.
 """
 
@@ -30,6 +30,8 @@ BUCKET = 4096
 FAN = 64
 WEIGHTS = (5.0, 2.0, 1.0)
 CAP = 3.0
+#: A row is large if it is more than this part of the rows that follow it in its bucket.
+LARGE = 1 / 32
 #: Probabilities this near to 0 or 1 are taken as that.
 EXACT = 1e-12
 
@@ -92,28 +94,25 @@ def pivotal(size: np.ndarray, p: np.ndarray, rng: np.random.Generator) -> tuple[
     return np.array(p), at
 
 
-def sweep(size: np.ndarray, p: float, rng: np.random.Generator) -> np.ndarray:
-    """Pivotal steps for rows, the largest first, that all have probability p: each row against all that follow it as one.
+def rounded(size: np.ndarray, p: float, rng: np.random.Generator) -> np.ndarray:
+    """Rounds rows, the largest first, that all have probability p; one at most stays fractional.
 
-    The row becomes 0 or 1 and those that follow share the difference, so they go on with one common
-    probability; where they can't take it all, they become 0 or 1 and the row is the one that stays fractional.
+    A large row meets all that follow it as one: it becomes 0 or 1 and they share the difference, so they go on with one common probability; where they can't
+    take it all, they become 0 or 1 and the row stays fractional. From the first row on that is not large, rows are paired.
     """
-    out = np.zeros(len(size))
-    rest = np.concatenate((np.cumsum(size[::-1])[::-1][1:], np.zeros(1))).tolist()
-    for i, (s, r, u) in enumerate(zip(size.tolist(), rest, rng.random(len(size)).tolist())):
-        if not EXACT < p < 1.0 - EXACT:
-            out[i:] = round(p)
-            break
-        if r <= 0.0:
-            out[i] = p
-            break
+    out, i = np.full(len(size), p), 0
+    rest = np.concatenate((np.cumsum(size[::-1])[::-1][1:], np.zeros(1)))
+    while i < len(size) and EXACT < p < 1.0 - EXACT and 0.0 < LARGE * rest[i] < size[i]:
+        s, r = float(size[i]), float(rest[i])
         up, down = min((1.0 - p) * s, p * r), min(p * s, (1.0 - p) * r)
-        moved = up if u * (up + down) < down else -down
-        q, p = p + moved / s, p - moved / r
-        if EXACT < q < 1.0 - EXACT:
-            out[i], out[i + 1 :] = q, round(p)
-            break
-        out[i] = round(q)
+        moved = up if rng.random() * (up + down) < down else -down
+        out[i], p = p + moved / s, p - moved / r
+        i += 1
+        if EXACT < out[i - 1] < 1.0 - EXACT:
+            out[i:] = round(p)
+            return out
+        out[i - 1] = round(out[i - 1])
+    out[i:] = pivotal(size[i:], np.full(len(size) - i, p), rng)[0]
     return out
 
 
@@ -162,30 +161,26 @@ def copies(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = C
 
     def level0(t: pa.Table) -> pa.Table:
         t = t.take(np.lexsort((t["mix_key"].to_numpy(), -t["piece_size"].to_numpy())))
+        rng = _rng(seed, t["source_key"][0].as_py(), t["source_key"][0].as_py() >> 32, 0, t["bucket"][0].as_py())
         size, part = t["piece_size"].to_numpy(), t["part"].to_numpy().copy()
         open_rows = part > 0  # one probability in a source; rows of size 0 are last and have none
-        rng = _rng(seed, t["source_key"][0].as_py(), t["source_key"][0].as_py() >> 32, 0, t["bucket"][0].as_py())
         if open_rows.any():
-            part[open_rows] = sweep(size[open_rows], float(part[open_rows][0]), rng)
+            part[open_rows] = rounded(size[open_rows], float(part[open_rows][0]), rng)
         return t.set_column(t.schema.get_field_index("part"), "part", pa.array(part))
 
     first = stored(dealt.groupBy("source_key", "bucket").applyInArrow(level0, dealt.schema), "mix-level-0")
     done = first.where("part in (0, 1)")
     left = first.where("part not in (0, 1)")
-    if most > BUCKET:
-        levels = max(1, math.ceil(math.log(math.ceil(most / BUCKET), FAN)))
-        open_rows = left.select("source_key", "bucket", "piece_size", "part", F.col("bucket").alias("node"))
-        settled = []
-        for level in range(1, levels + 1):
-            grouped = open_rows.withColumn("node", F.floor(F.col("node") / FAN)).groupBy("source_key", "node")
-            now = stored(grouped.applyInArrow(_step(seed, level, level == levels), open_rows.schema), f"mix-level-{level}")
-            settled.append(now.where("part in (0, 1)"))
-            open_rows = now.where("part not in (0, 1)")
-        decided = reduce(DataFrame.unionByName, settled).select("source_key", "bucket", F.col("part").alias("decided"))
-        left = left.join(decided, ["source_key", "bucket"])
-    else:
-        last = F.pmod(F.xxhash64(F.lit(seed), "source_key", F.lit("last")), F.lit(1 << 30)) / float(1 << 30)
-        left = left.withColumn("decided", (last < F.col("part")).cast("double"))
+    levels = max(1, math.ceil(math.log(max(1, math.ceil(most / BUCKET)), FAN)))
+    open_rows = left.select("source_key", "bucket", "piece_size", "part", F.col("bucket").alias("node"))
+    settled = []
+    for level in range(1, levels + 1):
+        grouped = open_rows.withColumn("node", F.floor(F.col("node") / FAN)).groupBy("source_key", "node")
+        now = stored(grouped.applyInArrow(_step(seed, level, level == levels), open_rows.schema), f"mix-level-{level}")
+        settled.append(now.where("part in (0, 1)"))
+        open_rows = now.where("part not in (0, 1)")
+    decided = reduce(DataFrame.unionByName, settled).select("source_key", "bucket", F.col("part").alias("decided"))
+    left = left.join(decided, ["source_key", "bucket"])  # a row a bucket
     done = done.withColumn("decided", F.col("part"))
     both = done.unionByName(left.select(*done.columns))
     return both.select(*names, "source_size", "target", (F.col("whole") + F.col("decided").cast("long")).alias("copies"))

@@ -30,6 +30,8 @@ N = 5
 PERCENT = 75
 #: What a text with a word has a match of; the bytes of words.SPACE are no words.
 WORD = r"[^\x20\x09-\x0D]"
+#: Bytes of text whose n-grams go to a block together.
+MESSAGE_BYTES = 2 << 20
 #: Bytes of n-grams in a block of columns, left rows of a tile, and entries of its right rows.
 BLOCK_BYTES = 32 << 20
 LEFT_ROWS = 128
@@ -84,6 +86,7 @@ def members(docs: DataFrame, doc_id: str, text: str, n: int = N) -> DataFrame:
                 cls.append(c)
                 size.append(s)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(cls).view(np.int64)), pa.array(np.concatenate(size).astype(np.int64))], ["doc_id", "class", "size"])
+        words.release()
 
     source = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     return source.mapInArrow(run, source.drop("text").schema.add("class", "long").add("size", "long"))
@@ -94,7 +97,7 @@ def column_blocks(docs: DataFrame, text: str, blocks: int, n: int = N) -> DataFr
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for g in words.groups(b.column(0)):
+            for g in words.groups(b.column(0), MESSAGE_BYTES):
                 grams, doc, _ = _sets(g, n)
                 cls, size = _classes(grams, doc, g.n_docs)
                 once = np.zeros(g.n_docs, bool)
@@ -113,6 +116,7 @@ def column_blocks(docs: DataFrame, text: str, blocks: int, n: int = N) -> DataFr
                     out.append((int(block[x]), cls[rows].tobytes(), size[rows].astype(np.uint32).tobytes(), counts.astype(np.uint32).tobytes(), grams[x:y].tobytes()))
                 columns = list(zip(*out)) or [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), *[pa.binary()] * 4))], ["block", "classes", "sizes", "counts", "grams"])
+        words.release()
 
     return docs.select(F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(run, "block int, classes binary, sizes binary, counts binary, grams binary")
 

@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import words
 from .tables import table
@@ -109,6 +110,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
         for b in batches:
             m = _measure(b.column(len(keep)))
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *(pa.array(m[k], pa.int64()) for k in MEASURES)], [*keep, *MEASURES])
+        words.release()
 
     source = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text}`"))
     schema = reduce(lambda s, k: s.add(k, "long"), MEASURES, source.drop(text).schema)
@@ -144,12 +146,20 @@ def ablation(ledger_df: DataFrame, policy: str) -> DataFrame:
 
 
 def filtered(docs: DataFrame, policy: str = "full-1", text: str = "text") -> DataFrame:
-    """The rows of docs that the policy keeps, with all their columns. The text travels beside its measures, so nothing is joined or shuffled."""
-    names = docs.columns
-    plain = docs.toDF(*(f"c{i}" for i in range(len(names))))
-    at = f"c{names.index(text)}"
-    measured = ledger(plain.withColumn("measured_text", F.col(at)), "measured_text")
-    return measured.where(~rejects(policy)).select(*(F.col(f"c{i}").alias(n) for i, n in enumerate(names)))
+    """The rows of docs that the policy keeps, with all their columns. The text goes to the worker once and comes back beside its measures, so nothing is joined or shuffled."""
+    names, n = docs.columns, len(docs.columns)
+    at = names.index(text)
+    plain = docs.toDF(*(f"c{i}" for i in range(n)))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            m = _measure(b.column(at))
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(m[k], pa.int64()) for k in MEASURES)], [*(f"c{i}" for i in range(n)), *MEASURES])
+        words.release()
+
+    plain = plain.withColumn(f"c{at}", F.col(f"c{at}").cast("string"))
+    measured = plain.mapInArrow(run, reduce(lambda s, k: s.add(k, "long"), MEASURES, StructType(list(plain.schema)))).withColumn("failed_rules", failures())
+    return measured.where(~rejects(policy)).select(*(F.col(f"c{i}").alias(x) for i, x in enumerate(names)))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,7 +37,7 @@ BLOCK = 4096
 FILE_IDS = 4 << 20
 SHARD_BYTES = 24 << 20
 #: Distinct words that a worker remembers the ids of; beyond this it forgets all and goes on.
-REMEMBERED = 700_000
+REMEMBERED = 400_000
 
 FILES = "shard int, file int, name string, docs long, ids long, bytes long, crc long"
 
@@ -211,6 +211,7 @@ def write(docs: DataFrame, uri: str, tokenizer_path: str, vocabulary: int, end_i
                     yield flush()
         if waiting:
             yield flush()
+        words.release()
 
     found = place(spark, "token-files")
     dealt.mapInArrow(run, FILES).write.parquet(found)

@@ -8,6 +8,7 @@ those bytes inside a character, so this equals the character class
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,7 +16,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-GROUP = 2 << 20
+GROUP = 1 << 19
+#: Powers that a worker keeps; those for a longer text go with it.
+KEPT = 2 << 20
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -28,13 +31,22 @@ _powers: list[np.ndarray] = []
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of an odd multiplier and of its inverse, modulo 2^64."""
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, GROUP + 1)
-        _powers[:] = [
-            np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(size - 1, x, np.uint64))))
-            for x in (_MULTIPLIER, pow(_MULTIPLIER, -1, 1 << 64))
-        ]
-    return _powers[0], _powers[1]
+    if _powers and len(_powers[0]) >= n:
+        return _powers[0], _powers[1]
+    size = max(n, GROUP + 1)
+    found = [np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(size - 1, x, np.uint64)))) for x in (_MULTIPLIER, pow(_MULTIPLIER, -1, 1 << 64))]
+    if size <= KEPT + 1:
+        _powers[:] = found
+    return found[0], found[1]
+
+
+def release() -> None:
+    """Gives memory that is free back to the machine: workers live on between tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def mix(h: np.ndarray) -> np.ndarray:

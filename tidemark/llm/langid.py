@@ -22,8 +22,9 @@ from . import words
 from .tables import table
 
 ORDER = 3
-#: Bytes of labelled text a language that the model is fitted on: texts are taken by a hash of their id at the rate that gives so much.
+#: Bytes of labelled text a language that the model is fitted on, about: stretches of STRETCH characters are taken by a hash at the rate that gives so much, one at least.
 SAMPLE_BYTES = 1 << 20
+STRETCH = 1 << 13
 PAD = 32
 
 
@@ -112,19 +113,23 @@ def build(counts: list[tuple[str, int, int]]) -> Model:
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample_bytes: int = SAMPLE_BYTES) -> Model:
-    """Fits on a sample of about sample_bytes a language; rows without text or language and texts longer than sample_bytes are left out.
+    """Fits on a sample of about sample_bytes a language; rows without text or language are left out.
 
-    Which rows are in the sample depends on their keys only. What reaches the driver are counts of windows of the sample: no more entries than it has bytes.
+    Texts of any length are cut into stretches. Which are in the sample depends on the rows' keys and texts only; the stretch of a language that is drawn first is always in it, so
+    every language is learned. What reaches the driver are a row a language and counts of windows of the sample: no more entries than it has bytes.
     """
-    size = F.octet_length(text).cast("long")
-    rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (size > 0) & (size <= sample_bytes)).select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.coalesce(F.col(key).cast("string"), F.lit("")).alias("key"))
-    totals = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.sum(F.octet_length("text").cast("long")).alias("n")).collect()}
+    spark = labelled.sparkSession
+    rows = labelled.where(F.col(lang).isNotNull() & (F.octet_length(text) > 0)).select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"), F.coalesce(F.col(key).cast("string"), F.lit("")).alias("key"))
+    places = F.sequence(F.lit(0), F.floor((F.length("text") - 1) / STRETCH).cast("int"))
+    draw = lambda at: F.pmod(F.xxhash64(F.col("own"), at), F.lit(1 << 30)) / float(1 << 30)
+    rows = rows.withColumn("own", F.xxhash64("key", "text"))
+    totals = rows.groupBy("lang").agg(F.sum(F.octet_length("text").cast("long")).alias("n"), F.min(F.array_min(F.transform(places, draw))).alias("first")).collect()
     if not totals:
         return build([])
-    spark = labelled.sparkSession
-    rate = spark.createDataFrame([(k, min(1.0, sample_bytes / n)) for k, n in totals.items()], "lang string, rate double")
-    draw = F.pmod(F.xxhash64("key", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
-    sample = rows.join(F.broadcast(rate), "lang").where(draw < F.col("rate")).select("lang", "text")  # a row per language
+    rate = spark.createDataFrame([(r["lang"], max(r["first"], min(1.0, sample_bytes / r["n"]))) for r in totals], "lang string, rate double")
+    taken = F.filter(places, lambda at: draw(at) <= F.col("rate"))
+    sample = rows.join(F.broadcast(rate), "lang").select("lang", "text", F.explode(taken).alias("at"))  # a row per language is sent
+    sample = sample.select("lang", F.substring("text", F.col("at") * STRETCH + 1, F.lit(STRETCH)).alias("text"))
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plain = np.arange(256)

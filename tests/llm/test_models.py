@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -134,6 +135,16 @@ def test_language_of_held_out_documents(spark):
     assert n > 100 and right >= 0.95 * n
 
 
+def test_languages_of_long_and_of_many_texts_are_all_learned(spark):
+    words = {"en": "the cat sat on the mat and then it ran home ", "de": "der hund und die katze gehen nach hause "}
+    for long in (1_260_000, 1_040_000):
+        rows = [(i, (words["de"] * (long // 40 + 1))[:long], "de") for i in range(3)] + [(9 + i, words["en"] * 20, "en") for i in range(5)]
+        model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+        assert model.languages == ["de", "en"]
+    rows = [(None, " ".join(f"w{k}x{i % 7}" for i in range(50)), f"l{k:02d}") for k in range(60)]
+    assert langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample_bytes=64).languages == sorted({r[2] for r in rows})
+
+
 def test_language_of_odd_rows(spark):
     docs = odd.documents(spark, clash=("n_bits", "score"))
     model = langid.fit(docs)
@@ -188,6 +199,13 @@ def test_main_text_is_whole(page):
     assert html_text.main_text(page) == TEXT
 
 
+@pytest.mark.parametrize("piece", ["<a ", "<a \"", "<a '<b \"", "<!", "</", "<article>", "<p hidden>", "<div class=ad><article></article>", "<nav>", "&lt", "<script", "<!--"])
+def test_hostile_pages_take_linear_time(piece):
+    began = time.process_time()
+    html_text.main_text(piece * (1_000_000 // len(piece)))
+    assert time.process_time() - began < 12
+
+
 def test_stretches_by_their_own_links():
     long, ad = "".join(f"<p>{'a long paragraph of a story ' * 30}</p>" for _ in range(3)), '<div class="ad">Buy now</div>'
     page = f'<body><div>{long}</div>{ad}<div><p>It was short.</p></div>{ad}<div><a href="/a">One story</a> <a href="/b">Two stories</a></div></body>'

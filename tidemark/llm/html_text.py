@@ -12,7 +12,9 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -54,9 +56,10 @@ BAD_NAMES = BAD_WORDS | COMMENT_WORDS | frozenset(
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
-ATTRIBUTES = r"""(?:"[^"]*"|'[^']*'|[^'">])*"""
+#: Outside of quotes no attribute has a "<", so a tag that is never closed is given up at the next one and no page is scanned again and again.
+ATTRIBUTES = r"""(?:"[^"]*"|'[^']*'|[^'"<>])*"""
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({RAW})(?=[\s/>]){ATTRIBUTES}>.*?(?:</\1\s*>|(?=<body[\s>])|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)({ATTRIBUTES}|[^>]*)>|<[!?][^>]*>",
+    rf"<!--.*?(?:-->|\Z)|<({RAW})(?=[\s/>]){ATTRIBUTES}>.*?(?:</\1\s*>|(?=<body[\s>])|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)({ATTRIBUTES}|[^<>]*)>|<[!?][^<>]*>",
     re.S | re.I,
 )
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -109,6 +112,7 @@ def _marks(attributes: dict[str, str]) -> set[str]:
 def _articles(tokens: list, ends: dict[int, int], dropped) -> list[tuple[int, int]]:
     """The article and main elements that are in no other, comment or dropped element; of those in one another with the same text the inner one."""
     spans, skip = [], -1
+    sizes = list(accumulate((len(t[2]) if t[0] == "text" else 0 for t in tokens), initial=0))
     for i, (kind, name, value) in enumerate(tokens):
         if i <= skip or kind != "open":
             continue
@@ -118,7 +122,7 @@ def _articles(tokens: list, ends: dict[int, int], dropped) -> list[tuple[int, in
                 skip = ends.get(i, i)
                 continue
             j = ends.get(i, len(tokens))
-            spans.append((i, j, sum(len(t[2]) for t in tokens[i:j] if t[0] == "text"), bool(marks & BAD_NAMES)))
+            spans.append((i, j, sizes[j] - sizes[i], bool(marks & BAD_NAMES)))
         elif dropped(i, False):
             skip = ends.get(i, i)
     outer = []
@@ -135,7 +139,7 @@ def lines(page: str) -> tuple[list[tuple[str, int, int]], bool]:
     """The page's lines with the containers they stand in and how many characters of them are links, empty where something was dropped, and whether they are those of marked articles."""
     tokens = _tokens(page)
     ends = _ends(tokens)
-    marked = {i for i, t in enumerate(tokens) if t[0] == "open" and t[1] in ("article", "main")}
+    marked = [i for i, t in enumerate(tokens) if t[0] == "open" and t[1] in ("article", "main")]
 
     def dropped(i: int, inside: bool) -> bool:
         _, name, attributes = tokens[i]
@@ -148,7 +152,8 @@ def lines(page: str) -> tuple[list[tuple[str, int, int]], bool]:
             bad = True
         if not bad or marks & COMMENT_WORDS or name in VOID:
             return bool(bad)
-        return not any(i < m < ends.get(i, i) for m in marked)  # a wrapper of the article
+        next_mark = bisect_right(marked, i)
+        return next_mark == len(marked) or marked[next_mark] >= ends.get(i, i)  # else it is a wrapper of the article
 
     spans = _articles(tokens, ends, dropped)
     out: list[tuple[str, int, int]] = []

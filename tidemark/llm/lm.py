@@ -8,7 +8,7 @@ pairs and triples, all of them, and interpolates by Dirichlet priors:
     P(w | u v) = (c(uvw) + TRIPLE_PRIOR P(w | v)) / (c(uv) + TRIPLE_PRIOR)
 
 A shard holds the tries of the words that hash to it. A word (or pair) that is more than a quarter of a mean shard has its pairs (triples) spread over
-all shards by their own hash; there are at most 4 such words a shard, and their counts are sent to all tasks. Each block sends each shard its
+all shards by their own hash; there are at most 4 such words a shard, and their counts are sent to all tasks. Each block sends each shard of which it has any its
 distinct n-grams with the counts of training texts, once; the shard adds them up, builds its trie as a file, maps it into memory, looks up what the
 blocks asked for and answers in quantised probabilities. Each block then scores its texts. No n-gram crosses the network more than once a block.
 """
@@ -217,6 +217,8 @@ def _message(b: Block, g: Grams, counts: np.ndarray, name: str, plan: Plan) -> I
     n = len(b.words)
     prints = (b.words >> BITS).astype(_INTS)
     for s, w, p, home, t in g.parts(n, plan.shards):
+        if not len(w) and not len(p) and not len(t):
+            continue
         u, v = np.divmod(g.pairs[p], n)
         head = np.flatnonzero(np.concatenate(([True], u[1:] != u[:-1]))) if len(u) else np.zeros(0, int)
         context, degree = u[head], np.diff(np.concatenate((head, [len(u)])))
@@ -457,6 +459,8 @@ def scored(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "
         pair_p, rest, triple_p = np.zeros(len(g.pairs)), np.ones(len(g.pairs)), np.zeros(len(g.triples))
         reply = {s: i for i, s in enumerate(t["shard"].to_pylist())}
         for s, w, p, home, k in g.parts(len(b.words), plan.shards):
+            if s not in reply:  # nothing was asked
+                continue
             p = p[home]
             cell = lambda c: t[c][reply[s]].as_py()  # noqa: B023, E731
             counts[w] = _from_small(cell("words"))

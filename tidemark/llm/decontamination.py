@@ -96,7 +96,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
 
     # each text is split once for all of its windows
     places = windows.groupBy("doc_key").agg(F.collect_set(F.struct("item_key", "length", "start")).alias("places"))
-    whole = plain.dropDuplicates(["doc_key"]).join(places, "doc_key").select("doc_key", "doc_id", word_list(F.col("text")).alias("words"), "places")
+    whole = plain.join(places, "doc_key").dropDuplicates(["doc_key"]).select("doc_key", "doc_id", word_list(F.col("text")).alias("words"), "places")
     texts = whole.select("doc_key", "doc_id", F.explode(F.transform("places", lambda x: F.struct(x["item_key"].alias("item_key"), x["length"].alias("length"), x["start"].alias("start"), F.slice("words", x["start"] + 1, x["length"]).alias("window")))).alias("x"))
     k = F.least(F.col("length"), F.lit(SHINGLE))
     texts = stored(texts.select("doc_key", "doc_id", "x.*").where(F.size("window") >= F.least(F.col("length"), F.lit(SHINGLE))), "window-words")

@@ -49,6 +49,21 @@ def test_warc_of_odd_rows(spark, least):
     assert Counter(r[1] for r in got) == Counter(p[1] for p in PAGES)
 
 
+def test_warc_shards_of_far_and_hot_keys(spark, monkeypatch):
+    monkeypatch.setattr(warc, "SHARD_BYTES", 40_000)
+    rows = [(i, f"u{i}", f"page {i} " * 200) for i in range(200)] + [(2**40, "far", "x"), (2**63 - 1, "top", "y"), (-(2**63), "low", "page 1 " * 200)]
+    rows += [(77, f"v{i}", f"hot {i} " * 200) for i in range(100)] + [(None, f"n{i}", f"none {i} " * 200) for i in range(100)]
+    uri = tables.place(spark, "w")
+    made = warc.write(pages(spark, rows), uri).collect()
+    by = Counter()
+    for r in made:
+        by[r.shard] += r.records
+    assert len(by) > 10 and max(by.values()) < 60
+    got = [tuple(r)[:6] for r in warc.read(spark, uri).collect()]
+    pick = lambda rows: Counter((r[0], r[2], r[3], r[4], r[5]) for r in rows)
+    assert pick(got) == pick(brute_records(rows))
+
+
 def test_warc_is_the_same_again(spark):
     crcs = []
     for parts in (1, 7):

@@ -1,7 +1,7 @@
 """WARC archives of pages: range-sorted, sharded, the same bytes on every run.
 
-Shards are ranges of the key, cut by a histogram of payload bytes over ``BINS`` equal ranges, so they depend on the
-data alone. A shard is written in order of its keys; a file is closed when its compressed size reaches ``FILE_BYTES``. All
+Shards are ranges of the key and a hash of the payload, cut where the bytes of all records before reach a multiple of ``SHARD_BYTES``, so they depend on the
+data alone and neither far-off keys nor a key with many payloads make a large one. A shard is written in order of its keys; a file is closed when its compressed size reaches ``FILE_BYTES``. All
 headers and digests are made anew from the payload. Of equal payloads the one with the smallest key is a response and the
 others are revisits of it. Files get temporary names until they are whole; the manifest, written last, names what belongs to the archive.
 """
@@ -15,14 +15,15 @@ import zlib
 from collections.abc import Iterable, Iterator
 from urllib.parse import quote
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import store
-from .tables import place, stored, table
+from .tables import place, shuffles, stored, table
 
-BINS = 1 << 16
 SHARD_BYTES = 32 << 20
 FILE_BYTES = 8 << 20
 DATE = "2024-01-01T00:00:00Z"
@@ -72,19 +73,23 @@ def info_record(name: str) -> bytes:
     return record("warcinfo", [("WARC-Record-ID", _urn("file", name)), ("WARC-Filename", name), ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n")
 
 
-def _shards(rows: DataFrame) -> DataFrame:
-    """page_id and its shard: ranges of about SHARD_BYTES. The driver sees BINS sums at most; null keys go with the smallest."""
-    size = F.octet_length("html").cast("long") + 512
-    low, high, total = rows.agg(F.min("page_id"), F.max("page_id"), F.sum(size)).first()
-    low, high, total = low or 0, high or 0, total or 0
-    width = max(1, -(-(high - low + 1) // BINS))
-    slot = F.coalesce(((F.col("page_id") - low) / width).cast("int"), F.lit(0))
-    n, cut, at, done = max(1, -(-total // SHARD_BYTES)), [], 0, 0
-    for b, s in sorted(rows.groupBy(slot.alias("slot")).agg(F.sum(size)).collect()):
-        cut.append((b, min(n - 1, done * n // max(1, total))))
-        done += s
-    slots = rows.sparkSession.createDataFrame(cut or [(0, 0)], "slot int, shard int")
-    return rows.withColumn("slot", slot).join(F.broadcast(slots), "slot").drop("slot")  # BINS rows at most
+def _cuts(rows: DataFrame) -> list[tuple[bool, int, int]]:
+    """The first key (page_id is not null, page_id, tie) of each shard. The driver sees a sum a partition and a row a shard."""
+    spark = rows.sparkSession
+    order = [F.col("page_id").asc_nulls_first(), "tie"]
+    keys = rows.groupBy("page_id", "tie").agg(F.sum(F.octet_length("html").cast("long") + 512).alias("bytes"))
+    keys = stored(keys.repartitionByRange(shuffles(spark), *order).withColumn("part", F.spark_partition_id()), "warc-keys")
+    before, offsets = 0, []
+    for r in keys.groupBy("part").agg(F.sum("bytes").alias("n")).orderBy("part").collect():
+        offsets.append((r["part"], before))
+        before += r["n"]
+    if not offsets:
+        return []
+    running = F.sum("bytes").over(Window.partitionBy("part").orderBy(*order)) - F.col("bytes")
+    placed = keys.join(F.broadcast(spark.createDataFrame(offsets, "part int, before long")), "part")  # a row a partition
+    shard = F.floor((F.col("before") + running) / SHARD_BYTES)
+    first = F.min(F.struct(F.col("page_id").isNotNull().alias("known"), F.coalesce("page_id", F.lit(0)).alias("page_id"), "tie"))
+    return sorted(tuple(r["first"]) for r in placed.withColumn("shard", shard).groupBy("shard").agg(first.alias("first")).collect())
 
 
 def write(pages: DataFrame, uri: str, page_id: str = "page_id", url: str = "url", html: str = "html", min_bytes: int = 0) -> DataFrame:
@@ -96,13 +101,24 @@ def write(pages: DataFrame, uri: str, page_id: str = "page_id", url: str = "url"
     """
     spark = pages.sparkSession
     rows = pages.select(F.col(f"`{page_id}`").cast("long").alias("page_id"), F.col(f"`{url}`").cast("string").alias("url"), F.coalesce(F.col(f"`{html}`"), F.lit("")).alias("html"))
-    digests = rows.where(F.octet_length("html") >= min_bytes).select("page_id", F.unhex(F.sha1(F.encode("html", "UTF-8"))).alias("digest"))
+    rows = rows.withColumn("tie", F.xxhash64("html"))
+    digests = rows.where(F.octet_length("html") >= min_bytes).select("page_id", "tie", F.unhex(F.sha1(F.encode("html", "UTF-8"))).alias("digest"))
     digests = stored(digests, "digests")
     firsts = digests.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    notes = digests.join(firsts, "digest").select("page_id", F.lit(None).cast("string").alias("url"), F.lit("").alias("html"), F.lit(0).alias("kind"), "digest", "first_id").distinct()
-    both = rows.select("page_id", "url", "html", F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("digest"), F.lit(None).cast("long").alias("first_id")).unionByName(notes)
-    n_shards = max(1, -(-(rows.agg(F.sum(F.octet_length("html").cast("long") + 512)).first()[0] or 0) // SHARD_BYTES))
-    dealt = _shards(both).repartition(n_shards, "shard").sortWithinPartitions("shard", "page_id", "kind", "url", "html")
+    firsts = stored(firsts, "firsts")  # so that Spark can split the rows of a digest that many pages have
+    notes = digests.join(firsts, "digest").select("page_id", "tie", F.lit(None).cast("string").alias("url"), F.lit("").alias("html"), F.lit(0).alias("kind"), "digest", "first_id").distinct()
+    both = rows.select("page_id", "tie", "url", "html", F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("digest"), F.lit(None).cast("long").alias("first_id")).unionByName(notes)
+    cuts = _cuts(rows)
+    tops = np.array([(x[0], x[1], x[2]) for x in cuts[1:]], [("known", bool), ("page_id", np.int64), ("tie", np.int64)])
+
+    def sharded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            key = np.empty(b.num_rows, tops.dtype)
+            key["known"], key["page_id"], key["tie"] = (b.column(0).is_valid().to_numpy(zero_copy_only=False), b.column(0).fill_null(0).to_numpy(), b.column(1).to_numpy())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.searchsorted(tops, key, "right").astype(np.int32))], [*b.schema.names, "shard"])
+
+    both = both.mapInArrow(sharded, StructType(list(both.schema)).add("shard", "integer"))
+    dealt = both.repartitionByRange(max(1, len(cuts)), "shard").sortWithinPartitions("shard", "page_id", "kind", "url", "html").drop("tie")
     store.make_dir(uri)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,9 +8,8 @@ from pyspark.sql import functions as F
 import compare
 from tidemark.functions import web
 from tidemark.functions.text import receipt
-from tidemark.llm import tables
 from tidemark.operators import memory, metering, pages, retrieval
-from tidemark.plans import reference
+from tidemark.plans import lineage, reference
 from tidemark.sources import folder, pdf
 from tidemark.sources import web as web_source
 from tidemark.streaming import monitors
@@ -126,7 +125,7 @@ def test_stream_over_several_batches(spark, tmp_path):
 
 def test_streams_leave_results_in_the_shared_folder(spark):
     rows = reference.stream_totals(spark, SF)
-    assert rows.count() and rows.inputFiles() and all(tables.shared_dir(spark).split(":")[-1].strip("/") + "/stream-" in x for x in rows.inputFiles())
+    assert rows.count() and rows.inputFiles() and all(lineage.shared_dir(spark).split(":")[-1].strip("/") + "/stream-" in x for x in rows.inputFiles())
 
 
 @pytest.mark.parametrize("per_batch", [1, 9])

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import zlib
 
 import pytest
@@ -91,9 +92,53 @@ def test_merged_results(spark):
     assert sorted(r.doc_id for r in retrieval.merged(df, "doc_id", "text").collect()) == [1, 3]
 
 
-def test_receipt_of_nulls(spark):
-    df = spark.createDataFrame([(None, "x"), ("", "x")], "a string, b string")
-    assert len({r[0] for r in df.select(receipt(F.col("a"), F.col("b"))).collect()}) == 1
+def test_rows_that_differ_have_other_receipts(spark):
+    df = spark.createDataFrame([(None, "x"), ("", "x"), ("x", None), ("x", ""), ("a|b", "c"), ("a", "b|c"), ("1:a,", "b"), ("1:a", ",b"), ("-", "x")], "a string, b string")
+    assert len({r[0] for r in df.select(receipt(F.col("a"), F.col("b"))).collect()}) == df.count()
+
+
+def test_merged_results_are_those_of_all_pairs(spark):
+    draw = random.Random(1)
+    words = [f"w{i}" for i in range(40)]
+    texts = [" ".join(draw.sample(words, draw.randint(1, 12))) for _ in range(60)]
+    texts += [" ".join(draw.sample(t.split(), len(t.split()) - (len(t) > 12))) for t in texts] + ["", None, "", *texts[:20]]
+    draw.shuffle(texts)
+    rows = [(i, i + 1, t) for i, t in enumerate(texts)]
+    sets = [set((t or "").split()) for t in texts]
+    want = [i for i, s in enumerate(sets) if not any(100 * len(s & o) >= 75 * len(s | o) for o in sets[:i])]
+    got = retrieval.merged(spark.createDataFrame(rows, "doc_id long, rank long, text string"), "doc_id", "text")
+    assert sorted(r.doc_id for r in got.collect()) == want
+
+
+def test_ranks_of_many_rows_with_ties(spark):
+    df = spark.range(5000).select(F.col("id").alias("doc_id"), (F.col("id") % 7).cast("double").alias("score"))
+    got = {r.doc_id: r["rank"] for r in retrieval.ranked(df.repartition(5), "doc_id").collect()}
+    order = sorted(range(5000), key=lambda i: (-(i % 7), i))
+    assert got == {i: n + 1 for n, i in enumerate(order)}
+
+
+def test_search_without_words(spark):
+    df = spark.createDataFrame([(1, None), (2, ""), (3, "...")], "doc_id long, text string")
+    assert retrieval.bm25(df, "text", ["a"]).count() == retrieval.bm25(df.limit(0), "text", ["a"]).count() == 0
+
+
+def test_links_in_all_quotes_and_references(spark):
+    page = """<a href='/x'>a</a><A class=b href = /y>b</A><a href="/z?a=1&amp;b=2">c</a><a data-href="/no">d</a><!-- <a href="/no"> --><script>'<a href="/no">'</script><a href="/e&#233;">"""
+    assert spark.createDataFrame([(page,)], "h string").select(web.hrefs(F.col("h"))).first()[0] == ["/x", "/y", "/z?a=1&b=2", "/eé"]
+    text = "<p>&eacute;&#8217;&#x2014;&amp;#39;&nbsp;&unknown;&#0;&#xD800;&#1114112;</p>"
+    assert spark.createDataFrame([(text,)], "h string").select(web.plain_text(F.col("h"))).first()[0] == "é’—&#39; &unknown;\ufffd\ufffd\ufffd"
+
+
+def test_a_kept_log_grows_by_batches(spark, tmp_path):
+    at = str(tmp_path / "log")
+    log = memory.saved(a_log(spark, WRITES), at)
+    log = memory.append(log, at, memory.undo(log), "me", "2024-01-03")
+    pick = lambda x: sorted((r.key, r.value, r.writer) for r in memory.state(x).collect())
+    assert pick(log) == pick(memory.opened(log, at)) == [("a", 2.0, "me"), ("b", 5.0, "me")]
+    again = memory.append(log, at, memory.rollback(log, "2024-01-02"), "you", "2024-01-03")
+    assert pick(again) == [("a", 2.0, "you"), ("b", 6.0, "you")] and again.rows.count() == len(WRITES) + 3 + 2
+    with pytest.raises(Exception, match="already exists|PATH_ALREADY_EXISTS"):
+        memory.saved(log, at)
 
 
 def test_quota(spark):

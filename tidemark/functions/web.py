@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Parameters that say where a visitor came from, not what the page is. Fixed values.
 TRACKING = r"(utm_[a-z]+|ref|fbclid|gclid)"
-#: The character references that pages use most, in the order in which they are decoded. Fixed values.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
+#: Scripts, styles and comments.
+HIDDEN = r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->"
+#: A character reference: decimal, hexadecimal or by name.
+REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,31});"
+#: A link's address, with its quotes if it has any.
+HREF = r"""(?i)<a\s(?:[^<>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s"'<>]+)"""
 
 
 def host(url: Column) -> Column:
@@ -29,15 +35,26 @@ def canonical(url: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(out, r"[?&]+$", ""), r"/+$", "")
 
 
+def _character(reference: Column) -> Column:
+    """The character of a reference; a replacement character for numbers that are none, null for unknown names."""
+    named = F.create_map(*(F.lit(x) for name, code in name2codepoint.items() for x in (f"&{name};", chr(code))))
+    digits = F.regexp_extract(reference, "([0-9a-fA-F]+);", 1)
+    code = F.when(F.lower(F.substring(reference, 3, 1)) == "x", F.conv(digits, 16, 10)).otherwise(digits).cast("int")
+    valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+    number = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise("\ufffd")
+    return F.when(reference.startswith("&#"), number).otherwise(F.element_at(named, reference))
+
+
 def decoded(text: Column) -> Column:
-    for name, char in ENTITIES:
-        text = F.replace(text, F.lit(name), F.lit(char))
-    return text
+    """text with its character references replaced, each once; unknown ones stay. A space that must not break is a space."""
+    between, found = F.split(text, REFERENCE), F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(0))
+    pieces = F.zip_with(between, found, lambda t, r: F.concat(t, F.coalesce(_character(r), r, F.lit(""))))
+    return F.replace(F.array_join(pieces, ""), F.lit("\u00a0"), F.lit(" "))
 
 
 def plain_text(html: Column) -> Column:
     """All text of a page: no scripts, styles, comments and tags, white space as one space."""
-    out = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->", " ")
+    out = F.regexp_replace(F.coalesce(html, F.lit("")), HIDDEN, " ")
     return F.trim(F.regexp_replace(decoded(F.regexp_replace(out, r"(?s)<[^>]*>", " ")), r"\s+", " "))
 
 
@@ -46,7 +63,9 @@ def title(html: Column) -> Column:
 
 
 def hrefs(html: Column) -> Column:
-    return F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r'(?i)<a\s[^>]*?href="([^"]*)"'), F.lit(1))
+    """Addresses of the links of a page, quoted in either way or not at all; those in scripts, styles and comments are none."""
+    found = F.regexp_extract_all(F.regexp_replace(F.coalesce(html, F.lit("")), HIDDEN, " "), F.lit(HREF), F.lit(1))
+    return F.transform(found, lambda h: decoded(F.regexp_replace(h, r"""^["']|["']$""", "")))
 
 
 def resolved(base: Column, href: Column) -> Column:

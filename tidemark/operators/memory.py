@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -28,6 +28,10 @@ class Log:
     at: str = "at"
     seq: str = "seq"
 
+    @property
+    def columns(self) -> list[str]:
+        return [*self.keys, self.value, self.writer, self.at, self.seq]
+
     @property
     def order(self) -> Column:
         return F.struct(self.at, self.seq)
@@ -91,11 +95,36 @@ def rollback(log: Log, time: str) -> DataFrame:
 
 
 def appended(log: Log, writes: DataFrame, writer: str | None, time: str) -> Log:
-    """The log with writes (keys and value) appended under one writer and time."""
+    """The log with writes (keys and value) appended under one writer and time, after all that is in it at that time."""
     kinds = {f.name: f.dataType for f in log.rows.schema.fields}
-    names = [*log.keys, log.value, log.writer, log.at, log.seq]
-    new = writes.select(*log.keys, F.col("value").cast(kinds[log.value]).alias(log.value), F.lit(writer).cast(kinds[log.writer]).alias(log.writer), F.lit(time).cast("timestamp_ntz").cast(kinds[log.at]).alias(log.at), F.lit(0).cast(kinds[log.seq]).alias(log.seq))
-    return Log(log.rows.select(*names).unionByName(new), log.keys, log.value, log.writer, log.at, log.seq)
+    seq = (log.rows.agg(F.max(log.seq)).first()[0] or 0) + 1
+    new = writes.select(*log.keys, F.col("value").cast(kinds[log.value]).alias(log.value), F.lit(writer).cast(kinds[log.writer]).alias(log.writer), F.lit(time).cast("timestamp_ntz").cast(kinds[log.at]).alias(log.at), F.lit(seq).cast(kinds[log.seq]).alias(log.seq))
+    return replace(log, rows=log.rows.select(*log.columns).unionByName(new))
+
+
+def opened(log: Log, path: str) -> Log:
+    """The log that is kept at path; log gives names and types of its columns."""
+    schema = log.rows.select(*log.columns).schema
+    return replace(log, rows=log.rows.sparkSession.read.schema(schema).option("recursiveFileLookup", "true").parquet(path))
+
+
+def saved(log: Log, path: str) -> Log:
+    """The log written to path, in the shared folder, as its first batch, and read from there. Fails where there is one."""
+    log.rows.select(*log.columns).write.mode("errorifexists").parquet(f"{path}/batch-0")
+    return opened(log, path)
+
+
+def append(log: Log, path: str, writes: DataFrame, writer: str | None, time: str) -> Log:
+    """Appends writes (keys and value) to the log at path, as a batch of its own that nothing ever rewrites; the log with it.
+
+    A batch is named by its seq, one more than any before it, so of two that are appended at once one fails and leaves the log as it is.
+    """
+    kept = opened(log, path)
+    seq = (kept.rows.agg(F.max(log.seq)).first()[0] or 0) + 1
+    none = replace(kept, rows=kept.rows.limit(0))
+    new = appended(none, writes, writer, time).rows.withColumn(log.seq, F.lit(seq).cast(kept.rows.schema[log.seq].dataType))
+    new.select(*log.columns).write.mode("errorifexists").parquet(f"{path}/batch-{seq}")
+    return opened(log, path)
 
 
 def receipts(log: Log, *parts: Column) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import times_of, tokens
+from ..plans.lineage import stored
 
 K1, B = 1.2, 0.75
 
@@ -17,23 +18,49 @@ def passages(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", te
     return docs.select(doc_id, source, F.posexplode(F.split(text, "\n")).alias("pos", "passage")).where("passage <> ''").withColumn("pos", F.col("pos").cast("long"))
 
 
-def bm25(units: DataFrame, text: str, terms: list[str]) -> DataFrame:
-    """units with score, those that have any of the terms (Robertson and Zaragoza, 2009).
+def scores(units: DataFrame, text: str, searches: dict[str, list[str]]) -> DataFrame:
+    """units without their text, and for each search a score by its terms (Robertson and Zaragoza, 2009), null where it has none of them.
 
-    Words are counted inside each row, so one aggregate of a single row for all statistics is all that is ever moved.
+    Texts are read once: their counts of the terms are written to the shared folder, and statistics and scores come from there. A single row of
+    statistics is all that is broadcast.
     """
+    terms = sorted({t for found in searches.values() for t in found})
+    keep = [c for c in units.columns if c != text]
     words = units.withColumn("words", tokens(F.col(text)))
-    counted = words.select(*units.columns, F.size("words").cast("long").alias("length"), *(times_of(F.col("words"), t).alias(f"tf{i}") for i, t in enumerate(terms)))
-    n, mean, *df = counted.agg(F.count(F.lit(1)), F.avg("length"), *(F.sum((F.col(f"tf{i}") > 0).cast("long")) for i in range(len(terms)))).first()
+    counted = stored(words.select(*keep, F.size("words").cast("long").alias("length"), *(times_of(F.col("words"), t).alias(f"tf{i}") for i, t in enumerate(terms))), "counts")
+    seen = (F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(terms)))
+    totals = counted.agg(F.count(F.lit(1)).alias("units"), F.nullif(F.avg("length"), F.lit(0.0)).alias("mean"), *seen).withColumn("one", F.lit(1))
+    both = counted.withColumn("one", F.lit(1)).join(F.broadcast(totals), "one")
 
     def part(i: int) -> Column:
-        idf = F.log(1 + (F.lit(float(n)) - (df[i] or 0) + 0.5) / ((df[i] or 0) + 0.5))
-        tf = F.col(f"tf{i}")
-        return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.lit(float(mean or 1.0))))
+        idf, tf = F.log(1 + (F.col("units") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5)), F.col(f"tf{i}")
+        return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.col("mean")))
+
+    def score(found: list[str]) -> Column:
+        at = [terms.index(t) for t in found]
+        hit = reduce(lambda a, b: a | b, (F.col(f"tf{i}") > 0 for i in at))
+        return F.when(hit, F.round(reduce(lambda a, b: a + b, map(part, at)), 6))
+
+    return both.select(*keep, *(score(found).alias(name) for name, found in searches.items()))
 
-    score = F.round(reduce(lambda a, b: a + b, map(part, range(len(terms)))), 6)
-    hit = reduce(lambda a, b: a | b, (F.col(f"tf{i}") > 0 for i in range(len(terms))))
-    return counted.where(hit).withColumn("score", score).select(*units.columns, "score")
+
+def bm25(units: DataFrame, text: str, terms: list[str]) -> DataFrame:
+    """units without their text, with score, those that have any of the terms."""
+    return scores(units, text, {"score": terms}).where("score is not null")
+
+
+def ranked(scored: DataFrame, *ties: str) -> DataFrame:
+    """All rows by score, then by ties, with rank from 1.
+
+    Rows are dealt by ranges and numbered within each; the numbers of rows in the ranges before come from a row a range.
+    """
+    order = [F.col("score").desc(), *ties]
+    number = F.monotonically_increasing_id()
+    rows = scored.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("number", number)
+    rows = stored(rows.withColumn("part", F.shiftright("number", 33)).withColumn("number", F.col("number").bitwiseAND(F.lit((1 << 33) - 1))), "ranks")
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", before.alias("before"))
+    return rows.join(F.broadcast(parts), "part").withColumn("rank", F.col("before") + F.col("number") + 1).drop("part", "number", "before")
 
 
 def top(ranked: DataFrame, k: int, *ties: str) -> DataFrame:
@@ -54,12 +81,22 @@ def equal_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 
 def merged(results: DataFrame, key: str, text: str, percent: int = 75) -> DataFrame:
-    """A list of ranked results (key, rank, text) without those that have a better ranked one of nearly the same words.
+    """Ranked results (key, rank, text; ranks differ) without those that have a better ranked one of nearly the same words, at any distance in rank.
 
-    For one list of results, whose length its query bounds: all pairs of it are compared.
+    Of equal sets of words the best ranked is compared on behalf of all. Sets that are alike to percent share a word among the rarest
+    100 - percent in a hundred and one more of each; only such pairs, of sizes that allow it, are compared.
     """
-    sets = results.withColumn("set", F.array_distinct(tokens(F.col(text))))
-    a, b = sets.alias("a"), sets.alias("b")
-    common, either = F.size(F.array_intersect("a.set", "b.set")), F.size(F.array_union("a.set", "b.set"))
-    worse = a.join(F.broadcast(b), (F.col("a.rank") > F.col("b.rank")) & (100 * common >= percent * either)).select(F.col(f"a.{key}").alias(key)).distinct()
-    return results.join(worse, key, "left_anti")
+    sets = results.select("rank", F.array_sort(F.array_distinct(tokens(F.col(text)))).alias("set"))
+    best = sets.groupBy(F.sha2(F.array_join("set", " "), 256).alias("digest")).agg(F.min("rank").alias("rank"), F.any_value("set").alias("set"))
+    best = stored(best.select("rank", "set", F.size("set").alias("n")), "sets")
+    words = best.select("rank", "n", F.explode("set").alias("word"))
+    counted = words.join(words.groupBy("word").agg(F.count(F.lit(1)).alias("in_sets")), "word")
+    place = F.row_number().over(Window.partitionBy("rank").orderBy("in_sets", "word"))
+    rare = stored(counted.withColumn("place", place).where(100 * (F.col("place") - 1) <= (100 - percent) * F.col("n")).select("rank", "n", "word"), "rare")
+    a, b = rare.alias("a"), rare.alias("b")
+    near = 100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n")
+    pairs = a.join(b, (F.col("a.word") == F.col("b.word")) & (F.col("a.rank") > F.col("b.rank")) & near).select(F.col("a.rank").alias("rank"), F.col("b.rank").alias("better")).distinct()
+    sides = pairs.join(best, "rank").join(best.select(F.col("rank").alias("better"), F.col("set").alias("other"), F.col("n").alias("m")), "better")
+    common = F.size(F.array_intersect("set", "other"))
+    worse = sides.where(100 * common >= percent * (F.col("n") + F.col("m") - common)).select("rank").distinct()
+    return results.join(best.select("rank").join(worse, "rank", "left_anti"), "rank", "left_semi")

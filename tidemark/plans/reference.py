@@ -1,22 +1,28 @@
 """Queries over the tables of a folder: the fact log, search, pages, metering and monitors; and the SQL for the same rows.
 
-Of the tables, events stands for a log of facts (key user_id and event_type, writer user_id, order ts and event_id).
+Of the tables, events stands for a log of facts (key user_id and event_type, one of WRITERS writers by event_id, order ts and event_id).
 """
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import web
 from ..functions.text import fixed, micros
 from ..operators import memory, metering, pages, retrieval
+from .lineage import place, stored
 from ..streaming import monitors
 from ..streaming.monitors import drained
 
-BEFORE, AFTER = "2024-01-08 12:00:00", "2024-01-20 00:00:00"
+BEFORE, AFTER, LATER = "2024-01-08 12:00:00", "2024-01-20 00:00:00", "2030-01-01 00:00:00"
 TERMS = ["that", "ther", "hand"]
 QUOTA = 60
+WRITERS = 5
+#: The searches whose lists are fused.
+SEARCHES = {"engine0": ["that", "hand"], "engine1": ["ther", "hand"], "engine2": ["that", "ther"]}
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -24,8 +30,8 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def log(spark: SparkSession, d: str) -> memory.Log:
-    return memory.Log(table(spark, d, "events").withColumn("writer", F.col("user_id")), ("user_id", "event_type"), "value", "writer", "ts", "event_id")
-
+    writer = F.concat(F.lit("w"), (F.col("event_id") % WRITERS).cast("string"))
+    return memory.Log(table(spark, d, "events").withColumn("writer", writer), ("user_id", "event_type"), "value", "writer", "ts", "event_id")
 
 
 def receipt_parts() -> list:
@@ -33,19 +39,19 @@ def receipt_parts() -> list:
 
 
 def memory_history(spark, d):
-    return memory.history(log(spark, d)).drop("writer")
+    return memory.history(log(spark, d))
 
 
 def memory_current(spark, d):
-    return memory.state(log(spark, d)).drop("writer")
+    return memory.state(log(spark, d))
 
 
 def memory_as_of(spark, d):
-    return memory.state(log(spark, d), BEFORE).drop("writer")
+    return memory.state(log(spark, d), BEFORE)
 
 
 def memory_provenance(spark, d):
-    return memory.provenance(log(spark, d)).drop("writer")
+    return memory.provenance(log(spark, d))
 
 
 def memory_shared(spark, d):
@@ -65,9 +71,17 @@ def memory_rollback(spark, d):
 
 
 def memory_rolled_back(spark, d):
-    """What holds after the writes of a rollback have been appended."""
-    before = log(spark, d)
-    return memory.state(memory.appended(before, memory.rollback(before, BEFORE), None, "2030-01-01 00:00:00")).select("user_id", "event_type", "value")
+    """What holds in a kept log to which the writes of a rollback have been appended."""
+    at = place(spark, "log")
+    kept = memory.saved(log(spark, d), at)
+    return memory.state(memory.append(kept, at, memory.rollback(kept, BEFORE), "undoer", LATER)).select("user_id", "event_type", "value", "writer")
+
+
+def memory_undone(spark, d):
+    """All writes of a kept log to which those that take back the last write of every key have been appended, with their versions."""
+    at = place(spark, "log")
+    kept = memory.saved(log(spark, d), at)
+    return memory.history(memory.append(kept, at, memory.undo(kept), "undoer", LATER))
 
 
 def memory_receipts(spark, d):
@@ -87,26 +101,26 @@ def search_passages(spark, d):
 
 
 def search_documents(spark, d):
-    return retrieval.bm25(table(spark, d, "documents").select("doc_id", "source", "text"), "text", TERMS).drop("text")
+    return retrieval.bm25(table(spark, d, "documents").select("doc_id", "source", "text"), "text", TERMS)
 
 
 def search_top_passages(spark, d):
     found = retrieval.bm25(retrieval.passages(table(spark, d, "documents")), "passage", TERMS)
-    return retrieval.top(found, 10, "doc_id", "pos").drop("passage")
-
-
-def _engines(spark, d) -> dict[str, DataFrame]:
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    return {f"engine{i}": retrieval.top(retrieval.bm25(docs, "text", terms), 100, "doc_id") for i, terms in enumerate((["that", "hand"], ["ther", "hand"], ["that", "ther"]))}
+    return retrieval.top(found, 10, "doc_id", "pos")
 
 
 def search_fused(spark, d):
-    return retrieval.fused(_engines(spark, d), "doc_id")
+    """The whole lists of all searches fused, not only their first ranks."""
+    found = stored(retrieval.scores(table(spark, d, "documents").select("doc_id", "text"), "text", SEARCHES), "scores")
+    lists = {name: found.select("doc_id", F.col(name).alias("score")).where("score is not null") for name in SEARCHES}
+    return retrieval.fused({name: retrieval.ranked(rows, "doc_id") for name, rows in lists.items()}, "doc_id")
 
 
 def search_merged(spark, d):
-    """The first engine's results without those of nearly the same words as a better one."""
-    return retrieval.merged(_engines(spark, d)["engine0"], "doc_id", "text").select("doc_id", "rank")
+    """The first search's results, all of them, without those of nearly the same words as a better one."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    found = retrieval.ranked(retrieval.bm25(docs, "text", SEARCHES["engine0"]), "doc_id").select("doc_id", "rank")
+    return retrieval.merged(found.join(docs, "doc_id"), "doc_id", "text").select("doc_id", "rank")
 
 
 def search_equal_texts(spark, d):
@@ -177,15 +191,17 @@ def stream_changes(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        memory_history, memory_current, memory_as_of, memory_provenance, memory_shared, memory_changes, memory_undo, memory_rollback, memory_rolled_back, memory_receipts,
+        memory_history, memory_current, memory_as_of, memory_provenance, memory_shared, memory_changes, memory_undo, memory_rollback, memory_rolled_back, memory_undone, memory_receipts,
         memory_chain, memory_markdown, search_passages, search_documents, search_top_passages, search_fused, search_merged, search_equal_texts, page_text, page_links, page_site_map,
         page_canonical, page_crawl, page_fetch, usage_running, usage_monthly, usage_by_kind, monitor_changes, stream_totals, stream_windows, stream_changes,
     )
 }
 
-_STATE = """select user_id, event_type, value, ts as written_at from (select *, row_number() over (partition by user_id, event_type order by ts desc, event_id desc) as o from events {where}) where o = 1 and value is not null"""
-_NOW, _THEN, _LATER = _STATE.format(where=""), _STATE.format(where=f"where ts <= timestamp '{BEFORE}'"), _STATE.format(where=f"where ts <= timestamp '{AFTER}'")
-_RECEIPT = "sha256(concat_ws('|', event_id::varchar, user_id::varchar, event_type, strftime(ts, '%Y-%m-%d %H:%M:%S.%f'), coalesce(round(value * 1000000)::bigint::varchar, ''), coalesce(props, '')))"
+_WRITER = f"'w' || (event_id % {WRITERS})"
+_STATE = """select user_id, event_type, value, {writer} as writer, ts as written_at from (select *, row_number() over (partition by user_id, event_type order by ts desc, event_id desc) as o from events {where}) where o = 1 and value is not null"""
+_NOW, _THEN, _LATER = _STATE.format(writer=_WRITER, where=""), _STATE.format(writer=_WRITER, where=f"where ts <= timestamp '{BEFORE}'"), _STATE.format(writer=_WRITER, where=f"where ts <= timestamp '{AFTER}'")
+_PARTS = ["event_id::varchar", "user_id::varchar", "event_type", "strftime(ts, '%Y-%m-%d %H:%M:%S.%f')", "coalesce(round(value * 1000000)::bigint::varchar, '')", "props"]
+_RECEIPT = f"""sha256(concat_ws(',', {", ".join(f"coalesce(strlen({p}) || ':' || {p}, '-')" for p in _PARTS)}))"""
 _TOKENS = r"list_filter(regexp_split_to_array(lower(coalesce({text}, '')), '[^\p{{L}}\p{{M}}\p{{N}}]+'), lambda x: x <> '')"
 
 
@@ -198,7 +214,7 @@ def _bm25(units: str, text: str, columns: str, terms: list[str]) -> str:
 
 
 _PASSAGES = "(select doc_id, source, i - 1 as pos, l[i] as passage from (select doc_id, source, l, unnest(range(1, len(l) + 1)) as i from (select doc_id, source, string_split(text, chr(10)) as l from documents)) where l[i] <> '')"
-_RANKS = [f"(select doc_id, row_number() over (order by score desc, doc_id) as rank, 'e{i}' as e from ({_bm25('documents', 'text', 'doc_id', t)}) qualify rank <= 100)" for i, t in enumerate((["that", "hand"], ["ther", "hand"], ["that", "ther"]))]
+_RANKS = [f"(select doc_id, row_number() over (order by score desc, doc_id) as rank, 'e{i}' as e from ({_bm25('documents', 'text', 'doc_id', t)}))" for i, t in enumerate(SEARCHES.values())]
 
 
 def _host(u: str) -> str:
@@ -213,31 +229,39 @@ def _canonical(u: str) -> str:
     return f"regexp_replace(regexp_replace({out}, '[?&]+$', ''), '/+$', '')"
 
 
+_NAMES = f"map {{{', '.join(f"'&{n};': chr({c})" for n, c in name2codepoint.items())}}}"
+
+
 def _decoded(t: str) -> str:
-    for name, char in web.ENTITIES:
-        t = f"replace({t}, '{name}', '{char.replace(chr(39), chr(39) * 2)}')"
-    return t
+    code = "case when lower(r[3]) = 'x' then ('0x' || regexp_extract(r, '([0-9a-fA-F]+);', 1))::int else regexp_extract(r, '([0-9a-fA-F]+);', 1)::int end"
+    char = f"case when r not like '&#%' then coalesce({_NAMES}[r], r) when {code} between 1 and 55295 or {code} between 57344 and 1114111 then chr({code}) else chr(65533) end"
+    found = f"list_transform(regexp_extract_all({t}, '{web.REFERENCE}'), lambda r: {char})"
+    pieces = f"list_transform(list_zip(regexp_split_to_array({t}, '{web.REFERENCE}'), {found}), lambda z: z[1] || coalesce(z[2], ''))"
+    return f"replace(array_to_string({pieces}, ''), chr(160), ' ')"
 
 
-_TEXT = "regexp_replace(coalesce(html, ''), '(?is)<script\\b.*?</script>|<style\\b.*?</style>|<!--.*?-->', ' ', 'g')"
-_TEXT = f"trim(regexp_replace({_decoded(f'''regexp_replace({_TEXT}, '(?s)<[^>]*>', ' ', 'g')''')}, '\\s+', ' ', 'g'))"
+_SEEN = f"regexp_replace(coalesce(html, ''), '{web.HIDDEN}', ' ', 'g')"
+_TEXT = f"trim(regexp_replace({_decoded(f'''regexp_replace({_SEEN}, '(?s)<[^>]*>', ' ', 'g')''')}, '\\s+', ' ', 'g'))"
 _PATH = "case when regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1) = '' then '/' else regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1) end"
-_HREFS = "(select page_id, url, i - 1 as pos, h[i] as href from (select page_id, url, h, unnest(range(1, len(h) + 1)) as i from (select page_id, url, regexp_extract_all(coalesce(html, ''), '(?i)<a\\s[^>]*?href=\"([^\"]*)\"', 1) as h from pages)))"
+_QUOTED = web.HREF.replace("'", "''")
+_FOUND = f"list_transform(regexp_extract_all({_SEEN}, '{_QUOTED}', 1), lambda h: {_decoded("regexp_replace(h, '^[\"'']|[\"'']$', '', 'g')")})"
+_HREFS = f"(select page_id, url, i - 1 as pos, h[i] as href from (select page_id, url, h, unnest(range(1, len(h) + 1)) as i from (select page_id, url, {_FOUND} as h from pages)))"
 _ROOT = "regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)', 1)"
 _RESOLVED = f"case when regexp_matches(href, '^[a-zA-Z][a-zA-Z0-9+.-]*:') then href when starts_with(href, '//') then regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*:)', 1) || href when starts_with(href, '/') then {_ROOT} || href else {_ROOT} || regexp_extract({_PATH}, '^(.*/)', 1) || href end"
 _LINKS = f"(select page_id, pos, {_canonical('url')} as source, {_canonical('target')} as target from (select page_id, url, pos, {_RESOLVED} as target from {_HREFS}))"
 _LOOKS = "(select *, lag(sha256(props)) over (partition by user_id, event_type order by {order}) as b, sha256(props) as h from events)"
 
 SQL = {
-    "memory_history": "select user_id, event_type, value, row_number() over w as version, ts as valid_from, lead(ts) over w as valid_to from events window w as (partition by user_id, event_type order by ts, event_id)",
+    "memory_history": f"select user_id, event_type, value, {_WRITER} as writer, row_number() over w as version, ts as valid_from, lead(ts) over w as valid_to from events window w as (partition by user_id, event_type order by ts, event_id)",
     "memory_current": _NOW,
     "memory_as_of": _THEN,
-    "memory_provenance": "select user_id, event_type, count(*) as writes, min(ts) as first_at, max(ts) as last_at from events group by all",
-    "memory_shared": f"select e.user_id as writer, count(distinct event_type) as keys_written, count(*) as writes, (select count(*) from ({_NOW}) s where s.user_id = e.user_id) as keys_held from events e group by e.user_id",
+    "memory_provenance": f"select user_id, event_type, {_WRITER} as writer, count(*) as writes, min(ts) as first_at, max(ts) as last_at from events group by all",
+    "memory_shared": f"select e.writer, e.keys_written, e.writes, coalesce(s.keys_held, 0) as keys_held from (select {_WRITER} as writer, count(distinct (user_id, event_type)) as keys_written, count(*) as writes from events group by 1) e left join (select writer, count(*) as keys_held from ({_NOW}) group by 1) s on e.writer = s.writer",
     "memory_changes": f"select coalesce(a.user_id, b.user_id) as user_id, coalesce(a.event_type, b.event_type) as event_type, a.value as old_value, b.value as new_value, case when a.value is null then 'added' when b.value is null then 'removed' when a.value = b.value then 'same' else 'changed' end as change from ({_THEN}) a full join ({_LATER}) b on a.user_id = b.user_id and a.event_type = b.event_type",
     "memory_undo": "select user_id, event_type, max(case when o = 1 then value end) as undone_value, max(case when o = 2 then value end) as value from (select *, row_number() over (partition by user_id, event_type order by ts desc, event_id desc) as o from events) group by all",
     "memory_rollback": f"select coalesce(a.user_id, b.user_id) as user_id, coalesce(a.event_type, b.event_type) as event_type, b.value as value, case when b.value is null then 'delete' when a.value is not distinct from b.value then 'keep' else 'restore' end as action from ({_NOW}) a full join ({_THEN}) b on a.user_id = b.user_id and a.event_type = b.event_type",
-    "memory_rolled_back": f"select user_id, event_type, value from ({_THEN})",
+    "memory_rolled_back": f"select coalesce(a.user_id, b.user_id) as user_id, coalesce(a.event_type, b.event_type) as event_type, b.value, 'undoer' as writer from ({_NOW}) a full join ({_THEN}) b on a.user_id = b.user_id and a.event_type = b.event_type where b.value is not null",
+    "memory_undone": f"select *, row_number() over w as version, lead(valid_from) over w as valid_to from (select user_id, event_type, value, {_WRITER} as writer, ts as valid_from from events union all select user_id, event_type, max(case when o = 2 then value end), 'undoer', timestamp '{LATER}' from (select *, row_number() over (partition by user_id, event_type order by ts desc, event_id desc) as o from events) group by all) window w as (partition by user_id, event_type order by valid_from)",
     "memory_receipts": f"select event_id as seq, {_RECEIPT} as receipt from events",
     "memory_chain": f"with recursive r as (select user_id, event_type, event_id, {_RECEIPT} as receipt, row_number() over (partition by user_id, event_type order by ts, event_id) as version from events), c as (select user_id, event_type, event_id as seq, version, sha256(receipt) as link from r where version = 1 union all select r.user_id, r.event_type, r.event_id, r.version, sha256(c.link || r.receipt) from c join r on r.user_id = c.user_id and r.event_type = c.event_type and r.version = c.version + 1) select * from c",
     "memory_markdown": "select conv_id, string_agg('## ' || role || chr(10) || chr(10) || text, chr(10) || chr(10) order by turn, role, text) as content from conversations group by conv_id",

@@ -11,6 +11,8 @@ from ..functions.text import times_of, tokens
 from ..plans.lineage import stored
 
 K1, B = 1.2, 0.75
+#: Rare words that two results of nearly the same words have in common, at least.
+SHARED = 3
 
 
 def passages(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
@@ -83,8 +85,9 @@ def equal_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 def merged(results: DataFrame, key: str, text: str, percent: int = 75) -> DataFrame:
     """Ranked results (key, rank, text; ranks differ) without those that have a better ranked one of nearly the same words, at any distance in rank.
 
-    Of equal sets of words the best ranked is compared on behalf of all. Sets that are alike to percent share a word among the rarest
-    100 - percent in a hundred and one more of each; only such pairs, of sizes that allow it, are compared.
+    Of equal sets of words the best ranked is compared on behalf of all. Sets that are alike to percent share SHARED words, or all that they
+    share, among the rarest 100 - percent in a hundred and SHARED more of each; what they can share beyond the last of these is bounded by what
+    is left of either set. Only pairs that can reach the bound by it are compared.
     """
     sets = results.select("rank", F.array_sort(F.array_distinct(tokens(F.col(text)))).alias("set"))
     best = sets.groupBy(F.sha2(F.array_join("set", " "), 256).alias("digest")).agg(F.min("rank").alias("rank"), F.any_value("set").alias("set"))
@@ -92,10 +95,14 @@ def merged(results: DataFrame, key: str, text: str, percent: int = 75) -> DataFr
     words = best.select("rank", "n", F.explode("set").alias("word"))
     counted = words.join(words.groupBy("word").agg(F.count(F.lit(1)).alias("in_sets")), "word")
     place = F.row_number().over(Window.partitionBy("rank").orderBy("in_sets", "word"))
-    rare = stored(counted.withColumn("place", place).where(100 * (F.col("place") - 1) <= (100 - percent) * F.col("n")).select("rank", "n", "word"), "rare")
+    rare = stored(counted.withColumn("place", place).where(100 * (F.col("place") - SHARED) <= (100 - percent) * F.col("n")).select("rank", "n", "word", "place"), "rare")
     a, b = rare.alias("a"), rare.alias("b")
     near = 100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n")
-    pairs = a.join(b, (F.col("a.word") == F.col("b.word")) & (F.col("a.rank") > F.col("b.rank")) & near).select(F.col("a.rank").alias("rank"), F.col("b.rank").alias("better")).distinct()
+    met = a.join(b, (F.col("a.word") == F.col("b.word")) & (F.col("a.rank") > F.col("b.rank")) & near)
+    met = met.groupBy("a.rank", F.col("b.rank").alias("better"), "a.n", F.col("b.n").alias("m")).agg(F.count(F.lit(1)).alias("common"), F.max("a.place").alias("i"), F.max("b.place").alias("j"))
+    need = F.ceil(percent * (F.col("n") + F.col("m")) / (100 + percent))
+    can = (F.col("common") >= F.least(F.lit(SHARED), need)) & (F.col("common") + F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) >= need)
+    pairs = met.where(can).select("rank", "better")
     sides = pairs.join(best, "rank").join(best.select(F.col("rank").alias("better"), F.col("set").alias("other"), F.col("n").alias("m")), "better")
     common = F.size(F.array_intersect("set", "other"))
     worse = sides.where(100 * common >= percent * (F.col("n") + F.col("m") - common)).select("rank").distinct()

@@ -145,6 +145,18 @@ def test_languages_of_long_and_of_many_texts_are_all_learned(spark):
     assert langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample_bytes=64).languages == sorted({r[2] for r in rows})
 
 
+def test_trees_are_no_larger_than_the_sample(spark):
+    letters = [[chr(0x400 + 16 * k + i) for i in range(16)] for k in range(100)]  # languages of scripts that have nothing in common
+    rows = [(i, " ".join("".join(letters[k][(i * j + j) % 16] for j in range(1, 9)) for i in range(400)), f"l{k:02d}") for k in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df, total_bytes=100 * 2000)
+    longest = max(len(t.encode()) for _, t, _ in rows)
+    assert len(model.languages) == 100 and sum(len(o.keys) + len(o.contexts) for t in model.trees for o in t) <= 100 * 2 * (langid.ORDER + 1) * longest
+    assert all((np.diff(o.keys.astype(np.int64)) > 0).all() and np.isfinite(o.bits).all() and np.isfinite(o.escapes).all() for t in model.trees for o in t)
+    got = langid.predict(df.select("lang", F.substring("text", 40, 60).alias("text")), model)
+    assert got.where("lang = lang_pred").count() == 100
+
+
 def test_language_of_odd_rows(spark):
     docs = odd.documents(spark, clash=("n_bits", "score"))
     model = langid.fit(docs)

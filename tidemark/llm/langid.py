@@ -1,16 +1,17 @@
 """Language identification by prediction by partial matching.
 
-Each language has a context tree over bytes of lower-cased text: contexts of up to ``ORDER`` bytes with the counts of the
-bytes that followed them. A byte costs -log2 of its probability: c / (n + d) where the context has seen it (n
-followers, d distinct), else the escape d / (n + d) times what the shorter context gives it among the bytes that the longer one has not seen;
-below order 0 all 256 bytes are alike. The statistics are frozen after fitting, so the cost of every byte in every context is put in
-a table once, and the code length of a text is a sum of table entries. The language with the shortest code wins.
+Each language has its own context tree over bytes of lower-cased text: for every order up to ``ORDER`` the contexts of that many bytes and the bytes that followed them.
+A byte costs -log2 of its probability: c / (n + d) where the context has seen it (n followers, d distinct), else the escape d / (n + d) times what
+the shorter context gives it among the bytes that the longer one has not seen; below order 0 all 256 bytes are alike. The statistics are frozen
+after fitting. A tree holds only what its language was seen with, sorted: a cost for each byte seen in a context, and one for the escape from each context. So a
+tree has at most a byte of each order for every byte of its sample, and any number of languages share nothing that is dense. The language with the shortest code wins.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -22,101 +23,106 @@ from . import words
 from .tables import table
 
 ORDER = 3
+#: A context and the byte after it are one number.
+KEY = np.dtype("<u4" if ORDER < 4 else "<u8")
 #: Bytes of labelled text a language that the model is fitted on, about: stretches of STRETCH characters are taken by a hash at the rate that gives so much, one at least.
 SAMPLE_BYTES = 1 << 20
+#: Bytes of labelled text of all languages together; where there are more languages than it has room for, each has an equal part of it, or a stretch.
+TOTAL_BYTES = 8 << 20
 STRETCH = 1 << 13
 PAD = 32
 
 
-def _windows(data: np.ndarray, bounds: np.ndarray, codes: np.ndarray, base: int) -> np.ndarray:
-    """For each byte the number that the ORDER bytes before it and it make in the given base; texts are padded with PAD in front."""
-    symbol = codes[data].astype(np.int64)
-    out, starts = symbol.copy(), bounds[:-1][np.diff(bounds) > 0]
-    ends = bounds[1:][np.diff(bounds) > 0]
+def _windows(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """For each byte the number that the ORDER bytes before it and it make, itself last; texts are padded with PAD in front."""
+    out = data.astype(KEY)
+    full = np.diff(bounds) > 0
+    starts, ends = bounds[:-1][full], bounds[1:][full]
     for k in range(1, ORDER + 1):
-        before = np.empty_like(symbol)
-        before[k:] = symbol[:-k] if len(symbol) > k else symbol[:0]
+        before = np.full(len(data), PAD, KEY)
+        before[k:] = data[: len(data) - k] if len(data) > k else 0
         for j in range(k):
             at = starts + j
-            before[at[at < ends]] = codes[PAD]
-        out += before * base**k
+            before[at[at < ends]] = PAD
+        out |= before << KEY.type(8 * k)
+    return out
+
+
+def _last(window: np.ndarray, order: int) -> np.ndarray:
+    """What contexts of that order see of windows."""
+    return window & KEY.type((1 << (8 * order + 8)) - 1)
+
+
+class Order(NamedTuple):
+    """One order of a tree: the bits of each byte that was seen in a context, and those of each context's escape. keys and contexts ascend."""
+
+    keys: np.ndarray
+    bits: np.ndarray
+    contexts: np.ndarray
+    escapes: np.ndarray
+
+
+def tree(windows: np.ndarray, times: np.ndarray) -> list[Order]:
+    """The tree of a language from its windows and how often each was seen."""
+    orders: list[Order] = []
+    for k in range(ORDER + 1):
+        keys, inverse = np.unique(_last(windows, k), return_inverse=True)
+        c = np.bincount(inverse, weights=times, minlength=len(keys))
+        contexts, heads, d = np.unique(keys >> KEY.type(8), return_index=True, return_counts=True)
+        n = np.add.reduceat(c, heads)
+        # What was seen in a context was seen in the shorter one too.
+        shorter = np.exp2(-orders[-1].bits[np.searchsorted(orders[-1].keys, _last(keys, k - 1))]) if k else np.full(len(keys), 1 / 256)
+        rest = np.maximum(1.0 - np.add.reduceat(shorter, heads), 1e-9)
+        orders.append(Order(keys, np.repeat(np.log2(n + d), d) - np.log2(c), contexts, np.log2(n + d) - np.log2(d) + np.log2(rest)))
+    return orders
+
+
+def _find(ascending: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each of asked is, and whether it is there."""
+    at = np.minimum(np.searchsorted(ascending, asked), len(ascending) - 1)
+    return at, ascending[at] == asked
+
+
+def bits_of(orders: list[Order], windows: np.ndarray) -> np.ndarray:
+    """What the last byte of each window costs: from the longest context on, escapes until one has seen it."""
+    out, left = np.zeros(len(windows)), np.arange(len(windows))
+    for k in range(ORDER, -1, -1):
+        asked = _last(windows[left], k)
+        at, there = _find(orders[k].keys, asked)
+        out[left[there]] += orders[k].bits[at[there]]
+        left, asked = left[~there], asked[~there]
+        at, there = _find(orders[k].contexts, asked >> KEY.type(8))
+        out[left[there]] += orders[k].escapes[at[there]]
+    out[left] += 8.0
     return out
 
 
 @dataclass
 class Model:
-    """cost[l, row * base + code] is what a byte costs in language l after a context; rows maps contexts of ORDER codes to their longest known suffix."""
+    """The languages, in order, and the tree of each."""
 
     languages: list[str]
-    codes: np.ndarray
-    base: int
-    rows: np.ndarray
-    cost: np.ndarray
+    trees: list[list[Order]]
 
     def lengths(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """Bits that each text takes in each language."""
+        """Bits that each text takes in each language. Each distinct window is looked up once in each tree."""
         full = np.diff(bounds) > 0
         out = np.zeros((len(bounds) - 1, len(self.languages)))
         if full.any():
-            window = _windows(data, bounds, self.codes, self.base)
-            entry = self.rows[window // self.base].astype(np.int64) * self.base + window % self.base
-            for k in range(len(self.languages)):
-                out[full, k] = np.add.reduceat(self.cost[k][entry], bounds[:-1][full], dtype=np.float64)
+            window = _windows(data, bounds)
+            distinct = np.unique(window)
+            at = np.searchsorted(distinct, window)
+            for k, orders in enumerate(self.trees):
+                out[full, k] = np.add.reduceat(bits_of(orders, distinct)[at], bounds[:-1][full])
         return out
 
 
-def build(counts: list[tuple[str, int, int]]) -> Model:
-    """A model from (language, window in base 256, times seen); without any it knows no language."""
-    if not counts:
-        return Model([], np.zeros(256, np.int64), 1, np.zeros(1, np.int32), np.zeros((0, 1), np.float32))
-    languages = sorted({c[0] for c in counts})
-    lang = np.array([languages.index(c[0]) for c in counts], np.int64)
-    raw = np.array([c[1] for c in counts], np.int64)
-    times = np.array([c[2] for c in counts], np.float64)
-    places = [(raw >> (8 * k)) & 255 for k in range(ORDER + 1)]  # place 0 is the byte itself, place k is k bytes before it
-    known = np.unique(np.concatenate([*places, np.array([PAD])]))
-    base = len(known) + 1  # the last code is for bytes that were never seen
-    codes = np.full(256, base - 1, np.int64)
-    codes[known] = np.arange(base - 1)
-    coded = [codes[p] for p in places]
-
-    rows = np.zeros(base**ORDER, np.int32)  # row 0: no context
-    numbers = np.arange(base**ORDER, dtype=np.int64)
-    offset = 0
-    prob_prev, ctx_prev = np.full((len(languages), 1, base), 1 / 256), np.zeros(1, np.int64)  # of the order before
-    all_rows: list[np.ndarray] = []
-    for k in range(ORDER + 1):
-        context = sum((coded[j] * base ** (j - 1) for j in range(1, k + 1)), np.zeros(len(raw), np.int64))
-        seen = np.unique(context) if k else np.zeros(1, np.int64)
-        parent = np.searchsorted(ctx_prev, seen % base ** (k - 1)) if k > 1 else np.zeros(len(seen), np.int64)
-        prob = np.empty((len(languages), len(seen), base), np.float64)
-        for l in range(len(languages)):
-            mine = lang == l
-            c = np.zeros((len(seen), base))
-            np.add.at(c, (np.searchsorted(seen, context[mine]), coded[0][mine]), times[mine])
-            n, d = c.sum(1, keepdims=True), (c > 0).sum(1, keepdims=True)
-            lower = prob_prev[l][parent]
-            rest = 1.0 - np.where(c > 0, lower, 0.0).sum(1, keepdims=True)
-            if k == 0:
-                rest = 1.0 - d / 256
-            fresh = lower / np.maximum(rest, 1e-9)
-            prob[l] = np.where(n == 0, lower, np.where(c > 0, c / np.maximum(n + d, 1), d / np.maximum(n + d, 1) * fresh))
-        all_rows.append(prob)
-        place_of = np.searchsorted(seen, numbers % base**k) if k else np.zeros(len(numbers), np.int64)
-        place_of = np.minimum(place_of, len(seen) - 1)
-        hit = seen[place_of] == (numbers % base**k if k else 0)
-        rows[hit] = (offset + place_of)[hit]
-        offset += len(seen)
-        prob_prev, ctx_prev = prob, seen
-    cost = -np.log2(np.concatenate(all_rows, 1))
-    return Model(languages, codes, base, rows, np.ascontiguousarray(cost.reshape(len(languages), -1), np.float32))
-
-
-def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample_bytes: int = SAMPLE_BYTES) -> Model:
-    """Fits on a sample of about sample_bytes a language; rows without text or language are left out.
+def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample_bytes: int = SAMPLE_BYTES, total_bytes: int = TOTAL_BYTES) -> Model:
+    """Fits on a sample of about sample_bytes a language and total_bytes in all; rows without text or language are left out. Without any the model knows no language.
 
     Texts of any length are cut into stretches. Which are in the sample depends on the rows' keys and texts only; the stretch of a language that is drawn first is always in it, so
-    every language is learned. What reaches the driver are a row a language and counts of windows of the sample: no more entries than it has bytes.
+    every language is learned. A tree is made in a task from the counts of its language's sample. What reaches the driver are a row a language and the trees: ORDER + 1 entries for each
+    byte of the sample at most, and a small part of that for words.
     """
     spark = labelled.sparkSession
     rows = labelled.where(F.col(lang).isNotNull() & (F.octet_length(text) > 0)).select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"), F.coalesce(F.col(key).cast("string"), F.lit("")).alias("key"))
@@ -125,25 +131,34 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
     rows = rows.withColumn("own", F.xxhash64("key", "text"))
     totals = rows.groupBy("lang").agg(F.sum(F.octet_length("text").cast("long")).alias("n"), F.min(F.array_min(F.transform(places, draw))).alias("first")).collect()
     if not totals:
-        return build([])
+        return Model([], [])
+    sample_bytes = min(sample_bytes, total_bytes // len(totals))
     rate = spark.createDataFrame([(r["lang"], max(r["first"], min(1.0, sample_bytes / r["n"]))) for r in totals], "lang string, rate double")
     taken = F.filter(places, lambda at: draw(at) <= F.col("rate"))
     sample = rows.join(F.broadcast(rate), "lang").select("lang", "text", F.explode(taken).alias("at"))  # a row per language is sent
     sample = sample.select("lang", F.substring("text", F.col("at") * STRETCH + 1, F.lit(STRETCH)).alias("text"))
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plain = np.arange(256)
         for b in batches:
             langs = np.array(b.column(0).to_pylist(), object)
             for g in words.byte_groups(pc.utf8_lower(b.column(1))):
-                window = _windows(g.data, g.bounds, plain, 256)
+                window = _windows(g.data, g.bounds)
                 mine = np.repeat(langs[g.first : g.first + g.n_docs], np.diff(g.bounds))
                 for x in sorted(set(mine)):
                     seen, times = np.unique(window[mine == x], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([x] * len(seen), pa.string()), pa.array(seen, pa.int64()), pa.array(times, pa.int64())], ["lang", "window", "times"])
 
+    def grow(key: tuple, t: pa.Table) -> pa.Table:
+        orders = tree(t["window"].to_numpy().astype(KEY), t["times"].to_numpy())
+        columns = {name: pa.array([getattr(o, name).tobytes() for o in orders], pa.binary()) for name in Order._fields}
+        return pa.table({"lang": pa.array([key[0].as_py()] * len(orders), pa.string()), "place": pa.array(range(len(orders)), pa.int32()), **columns})
+
     counts = sample.mapInArrow(count, "lang string, window long, times long").groupBy("lang", "window").agg(F.sum("times").alias("times"))
-    return build([tuple(r) for r in counts.orderBy("lang", "window").collect()])
+    grown = counts.groupBy("lang").applyInArrow(grow, "lang string, place int, keys binary, bits binary, contexts binary, escapes binary").collect()
+    trees: dict[str, list[Order]] = {}
+    for r in sorted(grown, key=lambda r: (r["lang"], r["place"])):
+        trees.setdefault(r["lang"], []).append(Order(*(np.frombuffer(r[name], t) for name, t in zip(Order._fields, (KEY, "<f8", KEY, "<f8")))))
+    return Model(list(trees), list(trees.values()))
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -155,7 +170,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     keep = [c for c in docs.columns if c not in (text, "lang_pred", "score", "n_bits")]
     source = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text}`").alias("text_to_score"))
     schema = source.drop("text_to_score").schema.add("lang_pred", "string").add("score", "double").add("n_bits", "double")
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample that it was fitted on
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # entries by TOTAL_BYTES, or a stretch for each language
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value

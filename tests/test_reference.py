@@ -2,6 +2,9 @@ from __future__ import annotations
 
 import random
 import zlib
+from collections import Counter
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+from threading import Thread
 
 import pytest
 from pyspark.sql import functions as F
@@ -152,11 +155,47 @@ def test_pdf_text(spark, tmp_path):
     assert [r.text for r in pdf.read_pdfs(spark, str(tmp_path)).collect()] == ["Hello (you)\nsecond"]
 
 
-def test_web_source_reports_errors(spark, tmp_path):
+@pytest.fixture
+def site():
+    """A web server on this machine, and how often each of its paths was asked for."""
+    asked = Counter()
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):
+            asked[self.path] += 1
+            status = {"/none": 404, "/busy": 503 if asked["/busy"] < 2 else 200, "/away": 302, "/local": 302}.get(self.path, 200)
+            self.send_response(status)
+            if status == 302:
+                self.send_header("Location", "/p" if self.path == "/away" else "file:///etc/hostname")
+            self.send_header("Content-Type", "text/html; charset=latin-1")
+            self.end_headers()
+            self.wfile.write(b"x" * 5000 if self.path == "/long" else "<title>caf\u00e9</title><a href=/p>p</a>".encode("latin-1"))
+
+        def log_message(self, *_):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_port}", asked
+    server.shutdown()
+
+
+def test_pages_are_fetched(spark, site, tmp_path):
+    at, asked = site
     (tmp_path / "p.html").write_text("<p>x</p>")
+    urls = [f"{at}{p}" for p in ("/p", "/none", "/busy", "/away", "/local", "/long")] + [f"file://{tmp_path}/p.html", "http://127.0.0.1:1/", None]
     web_source.register(spark)
-    rows = spark.read.format("web").option("urls", f"file://{tmp_path}/p.html file://{tmp_path}/none").load().collect()
-    assert sorted((r.html, r.error is None) for r in rows if r.html) == [("<p>x</p>", True)] and len(rows) == 2
+    named = spark.read.format("web").option("urls", " ".join(u for u in urls if u)).option("retries", 1).option("maxBytes", 4000).load()
+    table = web_source.fetched(spark.createDataFrame([(u,) for u in urls * 2], "url string"), tasks=4, how=web_source.Fetch(retries=1, max_bytes=4000))
+    for df in (named, table):
+        asked.clear()
+        found = {r.url: r for r in df.collect()}
+        assert set(found) - {None} == set(urls) - {None} and asked["/busy"] == 2 and asked["/none"] == 1
+        good = {u for u, r in found.items() if r.error is None}
+        assert good == {f"{at}/p", f"{at}/busy", f"{at}/away"} and all("café" in found[u].html and found[u].status == 200 for u in good)
+        assert found[f"{at}/none"].status == 404 and all(r.html is None for u, r in found.items() if u not in good)
+    held = table.where("html is not null").select(F.monotonically_increasing_id().alias("page_id"), "url", "html")
+    assert {r.title for r in pages.read_pages(held).collect()} == {"café"} and pages.links(held).where(F.col("target").endswith("/p")).count() == 3
 
 
 def test_stream_over_several_batches(spark, tmp_path):

@@ -146,8 +146,8 @@ def test_languages_of_long_and_of_many_texts_are_all_learned(spark):
 
 
 def test_trees_are_no_larger_than_the_sample(spark):
-    letters = [[chr(0x400 + 16 * k + i) for i in range(16)] for k in range(100)]  # languages of scripts that have nothing in common
-    rows = [(i, " ".join("".join(letters[k][(i * j + j) % 16] for j in range(1, 9)) for i in range(400)), f"l{k:02d}") for k in range(100)]
+    letters = [[chr(0x4E00 + 16 * k + i) for i in range(16)] for k in range(100)]  # languages of scripts that have nothing in common
+    rows = [(k, " ".join("".join(letters[k][(i * j + j) % 16] for j in range(1, 9)) for i in range(400)), f"l{k:02d}") for k in range(100)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     model = langid.fit(df, total_bytes=100 * 2000)
     longest = max(len(t.encode()) for _, t, _ in rows)

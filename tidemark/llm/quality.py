@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from . import words
-from .tables import table
+from .tables import stored, table
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words", "n_upper_words")
 
@@ -171,6 +171,12 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of each policy does to all documents, from a ledger that is stored once and whose bits alone are read."""
+    kept = stored(ledger(table(spark, sf_dir, "documents").select("doc_id", "text")), "ledger")
+    return reduce(DataFrame.unionAll, [ablation(kept, policy) for policy in POLICIES])
+
+
 OP5_SQL = r"""
 with docs as (select row_number() over () as r, doc_id, coalesce(text, '') as text from documents),
 words as (select r, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as w from docs),
@@ -192,3 +198,9 @@ f as (select *, (case when n_words < 50 then 1 else 0 end + case when 100 * n_re
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed_rules & 3 <> 0 as base_failed,
   failed_rules = 0 as kept, n_lines, n_upper_words, failed_rules from f
 """
+
+_BITS = {r.name: 1 << i for i, r in enumerate(RULES)}
+_COUNTS = "select '{policy}' as policy, '{rule}' as rule, count(*) filter (failed_rules & {bit} <> 0) as rejected, count(*) filter (failed_rules & {mask} = {bit}) as alone, count(*) filter (failed_rules & {others} = 0) as kept_without from ledger"
+ABLATION_SQL = f"with ledger as ({OP5_SQL}) " + " union all ".join(
+    _COUNTS.format(policy=policy, rule=rule, bit=_BITS[rule], mask=mask(policy), others=mask(policy) & ~_BITS[rule]) for policy, rules in POLICIES.items() for rule in rules
+)

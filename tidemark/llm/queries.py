@@ -15,5 +15,6 @@ QUERIES = {
     "op8_chat": chat.op8_chat,
     "op9_token_files": token_files.op9_token_files,
     "op10_mixing": mixing.op10_mixing,
+    "quality_ablation": quality.quality_ablation,
 }
-SQL = {"op7_ngram_jaccard": jaccard.OP7_SQL, "op3_decontamination": decontamination.OP3_SQL, "op5_quality_rules": quality.OP5_SQL}
+SQL = {"op7_ngram_jaccard": jaccard.OP7_SQL, "op3_decontamination": decontamination.OP3_SQL, "op5_quality_rules": quality.OP5_SQL, "quality_ablation": quality.ABLATION_SQL}

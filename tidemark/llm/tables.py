@@ -1,39 +1,30 @@
-"""Reading the input tables and naming places in the shared folder."""
+"""Reading the input tables; the shared folder is that of the rest of the library."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..plans.lineage import place, removed, shared_dir, stored
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+__all__ = ["integer_vectors", "place", "removed", "shared_dir", "shuffles", "stored", "table"]
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset, as in tests, a local one that is set for the session."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not at:
-        at = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
-        spark.conf.set("spark.checkpoint.dir", at)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(at)
-    return at.rstrip("/")
-
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-def place(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
+def shuffles(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read back: its lineage is cut, and a lost executor costs nothing before it."""
-    at = place(df.sparkSession, name)
-    df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
 
+def integer_vectors(vectors: DataFrame, vec_id: str, vector: str, scale: int, most: int) -> DataFrame:
+    """row_id (unlike for all rows), vec_id and v: floor(scale * x) of each component x, as double.
 
-def shuffles(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+    Left out are null vectors, those with a null or non-finite component, and those with an integer of most or more in size, whose sums of products
+    can be too large for a long. Rows are dealt evenly, however few files they come from and however many are alike.
+    """
+    x = F.col("x")
+    whole = x.isNotNull() & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c.cast("double") * scale) < most))
+    rows = vectors.select(F.monotonically_increasing_id().alias("row_id"), F.col(f"`{vec_id}`").alias("vec_id"), F.col(f"`{vector}`").alias("x")).where(whole)
+    return rows.repartition(shuffles(vectors.sparkSession), "row_id").select("row_id", "vec_id", F.transform("x", lambda c: F.floor(c.cast("double") * scale).cast("int")).alias("v"))

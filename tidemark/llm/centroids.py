@@ -40,7 +40,7 @@ def starts(vectors: DataFrame, k: int) -> np.ndarray:
     """Of k vectors, the smallest by the digest of 2:<vec_id>, in this order; repeated ids by their components, null ids last."""
     digest = F.sha2(F.concat(F.lit("2:"), F.col("vec_id").cast("string")), 256)
     rows = vectors.select(digest.alias("digest"), "v").orderBy(F.col("digest").asc_nulls_last(), "v").limit(k).collect()
-    return np.array([r.v for r in rows], np.int64).reshape(len(rows), -1)
+    return np.array([r.v for r in rows], np.int64)
 
 
 def grouped(centroids: np.ndarray, size: int = GROUP, rounds: int = 5) -> list[np.ndarray]:

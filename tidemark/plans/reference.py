@@ -12,13 +12,14 @@ from pyspark.sql import functions as F
 
 from ..functions import web
 from ..functions.text import fixed, micros
-from ..operators import memory, metering, pages, retrieval
+from ..operators import index, memory, metering, pages, retrieval
 from .lineage import place, stored
 from ..streaming import monitors
 from ..streaming.monitors import drained
 
 BEFORE, AFTER, LATER = "2024-01-08 12:00:00", "2024-01-20 00:00:00", "2030-01-01 00:00:00"
 TERMS = ["that", "ther", "hand"]
+PHRASE = ["the", "that"]
 QUOTA = 60
 WRITERS = 5
 #: The searches whose lists are fused.
@@ -127,6 +128,24 @@ def search_equal_texts(spark, d):
     return retrieval.equal_texts(table(spark, d, "documents"))
 
 
+def index_search(spark, d):
+    """The rows of search_documents, from an index."""
+    kept = index.build(table(spark, d, "documents").select("doc_id", "source", "text"), "text", place(spark, "index"))
+    return index.search(kept, TERMS)
+
+
+def index_top_passages(spark, d):
+    """The rows of search_top_passages, from an index of passages."""
+    kept = index.build(retrieval.passages(table(spark, d, "documents")), "passage", place(spark, "index"))
+    return index.best(kept, TERMS, 10, "doc_id", "pos")
+
+
+def index_phrase(spark, d):
+    """Documents in which the words of PHRASE follow each other, and how often."""
+    kept = index.build(table(spark, d, "documents").select("doc_id", "text"), "text", place(spark, "index"))
+    return index.phrase(kept, PHRASE)
+
+
 def page_text(spark, d):
     return pages.read_pages(table(spark, d, "pages"))
 
@@ -192,7 +211,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         memory_history, memory_current, memory_as_of, memory_provenance, memory_shared, memory_changes, memory_undo, memory_rollback, memory_rolled_back, memory_undone, memory_receipts,
-        memory_chain, memory_markdown, search_passages, search_documents, search_top_passages, search_fused, search_merged, search_equal_texts, page_text, page_links, page_site_map,
+        memory_chain, memory_markdown, search_passages, search_documents, search_top_passages, search_fused, search_merged, search_equal_texts, index_search, index_top_passages, index_phrase, page_text, page_links, page_site_map,
         page_canonical, page_crawl, page_fetch, usage_running, usage_monthly, usage_by_kind, monitor_changes, stream_totals, stream_windows, stream_changes,
     )
 }
@@ -271,6 +290,9 @@ SQL = {
     "search_fused": f"select doc_id, count(distinct e) as engines, round(sum(1 / (60 + rank)), 6) as score from ({' union all '.join(f'select * from {r}' for r in _RANKS)}) group by doc_id",
     "search_merged": f"with s as (select doc_id, rank, list_distinct({_TOKENS.format(text='text')}) as w from {_RANKS[0]} join documents using (doc_id)) select doc_id, rank from s where not exists (select 1 from s b where b.rank < s.rank and 100 * len(list_intersect(s.w, b.w)) >= 75 * len(list_distinct(list_concat(s.w, b.w))))",
     "search_equal_texts": "select min(doc_id) as first_id, count(*) as copies from documents group by text",
+    "index_search": _bm25("documents", "text", "doc_id, source", TERMS),
+    "index_top_passages": f"select *, row_number() over (order by score desc, doc_id, pos) as rank from ({_bm25(_PASSAGES, 'passage', 'doc_id, source, pos', TERMS)}) qualify rank <= 10",
+    "index_phrase": f"select doc_id, times from (select doc_id, len(list_filter(range(1, len(w)), lambda i: {' and '.join(f"w[i + {j}] = '{x}'" for j, x in enumerate(PHRASE))}))::bigint as times from (select doc_id, {_TOKENS.format(text='text')} as w from documents)) where times > 0",
     "page_text": f"select page_id, url, {_decoded('''regexp_extract(coalesce(html, ''), '(?is)<title[^>]*>(.*?)</title>', 1)''')} as title, {_TEXT} as text from pages",
     "page_links": f"select * from {_LINKS}",
     "page_site_map": f"select {_host('url')} as host, count(*) as pages, count(distinct {_PATH}) as paths, count(distinct {_canonical('url')}) as urls from pages group by 1",

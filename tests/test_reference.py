@@ -1,8 +1,10 @@
 from __future__ import annotations
 
+import os
 import random
 import zlib
 from collections import Counter
+from concurrent.futures import ThreadPoolExecutor
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from threading import Thread
 
@@ -13,7 +15,7 @@ import compare
 from tidemark.functions import web
 from tidemark.functions.text import receipt
 from tidemark.operators import memory, metering, pages, retrieval
-from tidemark.plans import lineage, reference
+from tidemark.plans import commits, lineage, reference
 from tidemark.sources import folder, pdf
 from tidemark.sources import web as web_source
 from tidemark.streaming import monitors
@@ -140,10 +142,52 @@ def test_a_kept_log_grows_by_batches(spark, tmp_path):
     assert pick(log) == pick(memory.opened(log, at)) == [("a", 2.0, "me"), ("b", 5.0, "me")]
     again = memory.append(log, at, memory.rollback(log, "2024-01-02"), "you", "2024-01-03")
     assert pick(again) == [("a", 2.0, "you"), ("b", 6.0, "you")] and again.rows.count() == len(WRITES) + 3 + 2
-    with pytest.raises(Exception, match="already exists|PATH_ALREADY_EXISTS"):
+    with pytest.raises(commits.Conflict, match="already exists"):
         memory.saved(log, at)
 
 
+def test_eight_writers_at_once(spark, tmp_path):
+    at, n = str(tmp_path / "log"), 8
+    log = memory.saved(a_log(spark, WRITES), at)
+    new = spark.createDataFrame([(f"k{i}", float(i)) for i in range(5)], "key string, value double")
+
+    def write(i):
+        for part in range(3):
+            memory.append(log, at, new, f"writer{i}.{part}", "2024-02-01")
+
+    with ThreadPoolExecutor(n) as pool:
+        list(pool.map(write, range(n)))
+    rows = memory.opened(log, at).rows.where("at = timestamp_ntz'2024-02-01'").collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r.seq, []).append((r.writer, r.key))
+    assert sorted(by) == list(range(7, 7 + 3 * n)) and all(len(x) == 5 and len({w for w, _ in x}) == 1 for x in by.values())
+    assert len({x[0][0] for x in by.values()}) == 3 * n
+    before = {tuple(r) for r in memory.opened(log, at).rows.collect()}
+    assert {tuple(r) for r in memory.compacted(log, at).rows.collect()} == before and len(commits.state(spark, at).batches) == 1
+    assert {tuple(r) for r in memory.opened(log, at, 3 * n).rows.collect()} == before and memory.opened(log, at, 0).rows.count() == len(WRITES)
+
+
+def test_a_number_is_taken_once(spark, tmp_path):
+    with ThreadPoolExecutor(16) as pool:
+        won = list(pool.map(lambda i: commits.placed(spark, f"{tmp_path}/c", "0", str(i)), range(64)))
+    assert sum(won) == 1 and (tmp_path / "c" / "0").read_text() == str(won.index(True)) and os.listdir(tmp_path / "c") == ["0"]
+
+
+def test_a_job_is_done_once_and_compaction_yields(spark, tmp_path):
+    at = str(tmp_path / "log")
+    log = memory.saved(a_log(spark, []), at)
+    new = spark.createDataFrame([("a", 1.0)], "key string, value double")
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda _: memory.append(log, at, new, "me", "2024-02-01", job="daily"), range(4)))
+    assert memory.opened(log, at).rows.count() == 1
+    memory.append(log, at, new, "me", "2024-02-02")
+    names = tuple(commits.state(spark, at).batches)
+    memory.compacted(log, at)
+    with pytest.raises(commits.Conflict, match="replaced"):
+        commits.committed(spark, at, "late", 9, names)
+
+
 def test_quota(spark):
     df = spark.createDataFrame([(i, 1, f"2024-01-0{1 + i}", "k") for i in range(4)], "event_id long, user_id long, ts string, event_type string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
     assert [r.over_quota for r in metering.running(df, "user_id", "ts", "event_id", 3).orderBy("event_id").collect()] == [False, False, False, True]

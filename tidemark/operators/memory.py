@@ -7,14 +7,17 @@ What holds at a time is an aggregate with partial sums in each task, so neither
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, replace
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import receipt
+from ..plans import commits
 
 
 @dataclass(frozen=True)
@@ -102,28 +105,49 @@ def appended(log: Log, writes: DataFrame, writer: str | None, time: str) -> Log:
     return replace(log, rows=log.rows.select(*log.columns).unionByName(new))
 
 
-def opened(log: Log, path: str) -> Log:
-    """The log that is kept at path; log gives names and types of its columns."""
-    schema = log.rows.select(*log.columns).schema
-    return replace(log, rows=log.rows.sparkSession.read.schema(schema).option("recursiveFileLookup", "true").parquet(path))
+def opened(log: Log, path: str, commit: int | None = None) -> Log:
+    """The log that is kept at path, as of now or of an earlier commit; log gives names and types of its columns."""
+    spark, schema = log.rows.sparkSession, log.rows.select(*log.columns).schema
+    batches = commits.state(spark, path, commit).batches
+    if not batches:
+        return replace(log, rows=log.rows.select(*log.columns).limit(0))
+    read = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.StringType())])).option("basePath", f"{path}/data").parquet(*(f"{path}/data/batch={name}" for name in batches))
+    numbers = spark.createDataFrame(list(batches.items()), "batch string, number long")
+    # rows of a batch that was appended have no number but that of its commit
+    rows = read.join(numbers, "batch").withColumn(log.seq, F.coalesce(F.col(log.seq), F.col("number").cast(schema[log.seq].dataType)))
+    return replace(log, rows=rows.select(*log.columns))
 
 
 def saved(log: Log, path: str) -> Log:
     """The log written to path, in the shared folder, as its first batch, and read from there. Fails where there is one."""
-    log.rows.select(*log.columns).write.mode("errorifexists").parquet(f"{path}/batch-0")
+    spark, name = log.rows.sparkSession, uuid.uuid4().hex
+    log.rows.select(*log.columns).write.parquet(f"{path}/data/batch={name}")
+    top = spark.read.parquet(f"{path}/data/batch={name}").agg(F.max(log.seq)).first()[0]
+    commits.committed(spark, path, name, int(top or 0), first=True)
     return opened(log, path)
 
 
-def append(log: Log, path: str, writes: DataFrame, writer: str | None, time: str) -> Log:
+def append(log: Log, path: str, writes: DataFrame, writer: str | None, time: str, job: str | None = None) -> Log:
     """Appends writes (keys and value) to the log at path, as a batch of its own that nothing ever rewrites; the log with it.
 
-    A batch is named by its seq, one more than any before it, so of two that are appended at once one fails and leaves the log as it is.
+    Any number of writers may append at once, from any number of sessions: each batch gets a commit and a seq of its own, one more than any before it, and none is lost. A job
+    names a batch that is to be appended once: where it has been, by whatever run, nothing happens.
     """
-    kept = opened(log, path)
-    seq = (kept.rows.agg(F.max(log.seq)).first()[0] or 0) + 1
-    none = replace(kept, rows=kept.rows.limit(0))
-    new = appended(none, writes, writer, time).rows.withColumn(log.seq, F.lit(seq).cast(kept.rows.schema[log.seq].dataType))
-    new.select(*log.columns).write.mode("errorifexists").parquet(f"{path}/batch-{seq}")
+    spark, name, schema = log.rows.sparkSession, uuid.uuid4().hex, log.rows.schema
+    if job is not None and job in commits.state(spark, path).jobs:
+        return opened(log, path)
+    values = {log.value: F.col("value"), log.writer: F.lit(writer), log.at: F.lit(time).cast("timestamp_ntz"), log.seq: F.lit(None)}
+    writes.select(*log.keys, *(c.cast(schema[n].dataType).alias(n) for n, c in values.items())).write.parquet(f"{path}/data/batch={name}")
+    commits.committed(spark, path, name, job=job)
+    return opened(log, path)
+
+
+def compacted(log: Log, path: str) -> Log:
+    """The log with all of its batches in one, in a commit of its own. Batches that others append meanwhile stay beside it; earlier commits can be read as before."""
+    spark, now, name = log.rows.sparkSession, commits.state(log.rows.sparkSession, path), uuid.uuid4().hex
+    if len(now.batches) > 1:
+        opened(log, path, now.commit).rows.write.parquet(f"{path}/data/batch={name}")
+        commits.committed(spark, path, name, now.top, tuple(now.batches))
     return opened(log, path)
 
 

@@ -5,6 +5,7 @@ Of the tables, events stands for a log of facts (key user_id and event_type, one
 
 from __future__ import annotations
 
+from dataclasses import replace
 from html.entities import name2codepoint
 
 from pyspark.sql import DataFrame, SparkSession
@@ -85,6 +86,17 @@ def memory_undone(spark, d):
     return memory.history(memory.append(kept, at, memory.undo(kept), "undoer", LATER))
 
 
+def memory_jobs(spark, d):
+    """A kept log of the writes before a time, to which a batch job a writer has appended what each key holds now; each job ran twice, and the batches were put in one."""
+    whole, at = log(spark, d), place(spark, "log")
+    kept = memory.saved(replace(whole, rows=whole.until(BEFORE)), at)
+    for i in range(WRITERS):
+        writes = memory.state(whole).where(F.col("writer") == f"w{i}").select("user_id", "event_type", "value")
+        for _ in range(2):
+            memory.append(kept, at, writes, f"job{i}", LATER, job=f"job{i}")
+    return memory.compacted(kept, at).rows
+
+
 def memory_receipts(spark, d):
     return memory.receipts(log(spark, d), *receipt_parts())
 
@@ -210,7 +222,7 @@ def stream_changes(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        memory_history, memory_current, memory_as_of, memory_provenance, memory_shared, memory_changes, memory_undo, memory_rollback, memory_rolled_back, memory_undone, memory_receipts,
+        memory_history, memory_current, memory_as_of, memory_provenance, memory_shared, memory_changes, memory_undo, memory_rollback, memory_rolled_back, memory_undone, memory_jobs, memory_receipts,
         memory_chain, memory_markdown, search_passages, search_documents, search_top_passages, search_fused, search_merged, search_equal_texts, index_search, index_top_passages, index_phrase, page_text, page_links, page_site_map,
         page_canonical, page_crawl, page_fetch, usage_running, usage_monthly, usage_by_kind, monitor_changes, stream_totals, stream_windows, stream_changes,
     )
@@ -281,6 +293,7 @@ SQL = {
     "memory_rollback": f"select coalesce(a.user_id, b.user_id) as user_id, coalesce(a.event_type, b.event_type) as event_type, b.value as value, case when b.value is null then 'delete' when a.value is not distinct from b.value then 'keep' else 'restore' end as action from ({_NOW}) a full join ({_THEN}) b on a.user_id = b.user_id and a.event_type = b.event_type",
     "memory_rolled_back": f"select coalesce(a.user_id, b.user_id) as user_id, coalesce(a.event_type, b.event_type) as event_type, b.value, 'undoer' as writer from ({_NOW}) a full join ({_THEN}) b on a.user_id = b.user_id and a.event_type = b.event_type where b.value is not null",
     "memory_undone": f"select *, row_number() over w as version, lead(valid_from) over w as valid_to from (select user_id, event_type, value, {_WRITER} as writer, ts as valid_from from events union all select user_id, event_type, max(case when o = 2 then value end), 'undoer', timestamp '{LATER}' from (select *, row_number() over (partition by user_id, event_type order by ts desc, event_id desc) as o from events) group by all) window w as (partition by user_id, event_type order by valid_from)",
+    "memory_jobs": f"select user_id, event_type, value, {_WRITER} as writer, ts, event_id from events where ts <= timestamp '{BEFORE}' union all select user_id, event_type, value, replace(writer, 'w', 'job'), timestamp '{LATER}', (select max(event_id) from events where ts <= timestamp '{BEFORE}') + 1 + replace(writer, 'w', '')::int from ({_NOW})",
     "memory_receipts": f"select event_id as seq, {_RECEIPT} as receipt from events",
     "memory_chain": f"with recursive r as (select user_id, event_type, event_id, {_RECEIPT} as receipt, row_number() over (partition by user_id, event_type order by ts, event_id) as version from events), c as (select user_id, event_type, event_id as seq, version, sha256(receipt) as link from r where version = 1 union all select r.user_id, r.event_type, r.event_id, r.version, sha256(c.link || r.receipt) from c join r on r.user_id = c.user_id and r.event_type = c.event_type and r.version = c.version + 1) select * from c",
     "memory_markdown": "select conv_id, string_agg('## ' || role || chr(10) || chr(10) || text, chr(10) || chr(10) order by turn, role, text) as content from conversations group by conv_id",

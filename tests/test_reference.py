@@ -29,7 +29,7 @@ def test_query_equals_sql(spark, name):
 
 
 def test_all_queries_have_sql():
-    assert set(reference.QUERIES) == set(reference.SQL)
+    assert set(reference.QUERIES) - set(reference.SQL) == {"vector_search"}
 
 
 def a_log(spark, rows):

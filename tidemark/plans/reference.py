@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import web
 from ..functions.text import fixed, micros
-from ..operators import index, memory, metering, pages, retrieval
+from ..operators import index, memory, metering, pages, retrieval, vectors
 from .lineage import place, stored
 from ..streaming import monitors
 from ..streaming.monitors import drained
@@ -21,6 +21,8 @@ from ..streaming.monitors import drained
 BEFORE, AFTER, LATER = "2024-01-08 12:00:00", "2024-01-20 00:00:00", "2030-01-01 00:00:00"
 TERMS = ["that", "ther", "hand"]
 PHRASE = ["the", "that"]
+#: Rows that ask the vector search, and the least cosine of what is alike.
+EVERY, ALIKE = 100, 0.35
 QUOTA = 60
 WRITERS = 5
 #: The searches whose lists are fused.
@@ -158,6 +160,22 @@ def index_phrase(spark, d):
     return index.phrase(kept, PHRASE)
 
 
+def vector_exact(spark, d):
+    """The 10 nearest of all embeddings for those whose id is divisible by EVERY, from all cells."""
+    return vectors.nearest(vectors.fitted(table(spark, d, "embeddings")), f"id % {EVERY} = 0", probe=None)
+
+
+def vector_within(spark, d):
+    """All embeddings within an angle of those whose id is divisible by EVERY, from the cells that the angle reaches."""
+    return vectors.within(vectors.fitted(table(spark, d, "embeddings")), f"id % {EVERY} = 0", ALIKE)
+
+
+def vector_search(spark, d):
+    """The 10 nearest from as many cells as a sample says are needed."""
+    cells = vectors.fitted(table(spark, d, "embeddings"))
+    return vectors.nearest(cells, f"id % {EVERY} = 0", probe=vectors.probes(cells))
+
+
 def page_text(spark, d):
     return pages.read_pages(table(spark, d, "pages"))
 
@@ -223,7 +241,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         memory_history, memory_current, memory_as_of, memory_provenance, memory_shared, memory_changes, memory_undo, memory_rollback, memory_rolled_back, memory_undone, memory_jobs, memory_receipts,
-        memory_chain, memory_markdown, search_passages, search_documents, search_top_passages, search_fused, search_merged, search_equal_texts, index_search, index_top_passages, index_phrase, page_text, page_links, page_site_map,
+        memory_chain, memory_markdown, search_passages, search_documents, search_top_passages, search_fused, search_merged, search_equal_texts, index_search, index_top_passages, index_phrase, vector_exact, vector_within, vector_search, page_text, page_links, page_site_map,
         page_canonical, page_crawl, page_fetch, usage_running, usage_monthly, usage_by_kind, monitor_changes, stream_totals, stream_windows, stream_changes,
     )
 }
@@ -248,6 +266,9 @@ _PASSAGES = "(select doc_id, source, i - 1 as pos, l[i] as passage from (select
 _RANKS = [f"(select doc_id, row_number() over (order by score desc, doc_id) as rank, 'e{i}' as e from ({_bm25('documents', 'text', 'doc_id', t)}))" for i, t in enumerate(SEARCHES.values())]
 
 
+_COSINES = f"select a.vec_id as query_id, b.vec_id, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) as cosine from embeddings a join embeddings b on a.vec_id <> b.vec_id where a.vec_id % {EVERY} = 0"
+
+
 def _host(u: str) -> str:
     return f"lower(regexp_extract({u}, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]*)', 1))"
 
@@ -306,6 +327,8 @@ SQL = {
     "index_search": _bm25("documents", "text", "doc_id, source", TERMS),
     "index_top_passages": f"select *, row_number() over (order by score desc, doc_id, pos) as rank from ({_bm25(_PASSAGES, 'passage', 'doc_id, source, pos', TERMS)}) qualify rank <= 10",
     "index_phrase": f"select doc_id, times from (select doc_id, len(list_filter(range(1, len(w)), lambda i: {' and '.join(f"w[i + {j}] = '{x}'" for j, x in enumerate(PHRASE))}))::bigint as times from (select doc_id, {_TOKENS.format(text='text')} as w from documents)) where times > 0",
+    "vector_exact": f"select query_id, row_number() over (partition by query_id order by cosine desc, vec_id) as rank, vec_id, cosine from ({_COSINES}) qualify rank <= 10",
+    "vector_within": f"select query_id, vec_id, cosine from ({_COSINES}) where cosine >= {ALIKE}",
     "page_text": f"select page_id, url, {_decoded('''regexp_extract(coalesce(html, ''), '(?is)<title[^>]*>(.*?)</title>', 1)''')} as title, {_TEXT} as text from pages",
     "page_links": f"select * from {_LINKS}",
     "page_site_map": f"select {_host('url')} as host, count(*) as pages, count(distinct {_PATH}) as paths, count(distinct {_canonical('url')}) as urls from pages group by 1",

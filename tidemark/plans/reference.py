@@ -15,7 +15,7 @@ from ..functions import web
 from ..functions.text import fixed, micros
 from ..operators import index, memory, metering, pages, retrieval, vectors
 from .lineage import place, stored
-from ..streaming import monitors
+from ..streaming import monitors, watch
 from ..streaming.monitors import drained
 
 BEFORE, AFTER, LATER = "2024-01-08 12:00:00", "2024-01-20 00:00:00", "2030-01-01 00:00:00"
@@ -23,6 +23,8 @@ TERMS = ["that", "ther", "hand"]
 PHRASE = ["the", "that"]
 #: Rows that ask the vector search, and the least cosine of what is alike.
 EVERY, ALIKE = 100, 0.35
+#: How late every seventh event arrives, and the microseconds between deliveries.
+DELAY, EIGHT_DAYS = "case when event_id % 7 = 0 then interval 40 hours else interval 0 hours end", 8 * 86400 * 1_000_000
 QUOTA = 60
 WRITERS = 5
 #: The searches whose lists are fused.
@@ -237,12 +239,57 @@ def stream_changes(spark, d):
     return monitors.change_counts(streamed(spark, d, "events"), ["user_id", "event_type"], "event_id", F.col("props"))
 
 
+def stream_watch(spark, d):
+    """Each look at a key, and when it was not looked at for two days, from keyed state with timers."""
+    looks = watch.watched(streamed(spark, d, "events"), ["user_id", "event_type"], "ts", "event_id", F.col("props"))
+    return watch.ran(looks, place(spark, "watch"))
+
+
+def stream_closed(spark, d):
+    """Counts by day and kind of the days that are over."""
+    return watch.ran(monitors.windowed_counts(streamed(spark, d, "events"), "ts", "event_type"), place(spark, "closed"))
+
+
+def arrived(spark, d, each):
+    """Events in the order in which they arrive, every seventh 40 hours late; each is run after each of the deliveries, of eight days, and given the folder that they are in."""
+    at = place(spark, "arrived")
+    rows = table(spark, d, "events").withColumn("delivery", F.expr(f"cast(floor(unix_micros(cast(ts as timestamp) + {DELAY}) / {EIGHT_DAYS}) as int)"))
+    rows = stored(rows.repartition("delivery").sortWithinPartitions("delivery"), "deliveries")
+    schema = rows.drop("delivery").schema
+    for r in rows.select("delivery").distinct().orderBy("delivery").collect():  # one in eight days
+        rows.where(F.col("delivery") == r.delivery).drop("delivery").write.mode("append").parquet(at)
+        each(spark.readStream.schema(schema).parquet(at))
+    return schema
+
+
+def stream_late(spark, d):
+    """All events, with those that came more than an hour behind others apart from the rest."""
+    at = place(spark, "late")
+    schema = arrived(spark, d, lambda stream: watch.split(stream, "ts", "1 hour", at))
+    both = (spark.read.schema(schema).parquet(f"{at}/{name}").select("event_id", "ts", F.lit(name == "late").alias("late")) for name in ("on_time", "late"))
+    return next(both).unionByName(next(both))
+
+
+def stream_sessions(spark, d):
+    """Sessions of each user, apart by six hours, that are over, of the events that came in time."""
+    at, done = place(spark, "late"), place(spark, "sessions")
+    out = []
+
+    def each(stream):
+        on_time, _ = watch.split(stream, "ts", "1 hour", at)
+        rows = spark.readStream.schema(stream.schema).parquet(f"{on_time}/batch=*")
+        out.append(watch.ran(watch.sessions(rows, ["user_id"], "ts", "6 hours", "1 hour"), done))
+
+    arrived(spark, d, each)
+    return out[-1]
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         memory_history, memory_current, memory_as_of, memory_provenance, memory_shared, memory_changes, memory_undo, memory_rollback, memory_rolled_back, memory_undone, memory_jobs, memory_receipts,
         memory_chain, memory_markdown, search_passages, search_documents, search_top_passages, search_fused, search_merged, search_equal_texts, index_search, index_top_passages, index_phrase, vector_exact, vector_within, vector_search, page_text, page_links, page_site_map,
-        page_canonical, page_crawl, page_fetch, usage_running, usage_monthly, usage_by_kind, monitor_changes, stream_totals, stream_windows, stream_changes,
+        page_canonical, page_crawl, page_fetch, usage_running, usage_monthly, usage_by_kind, monitor_changes, stream_totals, stream_windows, stream_changes, stream_watch, stream_closed, stream_late, stream_sessions,
     )
 }
 
@@ -303,6 +350,10 @@ _RESOLVED = f"case when regexp_matches(href, '^[a-zA-Z][a-zA-Z0-9+.-]*:') then h
 _LINKS = f"(select page_id, pos, {_canonical('url')} as source, {_canonical('target')} as target from (select page_id, url, pos, {_RESOLVED} as target from {_HREFS}))"
 _LOOKS = "(select *, lag(sha256(props)) over (partition by user_id, event_type order by {order}) as b, sha256(props) as h from events)"
 
+_ON_TIME = f"(select *, coalesce(ts < max(latest) over (order by delivery groups between unbounded preceding and 1 preceding) - interval 1 hour, false) as late from (select *, max(ts) over (partition by delivery) as latest from (select *, epoch_us(ts + {DELAY}) // {EIGHT_DAYS} as delivery from events)))"
+_DONE = "(select date_trunc('milliseconds', max(ts)) - interval 1 hour from events)"
+_SESSIONS = f"select user_id, min(ts) as first_at, max(ts) as last_at, max(ts) + interval 6 hours as closed_at, count(*) as n from (select *, sum(new::int) over (partition by user_id order by ts) as s from (select *, coalesce(ts >= lag(ts) over (partition by user_id order by ts) + interval 6 hours, true) as new from {_ON_TIME} where not late)) group by user_id, s"
+
 SQL = {
     "memory_history": f"select user_id, event_type, value, {_WRITER} as writer, row_number() over w as version, ts as valid_from, lead(ts) over w as valid_to from events window w as (partition by user_id, event_type order by ts, event_id)",
     "memory_current": _NOW,
@@ -341,5 +392,9 @@ SQL = {
     "monitor_changes": f"select event_id, user_id, event_type, case when b is null then 'new' when b = h then 'same' else 'changed' end as found from {_LOOKS.format(order='ts, event_id')}",
     "stream_totals": "select user_id, event_type, count(*) as n, round(sum(value), 4) as total from events group by all",
     "stream_windows": "select date_trunc('day', ts)::timestamp as window_start, event_type, count(*) as n from events group by all",
+    "stream_watch": f"with l as (select *, lag(ts) over w as before, lag(sha256(props)) over w as b, lead(ts) over w as next from events window w as (partition by user_id, event_type order by ts, event_id)) select user_id, event_type, event_id as seq, ts as at, case when before is null or ts - before > interval 2 days then 'new' when b = sha256(props) then 'same' else 'changed' end as found from l union all select user_id, event_type, null, ts + interval 2 days, 'gone' from l where next - ts > interval 2 days or (next is null and ts + interval 2 days <= {_DONE})",
+    "stream_closed": f"select * from (select date_trunc('day', ts)::timestamp as window_start, event_type, count(*) as n from events group by all) where window_start + interval 1 day <= {_DONE}",
+    "stream_late": f"select event_id, ts, late from {_ON_TIME}",
+    "stream_sessions": f"select * from ({_SESSIONS}) where closed_at <= {_DONE}",
     "stream_changes": f"select user_id, event_type, count(*) as looks, sum((b is not null and b <> h)::int)::bigint as changed from {_LOOKS.format(order='event_id')} group by all",
 }

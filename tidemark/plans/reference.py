@@ -8,12 +8,12 @@ from __future__ import annotations
 from dataclasses import replace
 from html.entities import name2codepoint
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import web
 from ..functions.text import fixed, micros
-from ..operators import index, memory, metering, pages, retrieval, vectors
+from ..operators import asof, index, memory, metering, pages, proofs, retrieval, vectors
 from .lineage import place, stored
 from ..streaming import monitors, watch
 from ..streaming.monitors import drained
@@ -113,6 +113,42 @@ def memory_markdown(spark, d):
     return memory.markdown(table(spark, d, "conversations"))
 
 
+def memory_held(spark, d):
+    """Each event that is no view with what the user's last view before it was."""
+    events = table(spark, d, "events")
+    views = events.where("event_type = 'view'").select("user_id", "ts", F.col("value").alias("viewed"), F.col("event_id").alias("view_id"))
+    rest = events.where("event_type <> 'view'").select("event_id", "user_id", "event_type", "ts")
+    return asof.as_of(rest, views, ["user_id"], "ts", "ts", ["viewed", "view_id"], ("view_id",))
+
+
+def memory_spans(spark, d):
+    """Orders with each later order of the same customer within 90 days."""
+    orders = table(spark, d, "orders")
+    spans = orders.select("o_custkey", F.col("o_orderkey").alias("before"), F.col("o_orderdate").alias("start"), (F.col("o_orderdate") + F.expr("interval 90 days")).alias("until"))
+    rows = orders.select("o_custkey", "o_orderkey", "o_orderdate", F.round("o_totalprice", 2).alias("price"))
+    met = asof.spans_at(rows, spans, ["o_custkey"], "o_orderdate", "start", "until", "30 days")
+    return met.where("o_orderkey <> before").select("o_custkey", "o_orderkey", "before", "price")
+
+
+def trees(spark, d):
+    """Receipts of the log with a batch a day, and the nodes of their trees."""
+    kept = memory.receipts(log(spark, d), *receipt_parts()).join(table(spark, d, "events").select(F.col("event_id").alias("seq"), F.to_date("ts").cast("string").alias("batch")), "seq")
+    return kept, proofs.tree(kept, "batch", ["seq"])
+
+
+def memory_roots(spark, d):
+    """The root of each day's tree, by which any of its writes can be checked."""
+    return proofs.roots(trees(spark, d)[1])
+
+
+def memory_proofs(spark, d):
+    """For each write whose id is divisible by 100: the digests beside it, from below, and the root that it leads to."""
+    kept, nodes = trees(spark, d)
+    places = kept.withColumn("place", F.row_number().over(Window.partitionBy("batch").orderBy("seq")) - 1).where("seq % 100 = 0").select("seq", "batch", F.col("place").cast("long").alias("place"))
+    found = proofs.proofs(nodes, places).join(places, ["batch", "place"])
+    return found.select("seq", "batch", "place", F.concat_ws(",", F.transform("path", lambda s: s["digest"])).alias("path"), proofs.proven(F.col("digest"), F.col("path")).alias("root"))
+
+
 def search_passages(spark, d):
     return retrieval.passages(table(spark, d, "documents"))
 
@@ -287,7 +323,7 @@ def stream_sessions(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        memory_history, memory_current, memory_as_of, memory_provenance, memory_shared, memory_changes, memory_undo, memory_rollback, memory_rolled_back, memory_undone, memory_jobs, memory_receipts,
+        memory_history, memory_current, memory_as_of, memory_provenance, memory_shared, memory_changes, memory_undo, memory_rollback, memory_rolled_back, memory_undone, memory_jobs, memory_held, memory_spans, memory_roots, memory_proofs, memory_receipts,
         memory_chain, memory_markdown, search_passages, search_documents, search_top_passages, search_fused, search_merged, search_equal_texts, index_search, index_top_passages, index_phrase, vector_exact, vector_within, vector_search, page_text, page_links, page_site_map,
         page_canonical, page_crawl, page_fetch, usage_running, usage_monthly, usage_by_kind, monitor_changes, stream_totals, stream_windows, stream_changes, stream_watch, stream_closed, stream_late, stream_sessions,
     )
@@ -354,6 +390,10 @@ _ON_TIME = f"(select *, coalesce(ts < max(latest) over (order by delivery groups
 _DONE = "(select date_trunc('milliseconds', max(ts)) - interval 1 hour from events)"
 _SESSIONS = f"select user_id, min(ts) as first_at, max(ts) as last_at, max(ts) + interval 6 hours as closed_at, count(*) as n from (select *, sum(new::int) over (partition by user_id order by ts) as s from (select *, coalesce(ts >= lag(ts) over (partition by user_id order by ts) + interval 6 hours, true) as new from {_ON_TIME} where not late)) group by user_id, s"
 
+_UP = "case when r is null then l else sha256(unhex('01') || unhex(l) || unhex(r)) end"
+_TREE = f"""with recursive leaves as (select ts::date::varchar as batch, event_id as seq, row_number() over (partition by ts::date order by event_id) - 1 as place, sha256(unhex('00') || encode({_RECEIPT})) as digest from events),
+nodes as (select batch, 0 as level, place, digest from leaves union all (select batch, level + 1, place // 2, {_UP} from (select batch, level, place, digest as l, lead(digest) over (partition by batch, level order by place) as r from nodes) where place % 2 = 0 and level < 20))"""
+
 SQL = {
     "memory_history": f"select user_id, event_type, value, {_WRITER} as writer, row_number() over w as version, ts as valid_from, lead(ts) over w as valid_to from events window w as (partition by user_id, event_type order by ts, event_id)",
     "memory_current": _NOW,
@@ -366,6 +406,10 @@ SQL = {
     "memory_rolled_back": f"select coalesce(a.user_id, b.user_id) as user_id, coalesce(a.event_type, b.event_type) as event_type, b.value, 'undoer' as writer from ({_NOW}) a full join ({_THEN}) b on a.user_id = b.user_id and a.event_type = b.event_type where b.value is not null",
     "memory_undone": f"select *, row_number() over w as version, lead(valid_from) over w as valid_to from (select user_id, event_type, value, {_WRITER} as writer, ts as valid_from from events union all select user_id, event_type, max(case when o = 2 then value end), 'undoer', timestamp '{LATER}' from (select *, row_number() over (partition by user_id, event_type order by ts desc, event_id desc) as o from events) group by all) window w as (partition by user_id, event_type order by valid_from)",
     "memory_jobs": f"select user_id, event_type, value, {_WRITER} as writer, ts, event_id from events where ts <= timestamp '{BEFORE}' union all select user_id, event_type, value, replace(writer, 'w', 'job'), timestamp '{LATER}', (select max(event_id) from events where ts <= timestamp '{BEFORE}') + 1 + replace(writer, 'w', '')::int from ({_NOW})",
+    "memory_held": "select e.event_id, e.user_id, e.event_type, e.ts, v.value as viewed, v.event_id as view_id, v.ts as since from (select * from events where event_type <> 'view') e asof left join (select * from events where event_type = 'view') v on e.user_id = v.user_id and e.ts >= v.ts",
+    "memory_spans": "select a.o_custkey, a.o_orderkey, b.o_orderkey as before, round(a.o_totalprice, 2) as price from orders a join orders b on a.o_custkey = b.o_custkey and a.o_orderdate >= b.o_orderdate and a.o_orderdate < b.o_orderdate + interval 90 days and a.o_orderkey <> b.o_orderkey",
+    "memory_roots": f"{_TREE} select batch, digest as root, size from nodes join (select batch, count(*) as size from leaves group by 1) using (batch) where place = 0 and level = 20",
+    "memory_proofs": f"{_TREE} select seq, l.batch, l.place, coalesce((select string_agg(n.digest, ',' order by n.level) from nodes n where n.batch = l.batch and n.place = xor(l.place >> n.level, 1)), '') as path, (select digest from nodes n where n.batch = l.batch and n.level = 20 and n.place = 0) as root from leaves l where seq % 100 = 0",
     "memory_receipts": f"select event_id as seq, {_RECEIPT} as receipt from events",
     "memory_chain": f"with recursive r as (select user_id, event_type, event_id, {_RECEIPT} as receipt, row_number() over (partition by user_id, event_type order by ts, event_id) as version from events), c as (select user_id, event_type, event_id as seq, version, sha256(receipt) as link from r where version = 1 union all select r.user_id, r.event_type, r.event_id, r.version, sha256(c.link || r.receipt) from c join r on r.user_id = c.user_id and r.event_type = c.event_type and r.version = c.version + 1) select * from c",
     "memory_markdown": "select conv_id, string_agg('## ' || role || chr(10) || chr(10) || text, chr(10) || chr(10) order by turn, role, text) as content from conversations group by conv_id",

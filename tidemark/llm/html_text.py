@@ -1,11 +1,14 @@
 """Main text of web pages by the distribution of text over lines.
 
-Markup is stripped so that every block element gives a line. What is no article text by its element or its
-name (menus, headers, footers, sidebars, notices, adverts, forms, comments) has no length and leaves a gap of empty lines. Text lengths
-are summed over windows of ``WINDOW`` lines; a surge is where the sums rise from nothing, a dive where they are nothing again. Of the
-stretches between a surge and the next dive those are kept whose text is in links for at most ``LINKED``, however short they are beside others, and with them
-the paragraphs that stand in the same container as a kept line; where there are none, all are. Where a page marks its articles or main element, lines
-outside of these count as empty, and all of their stretches are kept.
+Markup is stripped so that every block element gives a line; of scripts, styles and what is hidden there are none. A line's length is that of its text, weighed by where it stands: what is no article by its element
+or its name (menus, headers, footers, sidebars, notices, adverts, forms) has little of its length, reader comments have none, and a word that may as well belong to a story (``DOUBTFUL``) counts half within
+an article. A change of weight, and the ends of marked articles, leave a gap of empty lines.
+
+Lengths are summed over windows of ``WINDOW`` lines. A surge is where the sums rise from nothing, a dive where they are nothing again; the text between is a stretch. A stretch is kept
+
+* of full weight, outside of marked articles: if it is in links for at most ``LINKED``, however short it is, and with it the paragraphs in the same container; where there are none, all are;
+* of little weight: if it still rises to ``LEAST`` and to the part ``RISE`` of the highest sum of the page;
+* on a page that marks its articles: if it is in one, or has at least ``OUTWEIGHS`` times the text of all that are.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ import html
 import re
 from bisect import bisect_right
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from itertools import accumulate
 
 import pyarrow as pa
@@ -24,6 +28,9 @@ from .tables import table
 
 WINDOW = 3
 LINKED = 0.5
+#: Part of its length that a line has which is no article by its element or name, and one that may be none.
+LITTLE, HALF = 0.04, 0.5
+LEAST, RISE, OUTWEIGHS = 12.0, 0.2, 2.0
 
 # Names of elements, and words in class, id and role that mark what is no article.
 RAW = "script|style|noscript|template|svg|math|iframe|object|textarea|select|title|head"
@@ -54,6 +61,8 @@ BAD_NAMES = BAD_WORDS | COMMENT_WORDS | frozenset(
     "newsletter-signup newsletter-form newsletter-box subscribe-form subscribe-box subscription-form sign-up login-form signup-form search-form search-box search-bar "
     "post-navigation posts-navigation page-navigation page-numbers pop-up popup-overlay modal-dialog modal-overlay widget-area".split()
 )
+#: Words that say little within a marked article.
+DOUBTFUL = frozenset("notice notices alert promotion login signup search header footer copyright widget widgets popup modal overlay dialog banner masthead topbar toolbar pager pagination subscription sponsor sponsored".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 #: Outside of quotes no attribute has a "<", so a tag that is never closed is given up at the next one and no page is scanned again and again.
@@ -135,95 +144,163 @@ def _articles(tokens: list, ends: dict[int, int], dropped) -> list[tuple[int, in
     return [x[:2] for x in outer if not x[3]] or [x[:2] for x in outer]
 
 
-def lines(page: str) -> tuple[list[tuple[str, int, int]], bool]:
-    """The page's lines with the containers they stand in and how many characters of them are links, empty where something was dropped, and whether they are those of marked articles."""
+@dataclass(frozen=True)
+class Line:
+    """A line of text, or an empty one; the container that it stands in, how many of its characters are links, what they weigh, and whether it is in a marked article."""
+
+    text: str
+    container: int = -1
+    linked: int = 0
+    weight: float = 1.0
+    marked: bool = False
+
+    @property
+    def size(self) -> float:
+        return self.weight * len(self.text)
+
+
+GAP = [Line("")] * WINDOW
+
+
+def lines(page: str) -> list[Line]:
+    """The page's lines, with gaps where the weight changes and at the ends of marked articles."""
     tokens = _tokens(page)
-    ends = _ends(tokens)
+    ends, n = _ends(tokens), len(tokens)
     marked = [i for i, t in enumerate(tokens) if t[0] == "open" and t[1] in ("article", "main")]
 
-    def dropped(i: int, inside: bool) -> bool:
+    def weight(i: int, inside: bool) -> float:
         _, name, attributes = tokens[i]
+        if not attributes and name not in DROPPED and name != "header":
+            return 1.0
         given = _attributes(attributes) if attributes else {}
         marks = _marks(given) if "=" in attributes else set()
         if name in ("html", "body", "article", "main"):
-            return bool(marks & COMMENT_WORDS) and name == "article"
-        bad = name in DROPPED or marks & BAD_NAMES - ({"header"} if name in HEADINGS else set()) or _hidden(given)
-        if name == "header" and not inside:
-            bad = True
-        if not bad or marks & COMMENT_WORDS or name in VOID:
-            return bool(bad)
+            return 0.0 if marks & COMMENT_WORDS and name == "article" else 1.0
+        if marks & COMMENT_WORDS or _hidden(given):
+            return 0.0
+        bad = marks & BAD_NAMES - ({"header"} if name in HEADINGS else set())
+        if name not in DROPPED and not (name == "header" and not inside):
+            if not bad:
+                return 1.0
+            if inside and bad <= DOUBTFUL:
+                return HALF
+        if name in VOID:
+            return LITTLE
         next_mark = bisect_right(marked, i)
-        return next_mark == len(marked) or marked[next_mark] >= ends.get(i, i)  # else it is a wrapper of the article
-
-    spans = _articles(tokens, ends, dropped)
-    out: list[tuple[str, int, int]] = []
+        return LITTLE if next_mark == len(marked) or marked[next_mark] >= ends.get(i, i) else 1.0  # else it is a wrapper of the article
+
+    spans = _articles(tokens, ends, lambda i, inside: weight(i, inside) < HALF)
+    starts, stops = {a for a, _ in spans}, {b for _, b in spans}
+    # where an element ends that is never closed: a paragraph at the next block, others at the next article or first heading
+    next_block, next_head = [n] * (n + 1), [n] * (n + 1)
+    for i in range(n - 1, -1, -1):
+        kind, name, _ = tokens[i]
+        next_block[i] = i if kind != "text" and name in BLOCKS else next_block[i + 1]
+        next_head[i] = i if kind == "open" and name in ("article", "main", "h1") else next_head[i + 1]
+
+    out: list[Line] = []
     piece: list[str] = []
-    containers, paragraph, link, linked = [0], False, -1, 0
+    containers, paragraph, link, linked, inside = [0], False, -1, 0, False
+    weights: list[tuple[int, float]] = [(n + 1, 1.0)]
 
-    def close() -> None:
+    def close(gap: bool = False) -> None:
         nonlocal linked
-        line = " ".join(html.unescape("".join(piece)).split())
+        text = " ".join(html.unescape("".join(piece)).split())
         piece.clear()
-        if line:
-            out.append((line, containers[-1] if paragraph or len(containers) > 1 else -1 - len(out), min(linked, len(line))))
+        if text:
+            container = containers[-1] if paragraph or len(containers) > 1 else -1 - len(out)
+            out.append(Line(text, container, min(linked, len(text)), weights[-1][1], inside))
+        if gap:
+            out.extend(GAP)
         linked = 0
 
-    for i, stop in spans or [(0, len(tokens))]:
-        while i < stop:
-            kind, name, value = tokens[i]
-            if kind == "text":
-                piece.append(value)
-                if i < link:
-                    linked += len(" ".join(value.split()))
-            elif kind == "open" and dropped(i, bool(spans)):
-                close()
-                out.extend([("", -1, 0)] * WINDOW)
-                if i in ends:
-                    i = ends[i]
-                elif name in ("p", "li"):
-                    i = next((j for j in range(i + 1, stop) if tokens[j][0] != "text" and tokens[j][1] in BLOCKS), stop) - 1
-                elif name not in VOID:
-                    i = next((j for j in range(i + 1, stop) if tokens[j][0] == "open" and tokens[j][1] in ("article", "main", "h1")), stop) - 1
-            elif name in BLOCKS:
-                close()
-                paragraph = kind == "open" and name in PARAGRAPHS
-                if name in CONTAINERS and kind == "open":
-                    containers.append(i)
-                elif name in CONTAINERS and len(containers) > 1:
-                    containers.pop()
-            elif name in ("br", "td", "th"):
-                piece.append(" ")
-            elif name == "a" and kind == "open" and "href" in _attributes(value):
-                link = max(link, ends.get(i, i))
-            i += 1
-        close()
-        del containers[1:]
-        paragraph = False
-    return out, bool(spans)
-
-
-def between_surges(found: list[tuple[str, int, int]], most_linked: float) -> list[str]:
-    """The lines of the stretches whose text is in links for most_linked at most (of all, if there are none), and the others in their containers."""
-    sizes = [len(x) for x, _, _ in found]
+    for i, (kind, name, value) in enumerate(tokens):
+        while weights[-1][0] <= i:
+            close(True)
+            weights.pop()
+        if i in stops:
+            close(True)
+            inside = False
+        if i in starts:
+            close(True)
+            inside, paragraph = True, False
+        if kind == "text":
+            piece.append(value)
+            if i < link:
+                linked += len(" ".join(value.split()))
+            continue
+        if kind == "open" and (own := weight(i, inside)) < weights[-1][1]:
+            close(own < HALF)
+            if i in ends:
+                stop = ends[i]
+            elif name in VOID:
+                stop = i
+            else:
+                stop = (next_block if name in ("p", "li") else next_head)[i + 1]
+            stop = min(stop, weights[-1][0])
+            if stop > i:
+                weights.append((stop, own))
+        if name in BLOCKS:
+            close()
+            paragraph = kind == "open" and name in PARAGRAPHS
+            if name in CONTAINERS and kind == "open":
+                containers.append(i)
+            elif name in CONTAINERS and len(containers) > 1:
+                containers.pop()
+        elif name in ("br", "td", "th"):
+            piece.append(" ")
+        elif name == "a" and kind == "open" and "href" in _attributes(value):
+            link = max(link, ends.get(i, i))
+    close()
+    return out
+
+
+def stretches(sizes: list[float]) -> list[tuple[int, int, float]]:
+    """From a surge of the sums over windows to the dive behind it: first line, the one after the last, and the highest sum."""
     sums = [sum(sizes[i : i + WINDOW]) for i in range(len(sizes))]
-    stretches, start = [], None
+    out, start = [], None
     for i, s in enumerate([*sums, 0]):
         if s and start is None:
-            start = i  # surge
+            start = i
         elif not s and start is not None:
-            stretches.append((start, i))  # dive
+            out.append((start, i, max(sums[start:i])))
             start = None
-    own = [(a, b) for a, b in stretches if sum(x[2] for x in found[a:b]) <= most_linked * sum(sizes[a:b])] or stretches
-    kept = {i for a, b in own for i in range(a, b)}
-    near = {found[i][1] for i in kept if found[i][0]}
-    return [x for i, (x, c, _) in enumerate(found) if x and (i in kept or c in near)]
+    return out
+
+
+def between_surges(found: list[Line]) -> list[str]:
+    """The text of the stretches that are kept, by the rules above."""
+    sizes = [x.size for x in found]
+    all_stretches = stretches(sizes)
+    top = max((peak for *_, peak in all_stretches), default=0.0)
+    marked = sum(x.size for x in found if x.marked and x.weight >= HALF)
+
+    def light(a: int, b: int) -> bool:
+        return all(x.weight < HALF for x in found[a:b] if x.text)
+
+    def inside(a: int, b: int) -> bool:
+        return any(x.marked for x in found[a:b] if x.text)
+
+    own, kept = [], set()
+    for a, b, peak in all_stretches:
+        if light(a, b):
+            if peak >= max(LEAST, RISE * top):
+                kept.update(range(a, b))
+        elif marked and inside(a, b):
+            kept.update(range(a, b))
+        elif sum(x.size for x in found[a:b]) >= OUTWEIGHS * marked:
+            own.append((a, b))
+    plain = [(a, b) for a, b in own if sum(x.linked for x in found[a:b]) <= LINKED * sum(len(x.text) for x in found[a:b])]
+    chosen = plain or ([] if marked else own)
+    kept.update(i for a, b in chosen for i in range(a, b))
+    near = {found[i].container for a, b in chosen for i in range(a, b) if found[i].text}
+    return [x.text for i, x in enumerate(found) if x.text and (i in kept or (x.container in near and x.weight >= HALF))]
 
 
 def main_text(page: str | None) -> str:
     if not page:
         return ""
-    found, marked = lines(page)
-    return "\n".join(between_surges(found, 1.0 if marked else LINKED))
+    return "\n".join(between_surges(lines(page)))
 
 
 def extracted(pages: DataFrame, html_column: str = "html") -> DataFrame:

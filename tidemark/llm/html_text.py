@@ -30,7 +30,7 @@ WINDOW = 3
 LINKED = 0.5
 #: Part of its length that a line has which is no article by its element or name, and one that may be none.
 LITTLE, HALF = 0.04, 0.5
-LEAST, RISE, OUTWEIGHS = 12.0, 0.2, 2.0
+LEAST, RISE, OUTWEIGHS = 10.0, 0.2, 2.0
 
 # Names of elements, and words in class, id and role that mark what is no article.
 RAW = "script|style|noscript|template|svg|math|iframe|object|textarea|select|title|head"

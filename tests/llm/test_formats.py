@@ -236,6 +236,23 @@ def test_rounding_pairs_small_rows_and_keeps_sums(monkeypatch):
     assert np.allclose(seen / 2000, 0.3, atol=0.06) and set(paired) == {300}
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_most_rows_of_small_sources_are_paired(spark, monkeypatch, sf):
+    paired = []
+    pivotal = mixing.pivotal
+    monkeypatch.setattr(mixing, "pivotal", lambda size, *x: (paired.append(len(size)), pivotal(size, *x))[1])
+    by = defaultdict(list)
+    for r in spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").select("source", mixing.n_words(F.col("text")).alias("size")).collect():
+        by[r.source].append(float(r["size"]))
+    rng = np.random.default_rng(1)
+    for sizes in by.values():
+        size = np.array(sorted(sizes, reverse=True))
+        errors = [abs((mixing.rounded(size, 0.37, rng) - 0.37) @ size) for _ in range(20)]
+        assert max(errors) < 1e-6  # what is open keeps the sum
+    n = sum(map(len, by.values()))
+    assert sum(paired) / 20 > n / 2
+
+
 def test_small_sources_are_paired_and_combined_in_the_tree(spark, monkeypatch):
     levels = []
     step = mixing._step

@@ -6,7 +6,7 @@ a source are rounded by pivotal steps: two rows exchange probability, with their
 as exchange rate, until one of them is 0 or 1. A step keeps every row's expectation
 and the sum of size times probability, so what a source takes differs from its target
 by less than its last undecided row. A pair decides its smaller row, so a large one would be the last: rows that are large beside what follows
-them (``LARGE``) are decided first, each paired with all that follow as one, and the others pair by pair.
+them (``LARGE``) and unlike it (``UNLIKE``) are decided first, each paired with all that follow as one, and the others pair by pair.
 
 Rows are dealt to buckets of about ``BUCKET`` rows by a hash of their content, so a large
 source is spread over many tasks. Each bucket pairs its rows and leaves one undecided at most; these
@@ -30,8 +30,8 @@ BUCKET = 4096
 FAN = 64
 WEIGHTS = (5.0, 2.0, 1.0)
 CAP = 3.0
-#: A row is large if it is more than this part of the rows that follow it in its bucket.
-LARGE = 1 / 32
+#: A row is large if it is more than this part of the rows that follow it in its bucket, and so many times their median. Rows of about one size are paired, however few.
+LARGE, UNLIKE = 1 / 32, 4.0
 #: Probabilities this near to 0 or 1 are taken as that.
 EXACT = 1e-12
 
@@ -95,14 +95,14 @@ def pivotal(size: np.ndarray, p: np.ndarray, rng: np.random.Generator) -> tuple[
 
 
 def rounded(size: np.ndarray, p: float, rng: np.random.Generator) -> np.ndarray:
-    """Rounds rows, the largest first, that all have probability p; one at most stays fractional.
+    """Rounds rows, sorted from the largest on, that all have probability p; one at most stays fractional.
 
     A large row meets all that follow it as one: it becomes 0 or 1 and they share the difference, so they go on with one common probability; where they can't
     take it all, they become 0 or 1 and the row stays fractional. From the first row on that is not large, rows are paired.
     """
     out, i = np.full(len(size), p), 0
     rest = np.concatenate((np.cumsum(size[::-1])[::-1][1:], np.zeros(1)))
-    while i < len(size) and EXACT < p < 1.0 - EXACT and 0.0 < LARGE * rest[i] < size[i]:
+    while i < len(size) and EXACT < p < 1.0 - EXACT and 0.0 < LARGE * rest[i] < size[i] and size[i] > UNLIKE * size[(i + 1 + len(size)) // 2]:
         s, r = float(size[i]), float(rest[i])
         up, down = min((1.0 - p) * s, p * r), min(p * s, (1.0 - p) * r)
         moved = up if rng.random() * (up + down) < down else -down

@@ -193,3 +193,12 @@ def test_no_items_and_no_documents(spark):
     assert decontamination.leaks(odd.documents(spark), odd.benchmark(spark, [])).count() == 0
     assert decontamination.leaks(odd.documents(spark, []), odd.benchmark(spark)).count() == 0
     assert decontamination.clean(odd.documents(spark), odd.benchmark(spark, [])).count() == len(odd.DOCS)
+
+
+def test_a_long_text_that_repeats_an_item(spark):
+    rng = random.Random(1)
+    item = " ".join(f"w{rng.randrange(500)}" for _ in range(60))
+    text = " ".join([item] * 2000)  # above half a megabyte
+    docs = spark.createDataFrame([(1, text), (2, f"{text[:2000]} {'other words ' * 60_000}"), (3, f"x {item}")], "doc_id long, text string")
+    got = decontamination.leaks(docs, spark.createDataFrame([(7, item)], "item_id long, text string"))
+    assert sorted((r.doc_id, r.position, r.similarity) for r in got.collect()) == [(1, 0, 1.0), (2, 0, 1.0), (3, 1, 1.0)]

@@ -94,12 +94,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
     spans = turns.withColumn("bound", F.sum("more").over(by)).withColumn("until", F.lead("start").over(by)).where(F.col("bound") >= SIMILARITY * F.col("total"))
     windows = stored(spans.select("doc_key", "item_key", "length", F.explode(F.sequence("start", F.col("until") - 1)).alias("start")), "windows")
 
-    # each text is split once for all of its windows
+    # each text is split once for all of its windows: its words are a column of a table, else Spark would split it again for each window
     places = windows.groupBy("doc_key").agg(F.collect_set(F.struct("item_key", "length", "start")).alias("places"))
     whole = plain.join(places, "doc_key").dropDuplicates(["doc_key"]).select("doc_key", "doc_id", word_list(F.col("text")).alias("words"), "places")
-    texts = whole.select("doc_key", "doc_id", F.explode(F.transform("places", lambda x: F.struct(x["item_key"].alias("item_key"), x["length"].alias("length"), x["start"].alias("start"), F.slice("words", x["start"] + 1, x["length"]).alias("window")))).alias("x"))
+    whole = stored(whole, "texts")
+    cut = F.explode("places").alias("x")
+    texts = whole.select("doc_key", "doc_id", "words", cut).select("doc_key", "doc_id", "x.*", F.expr("slice(words, x.start + 1, x.length)").alias("window"))
     k = F.least(F.col("length"), F.lit(SHINGLE))
-    texts = stored(texts.select("doc_key", "doc_id", "x.*").where(F.size("window") >= F.least(F.col("length"), F.lit(SHINGLE))), "window-words")
+    # of a text's windows of the same words the first is compared for all
+    texts = texts.where(F.size("window") >= k).groupBy("doc_key", "doc_id", "item_key", "length", "window").agg(F.min("start").alias("start"))
+    texts = stored(texts, "window-words")
     texts = stored(texts.withColumn("shingles", weighted(F.col("window"), k)).drop("window"), "window-shingles")
 
     right = items.select("item_key", "item_id", "item_shingles")

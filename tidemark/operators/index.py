@@ -160,7 +160,7 @@ def _blocks(postings: DataFrame, mean: float) -> DataFrame:
 def build(units: DataFrame, text: str, path: str) -> Index:
     """Writes the index of units by their text to path, a folder in the shared folder, and opens it. Other columns are kept; null texts have no words."""
     spark = units.sparkSession
-    rows = stored(_numbered(units, text), "numbered")
+    rows = _numbered(units, text)
     rows.drop("words").write.parquet(f"{path}/units")
     stats = rows.agg(F.count(F.lit(1)).alias("count"), F.coalesce(F.avg("length"), F.lit(0.0)).alias("mean"))
     stats.write.parquet(f"{path}/stats")

@@ -11,9 +11,9 @@ from html.entities import name2codepoint
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import web
+from ..functions import tables, web
 from ..functions.text import fixed, micros
-from ..operators import asof, index, memory, metering, pages, proofs, retrieval, vectors
+from ..operators import asof, index, memory, metering, pages, proofs, properties, retrieval, sketches, vectors
 from .lineage import place, stored
 from ..streaming import monitors, watch
 from ..streaming.monitors import drained
@@ -27,6 +27,10 @@ EVERY, ALIKE = 100, 0.35
 DELAY, EIGHT_DAYS = "case when event_id % 7 = 0 then interval 40 hours else interval 0 hours end", 8 * 86400 * 1_000_000
 QUOTA = 60
 WRITERS = 5
+#: Days of a span, and shares of its values, of the sketches.
+WEEK, SHARES = 7, [0.01, 0.25, 0.5, 0.75, 0.9, 0.99]
+#: The least value of a property, and the minutes between visits.
+LEAST_K, APART = 90, 360
 #: The searches whose lists are fused.
 SEARCHES = {"engine0": ["that", "hand"], "engine1": ["ther", "hand"], "engine2": ["that", "ther"]}
 
@@ -254,6 +258,60 @@ def usage_by_kind(spark, d):
     return metering.by_kind(table(spark, d, "events"), "ts", "event_type")
 
 
+def usage_reach(spark, d):
+    """Users of the week that each day ends, and those of them that were there the week before, from kept sketches of the days and kinds."""
+    days = sketches.keep(sketches.daily(table(spark, d, "events"), "ts", "user_id", "value", "event_type"), place(spark, "sketches"))
+    return sketches.rolling(days, WEEK)
+
+
+def usage_span(spark, d):
+    """Writes and users of each kind from BEFORE to AFTER, from kept sketches of the days; a run is repeated."""
+    at, days = place(spark, "sketches"), sketches.daily(table(spark, d, "events"), "ts", "user_id", "value", "event_type")
+    sketches.keep(days, at)
+    found = sketches.span(sketches.keep(days, at), BEFORE[:10], AFTER[:10], "event_type")
+    return found.select("event_type", "n", F.theta_sketch_estimate("ids").alias("users"))
+
+
+def usage_quantiles(spark, d):
+    """Of each kind, how many values there are, and whether the quantiles of kept sketches are within the stated error of their ranks among all values."""
+    events = table(spark, d, "events")
+    days = sketches.keep(sketches.daily(events, "ts", "user_id", "value", "event_type"), place(spark, "sketches"))
+    found = sketches.quantiles(sketches.span(days, None, None, "event_type"), SHARES, "event_type")
+    off = sketches.rank_errors(events.where("ts is not null"), "value", found, "event_type")
+    return off.select("event_type", "share", "n", (F.col("error") <= sketches.RANK_ERROR).alias("within"))
+
+
+def props_paths(spark, d):
+    """What paths the properties of events have, and values of what kind."""
+    return properties.paths(properties.parsed(table(spark, d, "events").select("event_id", "props"), "props"), "props")
+
+
+def props_large(spark, d):
+    """Events with a property k of LEAST_K at least."""
+    kept = properties.parsed(table(spark, d, "events").select("event_id", "user_id", "props"), "props")
+    return properties.fields(kept, "props", ["event_id", "user_id"], {"k": ("$.k", "bigint")}).where(F.col("k") >= LEAST_K)
+
+
+def sql_passages(spark, d):
+    """search_passages as SQL text."""
+    tables.register(spark)
+    docs = table(spark, d, "documents").select("doc_id", "source", "text")
+    return spark.sql("select * from passages(table(select * from {docs}), 'text')", docs=docs)
+
+
+def sql_hrefs(spark, d):
+    """Links of all pages as SQL text."""
+    tables.register(spark)
+    return spark.sql("select * from hrefs(table(select * from {found}), 'html')", found=table(spark, d, "pages").select("page_id", "html"))
+
+
+def sql_visits(spark, d):
+    """Visits of all users, at least APART minutes from each other, as SQL text."""
+    tables.register(spark)
+    events = table(spark, d, "events").select("user_id", "ts", "event_id")
+    return spark.sql(f"select * from visits(table(select * from {{events}}) partition by user_id order by (ts), 'user_id', 'ts', {APART})", events=events)
+
+
 def monitor_changes(spark, d):
     return monitors.changes(table(spark, d, "events"), ["user_id", "event_type"], "ts", "event_id", F.col("props"))
 
@@ -325,7 +383,7 @@ QUERIES = {
     for f in (
         memory_history, memory_current, memory_as_of, memory_provenance, memory_shared, memory_changes, memory_undo, memory_rollback, memory_rolled_back, memory_undone, memory_jobs, memory_held, memory_spans, memory_roots, memory_proofs, memory_receipts,
         memory_chain, memory_markdown, search_passages, search_documents, search_top_passages, search_fused, search_merged, search_equal_texts, index_search, index_top_passages, index_phrase, vector_exact, vector_within, vector_search, page_text, page_links, page_site_map,
-        page_canonical, page_crawl, page_fetch, usage_running, usage_monthly, usage_by_kind, monitor_changes, stream_totals, stream_windows, stream_changes, stream_watch, stream_closed, stream_late, stream_sessions,
+        page_canonical, page_crawl, page_fetch, usage_running, usage_monthly, usage_by_kind, usage_reach, usage_span, usage_quantiles, props_paths, props_large, sql_passages, sql_hrefs, sql_visits, monitor_changes, stream_totals, stream_windows, stream_changes, stream_watch, stream_closed, stream_late, stream_sessions,
     )
 }
 
@@ -433,6 +491,14 @@ SQL = {
     "usage_running": f"select event_id, user_id, date_trunc('month', ts)::timestamp as month, row_number() over (partition by user_id, date_trunc('month', ts) order by ts, event_id) as used, row_number() over (partition by user_id, date_trunc('month', ts) order by ts, event_id) > {QUOTA} as over_quota from events",
     "usage_monthly": f"select user_id, date_trunc('month', ts)::timestamp as month, count(*) as used, count(distinct event_type) as kinds, greatest({QUOTA} - count(*), 0)::bigint as left_over, greatest(count(*) - {QUOTA}, 0)::bigint as over from events group by 1, 2",
     "usage_by_kind": "select date_trunc('month', ts)::timestamp as month, event_type as kind, count(*) as used from events group by rollup (date_trunc('month', ts), event_type)",
+    "usage_reach": f"with d as (select distinct ts::date as day, user_id from events), w as (select distinct e.day, d.user_id from (select distinct day from d) e join d on d.day between e.day - {WEEK - 1} and e.day), b as (select distinct e.day, d.user_id from (select distinct day from d) e join d on d.day between e.day - {2 * WEEK - 1} and e.day - {WEEK}) select w.day, count(*) as users, count(b.user_id) as back from w left join b on w.day = b.day and w.user_id = b.user_id group by w.day",
+    "usage_span": f"select event_type, count(*) as n, count(distinct user_id) as users from events where ts::date between date '{BEFORE[:10]}' and date '{AFTER[:10]}' group by event_type",
+    "usage_quantiles": f"select event_type, unnest({SHARES})::double as share, n, true as within from (select event_type, count(value) as n from events group by event_type)",
+    "props_paths": "select fullkey as path, case when type in ('UBIGINT', 'BIGINT') then 'BIGINT' when type = 'VARCHAR' then 'STRING' when type = 'NULL' then 'VOID' else type end as kind, count(*) as n from events, json_tree(events.props) group by all",
+    "props_large": f"select event_id, user_id, (props->>'$.k')::bigint as k from events where (props->>'$.k')::bigint >= {LEAST_K}",
+    "sql_passages": f"select * from {_PASSAGES}",
+    "sql_hrefs": f"select page_id, pos, href from {_HREFS}",
+    "sql_visits": f"select user_id, min(ts) as first_at, max(ts) as last_at, count(*) as n from (select *, sum(new::int) over (partition by user_id order by ts) as s from (select *, coalesce(ts >= lag(ts) over (partition by user_id order by ts) + interval {APART} minutes, true) as new from events)) group by user_id, s",
     "monitor_changes": f"select event_id, user_id, event_type, case when b is null then 'new' when b = h then 'same' else 'changed' end as found from {_LOOKS.format(order='ts, event_id')}",
     "stream_totals": "select user_id, event_type, count(*) as n, round(sum(value), 4) as total from events group by all",
     "stream_windows": "select date_trunc('day', ts)::timestamp as window_start, event_type, count(*) as n from events group by all",

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
-from functools import reduce
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..plans.lineage import place
 
+#: Batches whose rows of the keys are made one at a time.
+FOLD = 32
+
 
 def changes(looks: DataFrame, key: list[str], at: str, seq: str, content: Column) -> DataFrame:
     """Every look with what it found: new, changed or same, by a digest of the content."""
@@ -68,50 +72,65 @@ def batch_changes(rows: DataFrame, key: list[str]) -> DataFrame:
     def packed(done: list) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in done], f.type) for i, f in enumerate(kinds)], names)
 
-    found = parts.select(*key, "digest", "part").mapInArrow(run, schema)
-    before = F.lag("last").over(Window.partitionBy(*key).orderBy("part"))
-    joined = found.withColumn("changed", F.col("changed") + _differs(before, F.col("first")))
-    return joined.groupBy(*key).agg(F.min_by("first", "part").alias("first"), F.max_by("last", "part").alias("last"), F.sum("looks").alias("looks"), F.sum("changed").alias("changed"))
+    return folded(parts.select(*key, "digest", "part").mapInArrow(run, schema), key, "part")
+
+
+def folded(parts: DataFrame, key: list[str], part: str) -> DataFrame:
+    """One row a key of rows (key, part, first, last, looks, changed), which follow each other in order of part."""
+    before = F.lag("last").over(Window.partitionBy(*key).orderBy(part))
+    joined = parts.withColumn("changed", F.col("changed") + _differs(before, F.col("first")))
+    return joined.groupBy(*key).agg(F.min_by("first", part).alias("first"), F.max_by("last", part).alias("last"), F.sum("looks").alias("looks"), F.sum("changed").alias("changed"))
 
 
-def change_counts(looks: DataFrame, key: list[str], seq: str, content: Column) -> DataFrame:
+def change_counts(looks: DataFrame, key: list[str], seq: str, content: Column, at: str | None = None) -> DataFrame:
     """For a stream, once it has read all there is: how often each key's content was looked at and how often it differed from the look before.
 
-    State is the last digest and two counts for each key, a table in the shared folder that each batch reads and writes anew. Rows of a batch are
+    Each batch adds a row for each of its own keys to a folder in at, so its work grows with the batch and not with all keys that there ever were; every ``FOLD`` batches the
+    rows of the keys are made one. A batch that is run again writes its rows anew, so over a place in use the stream goes on and counts nothing twice. Rows of a batch are
     taken in order of seq; a look without content differs from none.
     """
+    spark, at = looks.sparkSession, at or place(looks.sparkSession, "changes")
     rows = looks.select(*key, F.col(seq).alias("seq"), F.coalesce(F.sha2(content, 256), F.lit("")).alias("digest"))
+    kept = T.StructType([*(rows.schema[k] for k in key), *T.StructType.fromDDL("first string, last string, looks long, changed long, batch long").fields])
+
+    def read(upto: int | None = None) -> DataFrame:
+        """Rows of the keys up to a batch: the last fold before it and what came after that."""
+        both = [_parts(spark, f"{at}/{name}", kept) for name in ("folds", "batches")]
+        if upto is not None:  # a fold that is made again doesn't start from itself
+            both = [both[0].where(F.col("batch") < upto), both[1].where(F.col("batch") <= upto)]
+        last = both[0].agg(F.max("batch")).first()[0]
+        if last is None:
+            return both[1]
+        # a fold stands for its own batch and all before it
+        return both[0].where(F.col("batch") == last).unionByName(both[1].where(F.col("batch") > last))
 
-    def step(batch: DataFrame, before: DataFrame | None) -> DataFrame:
-        new = batch_changes(batch, key)
-        if before is None:
-            return new.drop("first")
-        a, b = before.alias("a"), new.alias("b")
-        both = a.join(b, reduce(lambda x, y: x & y, (F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in key)), "full")
-        add = lambda c: F.coalesce(f"a.{c}", F.lit(0)) + F.coalesce(f"b.{c}", F.lit(0))
-        differs = _differs(F.col("a.last"), F.col("b.first"))
-        return both.select(*(F.coalesce(f"a.{k}", f"b.{k}").alias(k) for k in key), F.coalesce("b.last", "a.last").alias("last"), add("looks").alias("looks"), (add("changed") + differs).alias("changed"))
+    def write(batch: DataFrame, number: int) -> None:
+        batch_changes(batch, key).write.mode("overwrite").parquet(f"{at}/batches/batch={number}")
+        if number % FOLD == FOLD - 1:
+            folded(read(number), key, "batch").write.mode("overwrite").parquet(f"{at}/folds/batch={number}")
 
-    return drained(rows, "append", step).select(*key, "looks", "changed")
+    rows.writeStream.foreachBatch(write).option("checkpointLocation", f"{at}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return folded(read(), key, "batch").select(*key, "looks", "changed")
 
 
-def drained(df: DataFrame, mode: str, step: Callable[[DataFrame, DataFrame | None], DataFrame] | None = None) -> DataFrame:
-    """What a stream gives once it has read all there is: each batch's rows, in complete mode the last one's.
+def _parts(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException:  # nothing has been written
+        return spark.createDataFrame([], schema)
 
-    With step, what it makes of each batch and of its result before. Results are tables in the shared folder, and so is the stream's own state.
-    """
-    spark, at, done = df.sparkSession, place(df.sparkSession, "stream"), []
+
+def drained(df: DataFrame, mode: str) -> DataFrame:
+    """What a stream gives once it has read all there is: each batch's rows, in complete mode the last one's. Results are tables in the shared folder, and so is the stream's own state."""
+    spark, at = df.sparkSession, place(df.sparkSession, "stream")
+    schema = df.schema.add("batch", "long")
 
     def write(batch: DataFrame, number: int) -> None:
-        own = batch.sparkSession
-        out = step(batch, own.read.parquet(done[-1]) if done else None) if step else batch
-        path = f"{at}/result/{number}"
-        out.write.mode("overwrite").parquet(path)
-        if path not in done:
-            done.append(path)
+        batch.write.mode("overwrite").parquet(f"{at}/result/batch={number}")
 
     df.writeStream.foreachBatch(write).option("checkpointLocation", f"{at}/state").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    if not done:
-        empty = spark.createDataFrame([], df.schema)
-        return step(empty, None) if step else empty
-    return spark.read.parquet(*(done[-1:] if step or mode == "complete" else done))
+    rows = _parts(spark, f"{at}/result", schema)
+    if mode == "complete":  # each result holds those before it
+        last = rows.select(F.max("batch")).first()[0]
+        rows = rows.where(F.col("batch") == (-1 if last is None else last))
+    return rows.drop("batch")

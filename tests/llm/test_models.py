@@ -72,6 +72,28 @@ def test_lm_held_out_is_better_than_single_words(spark):
     assert r[2] > 100 and r[0] > r[1] + 0.1 * r[3]
 
 
+@pytest.mark.parametrize("small", [False, True])
+def test_a_kept_model_scores_other_texts(spark, monkeypatch, small):
+    if small:
+        monkeypatch.setattr(lm, "BLOCK_TOKENS", 3000)
+        monkeypatch.setattr(lm, "SHARD_TOKENS", 2000)
+    docs = odd.documents(spark).unionByName(spark.read.parquet(f"{SF}/documents.parquet"), allowMissingColumns=True)
+    train = F.coalesce(~langid.held_out(F.col("doc_id"), 5, 1), F.lit(False))
+    model = lm.place(spark, "model")
+    lm.fitted(docs.where(train), model)
+    order = lambda r: (repr(r[0]), r[1], r[2], round(r[4], 3))
+    wanted = sorted(brute_lm([tuple(r) for r in docs.select("doc_id", "text", train).collect()]), key=order)
+    for _ in range(2):  # the model is not used up
+        got = sorted((tuple(r) for r in lm.score_with(docs, model).collect()), key=order)
+        assert [r[:4] for r in got] == [r[:4] for r in wanted]
+        for a, b in zip(got, wanted):
+            assert a[4] == pytest.approx(b[4], abs=1e-6) and abs(a[5] - b[5]) <= 0.003 * b[1] + 1e-6
+    assert lm.score_with(odd.documents(spark, []), model).count() == 0
+    nothing = lm.place(spark, "model")
+    lm.fitted(odd.documents(spark, []), nothing)
+    assert {(r.train_tokens, r.n_known) for r in lm.score_with(odd.documents(spark), nothing).collect()} == {(0, 0)}
+
+
 def test_lm_without_rows_or_training(spark):
     assert lm.scored(odd.documents(spark, []), F.lit(True)).count() == 0
     got = lm.scored(odd.documents(spark), F.lit(False)).collect()

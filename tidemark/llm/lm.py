@@ -15,14 +15,16 @@ blocks asked for and answers in quantised probabilities. Each block then scores
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -140,6 +142,16 @@ class Plan:
     split_pairs: np.ndarray  # rows of two words
     pair_counts: np.ndarray
 
+    def to_bytes(self) -> bytes:
+        out = io.BytesIO()
+        np.savez(out, sizes=np.array([self.tokens, self.types, self.shards]), split_words=self.split_words, split_counts=self.split_counts, split_pairs=self.split_pairs, pair_counts=self.pair_counts)
+        return out.getvalue()
+
+    @staticmethod
+    def of(data: bytes) -> "Plan":
+        with np.load(io.BytesIO(data)) as f:
+            return Plan(*f["sizes"].tolist(), f["split_words"], f["split_counts"], f["split_pairs"], f["pair_counts"])
+
     def shard(self, hashes: np.ndarray) -> np.ndarray:
         return ((words.mix(hashes) >> BITS) * np.uint64(self.shards) >> BITS).astype(np.int32)
 
@@ -244,10 +256,10 @@ def _merged(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return _distinct(keys, counts)
 
 
-def _mapped(trie: Trie) -> Trie:
-    """The trie as a memory-mapped file, which goes when the trie does."""
+def _mapped(data: bytes) -> Trie:
+    """A trie as a memory-mapped file, which goes when the trie does."""
     with tempfile.NamedTemporaryFile(prefix="trie-", delete=False) as f:
-        f.write(trie.to_bytes())
+        f.write(data)
     try:
         return Trie.mapped(f.name)
     finally:
@@ -438,19 +450,60 @@ def scored(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "
     Rows that repeat give a row each and count as often as they come; a null in train counts as false; doc_id has to be a number or null. Other columns play
     no part. An empty table gives an empty table, and no row to train on gives the probabilities of an empty model.
     """
-    spark = docs.sparkSession
-    uri = place(spark, "lm-blocks")
+    uri = place(docs.sparkSession, "lm-blocks")
     found = blocks(docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(train, F.lit(False)).alias("train"), F.col(f"`{text}`").cast("string").alias("text")), uri)
     plan = planned(found, uri)
-    shared = spark.sparkContext.broadcast(plan)  # at most SPLIT words and pairs for each shard
+    return _scores(found, uri, plan, None)
+
+
+def fitted(docs: DataFrame, model: str, text: str = "text") -> None:
+    """Learns a model from all texts of docs and keeps it in the folder model, which must be new: a file for each shard's trie, and the plan, which is written last and so says that it is whole."""
+    uri = place(docs.sparkSession, "lm-blocks")
+    found = blocks(docs.select(F.lit(None).cast("long").alias("doc_id"), F.lit(True).alias("train"), F.col(f"`{text}`").cast("string").alias("text")), uri)
+    plan = planned(found, uri)
+    shared = docs.sparkSession.sparkContext.broadcast(plan)
+    store.make_dir(model)
+
+    def keep(key: tuple, t: pa.Table) -> pa.Table:
+        shard = key[0].as_py()
+        store.commit(model, _trie_name(shard), build(_shard_data(t), shared.value).to_bytes())
+        return pa.table({"shard": pa.array([shard], pa.int32())})
+
+    messages = _each(found, uri, lambda b, name: _message(b, Grams.of(b, shared.value), b.word_counts(), name, shared.value), MESSAGE)
+    messages.groupBy("shard").applyInArrow(keep, "shard int").write.format("noop").mode("overwrite").save()
+    store.commit(model, PLAN, plan.to_bytes())
+
+
+def score_with(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The columns of ``scored`` for all rows of docs, by a kept model; nothing is learned from them. Nulls, repeated rows and empty tables are as there."""
+    uri = place(docs.sparkSession, "lm-blocks")
+    found = blocks(docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.lit(False).alias("train"), F.col(f"`{text}`").cast("string").alias("text")), uri)
+    plan = Plan.of(_read(model, PLAN))
+    fs, path = store.opened(model)
+    kept = {x.base_name for x in fs.get_file_info(pafs.FileSelector(path))}  # a name a shard
+    bare = build(dict.fromkeys(("names", "word", "pair", "triple"), np.zeros(0, np.uint64)) | dict.fromkeys(("word_n", "pair_n", "triple_n"), np.zeros(0, np.int64)), plan).to_bytes()
+    return _scores(found, uri, plan, lambda shard: _read(model, _trie_name(shard)) if _trie_name(shard) in kept else bare)
+
+
+#: The file of a kept model that says what its tries have been built by.
+PLAN = "plan.npz"
+
+
+def _trie_name(shard: int) -> str:
+    return f"shard-{shard:06d}.trie"
+
+
+def _scores(found: DataFrame, uri: str, plan: Plan, kept: Callable[[int], bytes] | None) -> DataFrame:
+    """Scores of the texts in blocks; kept gives the trie of a shard, which else is built from what the blocks send."""
+    shared = found.sparkSession.sparkContext.broadcast(plan)  # at most SPLIT words and pairs for each shard
 
     def ask(b: Block, name: str) -> Iterator[tuple]:
         return _message(b, Grams.of(b, shared.value), b.word_counts(), name, shared.value)
 
     def answer(key: tuple, t: pa.Table) -> pa.Table:
-        d = _shard_data(t)
-        out = answers(d, _mapped(build(d, shared.value)))
-        return out.add_column(1, "shard", pa.array([key[0].as_py()] * out.num_rows, pa.int32()))
+        d, shard = _shard_data(t), key[0].as_py()
+        out = answers(d, _mapped(kept(shard) if kept else build(d, shared.value).to_bytes()))
+        return out.add_column(1, "shard", pa.array([shard] * out.num_rows, pa.int32()))
 
     def score(key: tuple, t: pa.Table) -> pa.Table:
         plan, b = shared.value, Block.from_bytes(_read(uri, key[0].as_py()))

@@ -132,6 +132,9 @@ def test_links_in_all_quotes_and_references(spark):
     assert spark.createDataFrame([(page,)], "h string").select(web.hrefs(F.col("h"))).first()[0] == ["/x", "/y", "/z?a=1&b=2", "/eé"]
     text = "<p>&eacute;&#8217;&#x2014;&amp;#39;&nbsp;&unknown;&#0;&#xD800;&#1114112;</p>"
     assert spark.createDataFrame([(text,)], "h string").select(web.plain_text(F.col("h"))).first()[0] == "é’—&#39; &unknown;\ufffd\ufffd\ufffd"
+    once = {"&amp;lt;": "&lt;", "&#38;lt;": "&lt;", "&lt;&amp;": "<&", "&&amp;;&copy": "&&;&copy", "&a&lt;;": "&a<;", "&middot;&amp;amp;": "·&amp;", "&Alpha;&quot;&nbsp;": 'Α" ', "": "", None: None}
+    rows = spark.createDataFrame([(x,) for x in once], "t string").select("t", web.decoded(F.col("t")).alias("u")).collect()
+    assert {r.t: r.u for r in rows} == once
 
 
 def test_a_kept_log_grows_by_batches(spark, tmp_path):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from html.entities import name2codepoint
 
 from pyspark.sql import Column
@@ -13,8 +14,8 @@ TRACKING = r"(utm_[a-z]+|ref|fbclid|gclid)"
 HIDDEN = r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->"
 #: A character reference: decimal, hexadecimal or by name.
 REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,31});"
-#: References by name that most pages have.
-COMMON = ("amp", "lt", "gt", "quot", "nbsp", "copy", "middot")
+#: References by name that most pages have, but for the one to "&" itself.
+COMMON = ("lt", "gt", "quot", "nbsp", "copy", "middot")
 #: A link's address, with its quotes if it has any.
 HREF = r"""(?i)<a\s(?:[^<>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s"'<>]+)"""
 
@@ -37,13 +38,14 @@ def canonical(url: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(out, r"[?&]+$", ""), r"/+$", "")
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once however often body uses it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def _character(reference: Column) -> Column:
     """The character of a reference; a replacement character for numbers that are none, null for unknown names."""
-    rare = F.create_map(*(F.lit(x) for name, code in name2codepoint.items() if name not in COMMON for x in (f"&{name};", chr(code))))
-    named = F.when(F.lit(False), F.lit(""))
-    for name in COMMON:  # a map is searched from its beginning, for each reference
-        named = named.when(reference == f"&{name};", chr(name2codepoint[name]))
-    named = named.otherwise(F.element_at(rare, reference))
+    named = F.element_at(F.create_map(*(F.lit(x) for name, code in name2codepoint.items() for x in (f"&{name};", chr(code)))), reference)
     digits = F.regexp_extract(reference, "([0-9a-fA-F]+);", 1)
     code = F.when(F.lower(F.substring(reference, 3, 1)) == "x", F.conv(digits, 16, 10)).otherwise(digits).cast("int")
     valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
@@ -52,11 +54,21 @@ def _character(reference: Column) -> Column:
 
 
 def decoded(text: Column) -> Column:
-    """text with its character references replaced, each once; unknown ones stay. A space that must not break is a space."""
-    between, found = F.split(text, REFERENCE), F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(0))
-    pieces = F.zip_with(between, found, lambda t, r: F.concat(t, F.coalesce(_character(r), r, F.lit(""))))
-    whole = F.when(F.contains(text, F.lit("&")), F.array_join(pieces, "")).otherwise(text)
-    return F.replace(whole, F.lit("\u00a0"), F.lit(" "))
+    """text with its character references replaced, each once; unknown ones stay. A space that must not break is a space.
+
+    The common ones are replaced first, as none of their characters can be part of another reference; texts that have others
+    than these and "&amp;" are taken apart for them.
+    """
+    for name in COMMON:
+        text = F.replace(text, F.lit(f"&{name};"), F.lit(chr(name2codepoint[name])))
+
+    def rest(t: Column) -> Column:
+        between, found = F.split(t, REFERENCE), F.regexp_extract_all(t, F.lit(REFERENCE), F.lit(0))
+        pieces = F.zip_with(between, found, lambda t, r: F.concat(t, F.coalesce(_character(r), r, F.lit(""))))
+        others = F.regexp_like(t, F.lit(REFERENCE.replace("&", "&(?!amp;)", 1)))
+        return F.when(others, F.array_join(pieces, "")).otherwise(F.replace(t, F.lit("&amp;"), F.lit("&")))
+
+    return F.replace(_let(text, rest), F.lit("\u00a0"), F.lit(" "))
 
 
 def plain_text(html: Column) -> Column:

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,9 +22,16 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+#: Paths that were given out within the innermost ``passing``.
+_given: ContextVar[list[str] | None] = ContextVar("given", default=None)
+
+
 def place(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    if (given := _given.get()) is not None:
+        given.append(at)
+    return at
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -37,6 +47,22 @@ def removed(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end, also after an error, what the steps within it wrote to places of the shared folder.
+
+    A query is computed from such tables when its rows are made, so what is to last has to be written within, to a place from outside.
+    """
+    given: list[str] = []
+    token = _given.set(given)
+    try:
+        yield
+    finally:
+        _given.reset(token)
+        for at in given:
+            removed(spark, at)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df as a checkpoint in the shared folder."""
     shared_dir(df.sparkSession)

@@ -91,12 +91,12 @@ def test_jaccard_of_chains_and_groups(spark):
     assert sorted((tuple(r) for r in jaccard.linked(df).select("doc_id", "n_shingles", "component_id").collect()), key=repr) == brute_components(rows)
 
 
-def test_one_of_each_keeps_columns(spark):
+def test_representatives_keep_columns(spark):
     docs = odd.documents(spark, clash=("class", "component_id", "root"))
-    kept = jaccard.one_of_each(docs)
+    kept = jaccard.representatives(docs)
     assert kept.columns == docs.columns
-    ids = [r.doc_id for r in kept.collect()]
-    assert len(ids) == len(set(ids)) and {6, 9, 11} <= set(ids) and not {7, 10, 12} & set(ids)
+    ids = {r.doc_id for r in kept.collect()}
+    assert {6, 9, 11} <= ids and not {7, 10, 12} & ids
 
 
 def test_representatives_go_by_row(spark):

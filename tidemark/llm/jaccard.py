@@ -491,13 +491,6 @@ def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     return single.unionByName(plain.where(~spoken)).select(*(F.col(f"c{i}").alias(x) for i, x in enumerate(names)))
 
 
-def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """representatives for tables that are to have each id once: of those that repeat in id one stays, whatever their texts."""
-    names = docs.columns
-    kept = representatives(docs, doc_id, text).toDF(*(f"c{i}" for i in range(len(names))))
-    return kept.dropDuplicates([f"c{names.index(doc_id)}"]).toDF(*names)
-
-
 OP7_SQL = r"""
 with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
 p as (select doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) as i from d where len(w) > 0),

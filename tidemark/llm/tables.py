@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.lineage import place, removed, shared_dir, stored
+from ..plans.lineage import passing, place, removed, shared_dir, stored
 
-__all__ = ["integer_vectors", "place", "removed", "shared_dir", "shuffles", "stored", "table"]
+__all__ = ["integer_vectors", "passing", "place", "removed", "shared_dir", "shuffles", "stored", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """From raw documents to token files: quality rules, one of each group of near copies, no benchmark passages, a mix of sources, token ids.
 
 Each stage takes (spark, docs, sf_dir) and reads docs only; all but the last return the columns of documents. run() writes what a stage
-returns and reads it again for the next one.
+returns and reads it again for the next one; then what the stage and the one before it left in the shared folder is deleted.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import decontamination, jaccard, mixing, quality, token_files
-from tidemark.llm.tables import stored, table
+from tidemark.llm.tables import passing, place, removed, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,9 +54,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = stored(docs, f"stage-{name}")
-    return docs
+    docs, read = table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES[:-1]:
+        kept = place(spark, f"stage-{name}")
+        with passing(spark):
+            made = stage(spark, docs, sf_dir)
+            made.write.parquet(kept)
+        docs = spark.read.schema(made.schema).parquet(kept)
+        if read:
+            removed(spark, read)
+        read = kept
+    return STAGES[-1][1](spark, docs, sf_dir)

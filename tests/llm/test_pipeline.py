@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections import Counter
 
 import pytest
@@ -11,6 +12,7 @@ import corpus_pipeline
 import odd
 from tidemark.llm import decontamination, jaccard, quality
 from tidemark.llm.tables import table
+from tidemark.plans import lineage
 
 SF = "/root/testdata/sf0.001"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -63,6 +65,16 @@ def test_run_is_the_stages_in_turn(spark, steps):
     assert pick(__spark_entry__.queries()["pipeline"](spark, SF)) == pick(last)
 
 
+def test_stages_leave_nothing_but_the_last_input(spark):
+    at = lineage.shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(at))
+    found = corpus_pipeline.run(spark, SF)
+    left = {x.rsplit("-", 1)[0] for x in set(os.listdir(at)) - before}
+    assert {x for x in left if x.startswith("stage-")} == {"stage-mixing"}
+    assert not left & {"item-words", "items", "windows", "texts", "window-words", "window-shingles"}
+    assert found.count() > 0
+
+
 def test_odd_and_empty_documents(spark, tmp_path):
     for i, rows in enumerate((None, [])):
         at = odd.tables(str(tmp_path / f"t{i}"), documents=odd.documents(spark, rows).select(*COLUMNS), benchmark=odd.benchmark(spark, rows))

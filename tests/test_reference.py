@@ -191,6 +191,14 @@ def test_a_job_is_done_once_and_compaction_yields(spark, tmp_path):
         commits.committed(spark, at, "late", 9, names)
 
 
+def test_rows_of_a_batch_are_not_dealt_to_one_task(spark):
+    at = lineage.place(spark, "log")
+    log = memory.saved(a_log(spark, WRITES), at)
+    log = memory.append(log, at, memory.undo(log), "me", "2024-01-03")
+    plan = log.rows._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning(batch" not in plan
+
+
 def test_quota(spark):
     df = spark.createDataFrame([(i, 1, f"2024-01-0{1 + i}", "k") for i in range(4)], "event_id long, user_id long, ts string, event_type string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
     assert [r.over_quota for r in metering.running(df, "user_id", "ts", "event_id", 3).orderBy("event_id").collect()] == [False, False, False, True]

@@ -113,8 +113,8 @@ def opened(log: Log, path: str, commit: int | None = None) -> Log:
         return replace(log, rows=log.rows.select(*log.columns).limit(0))
     read = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.StringType())])).option("basePath", f"{path}/data").parquet(*(f"{path}/data/batch={name}" for name in batches))
     numbers = spark.createDataFrame(list(batches.items()), "batch string, number long")
-    # rows of a batch that was appended have no number but that of its commit
-    rows = read.join(numbers, "batch").withColumn(log.seq, F.coalesce(F.col(log.seq), F.col("number").cast(schema[log.seq].dataType)))
+    # a row a batch is broadcast: a shuffle by batch would send all rows of a batch to one task; rows of a batch that was appended have no number but that of its commit
+    rows = read.join(F.broadcast(numbers), "batch").withColumn(log.seq, F.coalesce(F.col(log.seq), F.col("number").cast(schema[log.seq].dataType)))
     return replace(log, rows=rows.select(*log.columns))
 
 

@@ -36,6 +36,24 @@ def test_many_ids_are_within_the_stated_error(spark):
     assert len(reach) == 10 and all(abs(u / 30_000 - 1) < 4 / 64 and b == 0 for d, (u, b) in reach.items() if d > date(2024, 1, 1))
 
 
+@pytest.mark.parametrize("name", ["usage_reach", "usage_span"])
+def test_users_are_exact_beyond_a_sketch(spark, tmp_path, name):
+    user = F.expr("case when id % 1000 = 7 then null when id < 9000 then id else id % 6000 * 3 end")
+    at = F.expr("case when id % 997 <> 3 then timestamp_ntz'2024-01-01' + make_dt_interval(cast(id * 7 % 34 div 2 * 2 as int), cast(id % 24 as int)) end")
+    rows = spark.range(30_000).select(F.col("id").alias("event_id"), at.alias("ts"), user.alias("user_id"), F.expr("concat('kind', id % 2)").alias("event_type"), F.lit(1.0).alias("value"))
+    rows.write.parquet(f"{tmp_path}/events.parquet")
+    assert compare.differences(spark, str(tmp_path), name) == ""
+
+
+def test_ids_of_a_day_that_comes_again_are_replaced(spark):
+    at, rows = place(spark, "ids"), spark.read.parquet(f"{SF}/events.parquet")
+    sketches.keep_ids(sketches.daily_ids(rows.where("ts < '2024-01-20'"), "ts", "user_id"), at)
+    both = sketches.keep_ids(sketches.daily_ids(rows.where("ts >= '2024-01-15'"), "ts", "user_id"), at)
+    assert sketches.span_ids(both, None, None).first().n == rows.count()
+    none = sketches.keep_ids(sketches.daily_ids(rows.limit(0), "ts", "user_id"), place(spark, "ids"))
+    assert sketches.rolling_ids(none, 7).count() == 0
+
+
 def test_a_day_that_comes_again_is_replaced(spark):
     at, rows = place(spark, "sketches"), spark.read.parquet(f"{SF}/events.parquet")
     first = sketches.keep(sketches.daily(rows.where("ts < '2024-01-20'"), "ts", "user_id", "value"), at)

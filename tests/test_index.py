@@ -53,6 +53,20 @@ def test_phrases(spark):
         assert found == sorted((x for x in want if x), reverse=True)
 
 
+def test_a_task_takes_few_words_and_postings_at_a_time(spark, monkeypatch):
+    for name, value in {"WORDS": 500, "RUN": 5, "POSTINGS": 40, "PIECE": 300, "AT_ONCE": 3}.items():
+        monkeypatch.setattr(index, name, value)
+    taken, varints = spark.sparkContext.accumulator(0), index.varints
+    monkeypatch.setattr(index, "varints", lambda values: (taken.add(int(len(values) > 2000)), varints(values))[1])
+    df = odd_units(spark).where("length(text) < 100000")
+    kept = index.build(df, "text", place(spark, "index"))
+    assert taken.value == 0
+    want = sorted(((r.id, r.score) for r in retrieval.bm25(df, "text", ["hot", "w1"]).collect()), key=repr)
+    assert sorted(((r.id, r.score) for r in index.search(kept, ["hot", "w1"]).collect()), key=repr) == want
+    times = [sum(a + b == "w0w1" for a, b in zip(w, w[1:])) for w in ((r.text or "").lower().split() for r in df.collect())]
+    assert sorted(r.times for r in index.phrase(kept, ["w0", "w1"]).collect()) == sorted(x for x in times if x)
+
+
 def test_index_of_nothing(spark):
     kept = index.build(spark.createDataFrame([], "id long, text string"), "text", place(spark, "index"))
     assert index.search(kept, ["a"]).count() == index.best(kept, ["a"], 3, "id").count() == index.phrase(kept, ["a", "b"]).count() == 0

@@ -2,7 +2,7 @@
 
 Units (documents, passages) get dense numbers. A term's list is cut into blocks of ``BLOCK`` units in order of their numbers: gaps between numbers, counts, lengths and
 gaps between places, each as bytes of variable length, and the highest score that any unit of the block can get by the term (without the term's weight).
-Blocks are sorted by bucket, term and number over all tasks, so a frequent term is written, and read, by many of them. Buckets are folders: a search skips those of
+Blocks are made by bucket and ``PIECE`` units and sorted by term and number within, so a frequent term of many units is written, and read, by several tasks. Buckets are folders: a search skips those of
 other terms, within a file it skips row groups by their terms, and it doesn't read columns that it has no use for, such as places.
 """
 
@@ -30,6 +30,12 @@ SPAN = 1024
 FIRST = 4
 #: Bytes of a row group: rows of other terms in the same file are skipped by these.
 ROW_GROUP = 1 << 20
+#: Words of whole texts (one at least), and blocks, that a task has in numpy at a time, however many a batch brings.
+WORDS, AT_ONCE = 1 << 18, 256
+#: Postings of a term that go to the sort as one row, and postings that a task makes blocks of at a time.
+RUN, POSTINGS = 512, 1 << 16
+#: Units whose postings of a bucket go to one task. Ranges of terms would have to be sampled, so all postings would be made twice.
+PIECE = 1 << 22
 
 
 def varints(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -76,35 +82,101 @@ def _numbered(units: DataFrame, text: str) -> DataFrame:
     return rows.join(F.broadcast(tasks), "task").withColumn("number", F.col("before") + F.col("at")).drop("task", "at", "before")
 
 
+def _binary(data: np.ndarray, upto: np.ndarray) -> pa.Array:
+    """Binary values that follow each other in data, cut at upto."""
+    return pa.Array.from_buffers(pa.binary(), len(upto) - 1, [None, pa.py_buffer(upto.astype(np.int32)), pa.py_buffer(data)])
+
+
+def _cut(values: np.ndarray, upto: np.ndarray) -> pa.Array:
+    """Values as bytes, cut at upto."""
+    data, ends = varints(values)
+    return _binary(data, np.append(0, ends)[upto])
+
+
+def _starts(new: np.ndarray, size: int) -> np.ndarray:
+    """Where pieces of up to size start, if runs start at new."""
+    runs = np.flatnonzero(new)
+    return np.flatnonzero((np.arange(len(new)) - np.repeat(runs, np.diff(np.append(runs, len(new))))) % size == 0)
+
+
+RUNS = ["term", "first", "n", "numbers", "counts", "lengths", "places"]
+
+
+def _bytes(column: pa.Array) -> np.ndarray:
+    """All bytes of a binary column."""
+    upto = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2] or b"", np.uint8)[upto[0] : upto[-1]]
+
+
+def _numbers(gaps: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Numbers from their gaps in pieces of n, which start at first."""
+    up = np.cumsum(gaps)
+    return up - np.repeat(up[np.cumsum(n) - n], n) + np.repeat(first, n)
+
+
+def _unpacked(b: pa.RecordBatch) -> pa.Table:
+    """bucket, term, number, times, length and places of each posting in runs."""
+    n = b.column("n").to_numpy()
+    gaps, times, length = (unvarints(_bytes(b.column(c))) for c in ("numbers", "counts", "lengths"))
+    data = _bytes(b.column("places"))
+    ends = (np.flatnonzero(data < 128) + 1)[np.cumsum(times) - 1]
+    of = pa.array(np.repeat(np.arange(len(b)), n))
+    arrays = [b.column("bucket").take(of), b.column("term").take(of), pa.array(_numbers(gaps, b.column("first").to_numpy(), n)), pa.array(times), pa.array(length), _binary(data, np.append(0, ends))]
+    return pa.Table.from_arrays(arrays, ["bucket", "term", "number", "times", "length", "places"])
+
+
 def _postings(rows: DataFrame) -> DataFrame:
-    """term, number, length, times and places (their gaps, as bytes) for each term of each row (number, length, words)."""
+    """The postings of each term in rows (number, length, words): term and first number, and, as bytes of up to RUN postings, gaps of numbers, counts, lengths and gaps of places.
+
+    A run is of rows whose numbers follow each other, so runs of a term don't overlap and a sort by their first numbers puts its postings in order.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lists = b.column(2)
-            sizes = np.diff(lists.offsets.to_numpy())
-            if not sizes.sum():
-                continue
-            coded = lists.flatten().dictionary_encode()
-            code, row = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.repeat(np.arange(len(b)), sizes)
-            place = np.arange(len(code)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            order = np.lexsort((place, code, row))
-            code, row, place = code[order], row[order], place[order]
-            new = np.flatnonzero(np.concatenate(([True], (code[1:] != code[:-1]) | (row[1:] != row[:-1]))))
-            times = np.diff(np.append(new, len(code)))
-            gaps = np.diff(place, prepend=0)
-            gaps[new] = place[new]
-            data, ends = varints(gaps)
-            stops = ends[np.append(new[1:], len(code)) - 1]
-            places = pa.Array.from_buffers(pa.binary(), len(new), [None, pa.py_buffer(np.append(0, stops).astype(np.int32)), pa.py_buffer(data)])
-            of = pa.array(row[new])
-            yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(code[new])), b.column(0).take(of), b.column(1).take(of), pa.array(times), places], ["term", "number", "length", "times", "places"])
-
-    return rows.select("number", "length", "words").mapInArrow(run, "term string, number long, length long, times long, places binary")
+            upto = b.column(2).offsets.to_numpy()
+            jumps = np.append(np.flatnonzero(np.diff(b.column(0).to_numpy()) != 1) + 1, len(b))  # where another file begins
+            i = 0
+            while i < len(b):
+                j = max(i + 1, int(np.searchsorted(upto, upto[i] + WORDS, "right")) - 1)
+                j = min(j, int(jumps[np.searchsorted(jumps, i, "right")]))
+                if upto[j] > upto[i]:
+                    yield some(b.slice(i, j - i))
+                i = j
+
+    def some(b: pa.RecordBatch) -> pa.RecordBatch:
+        lists = b.column(2)
+        sizes = np.diff(lists.offsets.to_numpy())
+        coded = lists.flatten().dictionary_encode()
+        code, row = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.repeat(np.arange(len(b)), sizes)
+        place = np.arange(len(code)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        # rows and places are in order as they are
+        order = np.argsort(row * len(coded.dictionary) + code, kind="stable")
+        code, row, place = code[order], row[order], place[order]
+        new = np.flatnonzero(np.concatenate(([True], (code[1:] != code[:-1]) | (row[1:] != row[:-1]))))
+        times = np.diff(np.append(new, len(code)))
+        gaps = np.diff(place, prepend=0)
+        gaps[new] = place[new]
+        number, length = (b.column(i).to_numpy()[row[new]] for i in (0, 1))
+        # by term, then by number
+        code = code[new]
+        order = np.argsort(code, kind="stable")
+        data, ends = varints(gaps)
+        upto = np.append(0, ends[np.append(new[1:], len(place)) - 1])
+        sizes = np.diff(upto)[order]
+        data = data[np.repeat(upto[:-1][order] - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(data))]
+        code, number, length, times = code[order], number[order], length[order], times[order]
+        starts = _starts(np.concatenate(([True], code[1:] != code[:-1])), RUN)
+        cuts = np.append(starts, len(code))
+        steps = np.diff(number, prepend=0)
+        steps[starts] = 0
+        terms = coded.dictionary.take(pa.array(code[starts]))
+        return pa.RecordBatch.from_arrays([terms, pa.array(number[starts]), pa.array(np.diff(cuts)), *(_cut(x, cuts) for x in (steps, times, length)), _binary(data, np.append(0, np.cumsum(sizes))[cuts])], RUNS)
+
+    return rows.select("number", "length", "words").mapInArrow(run, "term string, first long, n long, numbers binary, counts binary, lengths binary, places binary")
 
 
 def _blocks(postings: DataFrame, mean: float) -> DataFrame:
-    """Blocks of postings that are sorted by bucket, term and number."""
+    """Blocks of runs of postings that are sorted by bucket, term and first number."""
     schema = "bucket int, term string, first long, last long, n int, most double, numbers binary, counts binary, lengths binary, places binary"
     names = [x.split()[0] for x in schema.split(", ")]
 
@@ -116,9 +188,7 @@ def _blocks(postings: DataFrame, mean: float) -> DataFrame:
             return None, t
         new = np.concatenate(([True], pc.not_equal(terms[1:], terms[:-1]).to_numpy(zero_copy_only=False))) if len(terms) > 1 else np.ones(1, bool)
         number, times, length = (t.column(c).to_numpy() for c in ("number", "times", "length"))
-        runs = np.flatnonzero(new)
-        at = np.arange(len(new)) - np.repeat(runs, np.diff(np.append(runs, len(new))))
-        starts = np.flatnonzero(at % BLOCK == 0)
+        starts = _starts(new, BLOCK)
         kept = len(starts) if whole else len(starts) - 1
         stop = len(new) if whole else int(starts[-1])
         rest = t.slice(stop)
@@ -129,28 +199,30 @@ def _blocks(postings: DataFrame, mean: float) -> DataFrame:
         gaps = np.diff(number[:stop], prepend=0)
         gaps[starts] = 0
         score = times[:stop] * (K1 + 1) / (times[:stop] + K1 * (1 - B + B * length[:stop] / mean))
+        cuts = np.append(starts, stop)
 
-        def cut(values: np.ndarray) -> list[bytes]:
-            data, upto = varints(values)
-            upto, raw = np.append(0, upto), data.tobytes()
-            return [raw[upto[i] : upto[j]] for i, j in zip(starts, ends)]
-
-        places = t.column("places").to_pylist()
+        places = t.column("places").chunk(0)
+        upto = np.frombuffer(places.buffers()[1], np.int32)[places.offset : places.offset + len(places) + 1][cuts]
+        data = np.frombuffer(places.buffers()[2], np.uint8)[upto[0] : upto[-1]]
         firsts = terms.take(pa.array(starts))
         arrays = [
             t.column("bucket").chunk(0).take(pa.array(starts)), firsts, pa.array(number[starts]), pa.array(number[ends - 1]), pa.array((ends - starts).astype(np.int32)),
-            pa.array(np.maximum.reduceat(score, starts)), *(pa.array(x, pa.binary()) for x in (cut(gaps), cut(times[:stop]), cut(length[:stop]), [b"".join(places[i:j]) for i, j in zip(starts, ends)])),
+            pa.array(np.maximum.reduceat(score, starts)), _cut(gaps, cuts), _cut(times[:stop], cuts), _cut(length[:stop], cuts), _binary(data, upto - upto[0]),
         ]
         return pa.RecordBatch.from_arrays(arrays, names), rest
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
         for b in batches:
-            if len(b):
-                t = pa.Table.from_batches([b])
+            upto = np.append(0, np.cumsum(b.column("n").to_numpy()))
+            i = 0
+            while i < len(b):
+                j = max(i + 1, int(np.searchsorted(upto, upto[i] + POSTINGS, "right")) - 1)
+                t = _unpacked(b.slice(i, j - i))
                 made, rest = packed(t if rest is None or not rest.num_rows else pa.concat_tables([rest, t]), False)
                 if made:
                     yield made
+                i = j
         if rest is not None and rest.num_rows:
             yield packed(rest, True)[0]
 
@@ -165,7 +237,7 @@ def build(units: DataFrame, text: str, path: str) -> Index:
     stats = rows.agg(F.count(F.lit(1)).alias("count"), F.coalesce(F.avg("length"), F.lit(0.0)).alias("mean"))
     stats.write.parquet(f"{path}/stats")
     mean = spark.read.parquet(f"{path}/stats").first()["mean"] or 1.0
-    dealt = _postings(rows).withColumn("bucket", (F.crc32("term") % BUCKETS).cast("int")).repartitionByRange("bucket", "term", "number").sortWithinPartitions("bucket", "term", "number")
+    dealt = _postings(rows).withColumn("bucket", (F.crc32("term") % BUCKETS).cast("int")).repartition("bucket", F.floor(F.col("first") / PIECE)).sortWithinPartitions("bucket", "term", "first")
     _blocks(dealt, mean).write.option("parquet.block.size", ROW_GROUP).partitionBy("bucket").parquet(f"{path}/blocks")
     return opened(spark, path)
 
@@ -189,17 +261,13 @@ def decoded(blocks: DataFrame, places: bool = False) -> DataFrame:
     use = ["term", "first", "n", "numbers", "counts", "lengths", *(["places"] if places else [])]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not len(b):
-                continue
+        for b in (x.slice(i, AT_ONCE) for x in batches for i in range(0, len(x), AT_ONCE)):
             n, first = b.column(2).to_numpy(), b.column(1).to_numpy()
-            gaps, times, length = (unvarints(np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8)) for c in (3, 4, 5))
-            starts = np.cumsum(n) - n
-            run_up = np.cumsum(gaps)
-            number = run_up - np.repeat(run_up[starts], n) + np.repeat(first, n)
+            gaps, times, length = (unvarints(_bytes(b.column(c))) for c in (3, 4, 5))
+            number = _numbers(gaps, first, n)
             arrays = [b.column(0).take(pa.array(np.repeat(np.arange(len(b)), n))), pa.array(number), pa.array(times), pa.array(length)]
             if places:
-                steps = unvarints(np.frombuffer(b"".join(b.column(6).to_pylist()), np.uint8))
+                steps = unvarints(_bytes(b.column(6)))
                 begin = np.cumsum(times) - times
                 up = np.cumsum(steps)
                 at = up - np.repeat(up[begin] - steps[begin], times)

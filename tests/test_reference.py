@@ -191,6 +191,16 @@ def test_a_job_is_done_once_and_compaction_yields(spark, tmp_path):
         commits.committed(spark, at, "late", 9, names)
 
 
+def test_parities_bound_the_difference_of_sets(spark):
+    draw = random.Random(8)
+    sets = [sorted({f"w{draw.randint(0, 400)}" for _ in range(n)}) for n in (0, 1, 5, 60, 300)]
+    sets += [sorted({*s, "one more"}) for s in sets]
+    rows = [list(r) for r in spark.createDataFrame([(s,) for s in sets], "words array<string>").coalesce(1).select(*retrieval.parities(F.col("words"))).collect()]
+    bits = lambda a, b: sum(bin((x ^ y) & (2**64 - 1)).count("1") for x, y in zip(a, b))
+    assert all(bits(a, b) <= len(set(s) ^ set(t)) for a, s in zip(rows, sets) for b, t in zip(rows, sets))
+    assert all(bits(rows[i], rows[i + 5]) == 1 for i in range(5)) and bits(rows[3], rows[4]) > 90
+
+
 def test_rows_of_a_batch_are_not_dealt_to_one_task(spark):
     at = lineage.place(spark, "log")
     log = memory.saved(a_log(spark, WRITES), at)

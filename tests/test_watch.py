@@ -9,7 +9,9 @@ import sys
 import time
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo
 
 import compare
 from tidemark.plans import reference
@@ -109,3 +111,61 @@ def test_a_stream_without_rows(spark, tmp_path):
 def test_streams_leave_their_state_in_the_shared_folder(spark, name):
     rows = getattr(reference, name)(spark, SF)
     assert rows.count() and all("/rows/part-" in x for x in rows.inputFiles())
+
+
+class Handle:
+    """State and timers of one key; counts how often it is asked."""
+
+    def __init__(self):
+        self.value, self.timers, self.asked = None, set(), 0
+
+    def getValueState(self, name, schema):
+        return self
+
+    def _ask(self, value=None):
+        self.asked += 1
+        return value
+
+    def exists(self):
+        return self._ask(self.value is not None)
+
+    def get(self):
+        return self._ask(self.value)
+
+    def update(self, value):
+        self.value = self._ask(value)
+
+    def clear(self):
+        self.value = self._ask()
+
+    def registerTimer(self, at):
+        self._ask(self.timers.add(at))
+
+    def deleteTimer(self, at):
+        self._ask(self.timers.remove(at))
+
+
+def looks_of(quiet, handle, *rows):
+    looks = watch.Looks(["key"], quiet)
+    looks.init(handle)
+    return looks, [(r.key, r.seq, r.at, r.found) for r in looks.handleInputRows(("a",), (Row(key="a", seq=s, at=at, digest=d) for s, at, d in rows), None)]
+
+
+def test_a_batch_asks_little_of_the_state():
+    handle = Handle()
+    assert looks_of(5000, handle, (3, 3000, "y"), (None, 3000, "y"), (1, 1000, "x"), (4, 9000, "y"))[1] == [
+        ("a", 1, 1000, "new"), ("a", 3, 3000, "changed"), ("a", None, 3000, "same"), ("a", None, 8000, "gone"), ("a", 4, 9000, "new"),
+    ]
+    assert handle.asked == 3 and handle.timers == {14}
+    assert looks_of(5000, handle, (5, 9001, "y"))[1] == [("a", 5, 9001, "same")]
+    assert handle.asked == 8 and handle.timers == {15}
+
+
+def test_a_timer_of_a_shorter_quiet_ends_no_key_too_early():
+    handle = Handle()
+    looks_of(5000, handle, (1, 1000, "x"))
+    longer = watch.Looks(["key"], 9000)
+    longer.init(handle)
+    assert list(longer.handleExpiredTimer(("a",), None, ExpiredTimerInfo(6))) == [] and handle.value and 10 in handle.timers
+    assert [(r.seq, r.at, r.found) for r in longer.handleExpiredTimer(("a",), None, ExpiredTimerInfo(10))] == [(None, 10000, "gone")]
+    assert list(longer.handleExpiredTimer(("a",), None, ExpiredTimerInfo(11))) == []

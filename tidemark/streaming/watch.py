@@ -8,51 +8,61 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State is in RocksDB; Spark doesn't count its rows, as it would look up each key once more for that.
+STATE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false"}
 
 
 class Looks(StatefulProcessor):
-    """Of each key the digest and the time of the last look; a timer ends it when there was no look for quiet microseconds."""
+    """Of each key the digest and the time of the last look; a timer ends it when there was no look for quiet microseconds.
+
+    Takes and gives rows, not pandas frames, and asks the state as little as it can: most keys have few looks in a batch, so what is done once a key is what a batch costs.
+    """
 
     def __init__(self, keys: list[str], quiet: int):
-        self.keys, self.quiet = keys, quiet
+        self.row, self.quiet = Row(*keys, "seq", "at", "found"), quiet
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.last = handle.getValueState("last", "digest string, at long")
 
-    def _rows(self, key: tuple, found: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame([(*key, *x) for x in found], columns=[*self.keys, "seq", "at", "found"]).astype({"seq": "Int64", "at": "int64"})
+    def _due(self, at: int) -> int:
+        """When the timer of a key that was last looked at then goes off, in milliseconds."""
+        return -(-(at + self.quiet) // 1000)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["at", "seq"], kind="stable")  # a key's rows of one batch
-        before = self.last.get() if self.last.exists() else None
-        digest, at = (before[0], before[1]) if before else (None, None)
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        batch = sorted(((r["at"], r["seq"] is None, r["seq"], r["digest"]) for r in rows), key=lambda x: (x[0], x[1], x[2] or 0))  # a key's rows of one batch
+        digest, at = self.last.get() if self.last.exists() else (None, None)
+        timer = None if at is None else self._due(at)
         found = []
-        for seq, now, new in zip(batch["seq"].tolist(), batch["at"].tolist(), batch["digest"].tolist()):
+        for now, _, seq, new in batch:
             if at is not None and now - at > self.quiet:
-                found.append((None, at + self.quiet, "gone"))
+                found.append(self.row(*key, None, at + self.quiet, "gone"))
                 digest = None
-            found.append((seq, now, "new" if digest is None else "same" if digest == new else "changed"))
+            found.append(self.row(*key, seq, now, "new" if digest is None else "same" if digest == new else "changed"))
             digest, at = new, now
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(-(-(at + self.quiet) // 1000))
+        if timer != self._due(at):
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(self._due(at))
         self.last.update((digest, at))
-        yield self._rows(key, found)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        at = self.last.get()[1]
+        yield from found
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        last = self.last.get()
+        if last is None:
+            return
+        at = last[1]
+        if expiredTimerInfo.getExpiryTimeInMs() < self._due(at):  # left from a shorter quiet, before a restart
+            self.handle.registerTimer(self._due(at))
+            return
         self.last.clear()
-        yield self._rows(key, [(None, at + self.quiet, "gone")])
+        yield self.row(*key, None, at + self.quiet, "gone")
 
     def close(self) -> None:
         pass
@@ -70,19 +80,21 @@ def watched(looks: DataFrame, key: list[str], at: str, seq: str, content: Column
     time = F.col(at).cast("timestamp")
     rows = looks.select(*key, F.col(seq).cast("long").alias("seq"), F.unix_micros(time).alias("at"), digest.alias("digest"), time.alias("event_time")).withWatermark("event_time", late)
     schema = T.StructType([*(rows.schema[k] for k in key), *T.StructType.fromDDL("seq long, at long, found string").fields])
-    found = rows.groupBy(*key).transformWithStateInPandas(Looks(key, micros), schema, "append", "eventTime")
+    found = rows.groupBy(*key).transformWithState(Looks(key, micros), schema, "append", "eventTime")
     return found.select(*key, "seq", F.timestamp_micros("at").cast("timestamp_ntz").alias("at"), "found")
 
 
 def started(stream: DataFrame, place: str, **options: str) -> StreamingQuery:
     """Starts a stream that appends to place/rows and keeps its offsets and state in place/checkpoint, until it has read all there is. Over a place in use it goes on from there."""
     conf = stream.sparkSession.conf
-    before = conf.get(PROVIDER, None)
-    conf.set(PROVIDER, ROCKSDB)
+    before = {k: conf.get(k, None) for k in STATE}
+    for k, v in STATE.items():
+        conf.set(k, v)
     try:
         return stream.writeStream.format("parquet").option("path", f"{place}/rows").option("checkpointLocation", f"{place}/checkpoint").options(**options).outputMode("append").trigger(availableNow=True).start()
     finally:
-        conf.set(PROVIDER, before) if before else conf.unset(PROVIDER)
+        for k, v in before.items():
+            conf.set(k, v) if v else conf.unset(k)
 
 
 def results(spark: SparkSession, place: str, schema: T.StructType) -> DataFrame:

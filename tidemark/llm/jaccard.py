@@ -36,6 +36,9 @@ MESSAGE_BYTES = 2 << 20
 BLOCK_BYTES = 32 << 20
 LEFT_ROWS = 128
 TILE_ENTRIES = 1 << 21
+#: Ranges of a block's columns that are sorted one after the other, and products of a tile that are added up at a time.
+SLICES = 8
+PRODUCTS = 1 << 20
 #: Right rows of a tile; rows of a column that a task compares at a time, pairs and bytes that it holds meanwhile.
 TILE_ROWS = 1 << 13
 PIECE_ROWS = 1024
@@ -126,37 +129,55 @@ def _packed(column: pa.ChunkedArray, kind: type) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, kind)
 
 
+def _several(parts: list[np.ndarray], own: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Columns, rows and rarities of the entries in parts whose column has several rows, sorted by column and row. Of SLICES ranges of columns one at a time is copied and sorted."""
+    least, most = (int(f(f(x) for x in parts if len(x))) if any(map(len, parts)) else 0 for f in (min, max))
+    step = (most - least) // SLICES + 1
+    begins, upto = np.cumsum([0, *map(len, parts)]), np.cumsum(counts, dtype=np.int64)
+    found = [(np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int8))]
+    for k in range(SLICES):
+        low, high = np.uint64(least + k * step), np.uint64(min(least + (k + 1) * step - 1, (1 << 64) - 1))
+        at = [np.flatnonzero((x >= low) & (x <= high)) for x in parts] if least + k * step <= most else []
+        if not any(map(len, at)):
+            continue
+        grams = np.concatenate([x[i] for x, i in zip(parts, at)])
+        row = own[np.searchsorted(upto, np.concatenate([i + b for i, b in zip(at, begins)]), "right")]
+        order = np.argsort(grams, kind="stable")
+        grams, row = grams[order], row[order]
+        head = np.concatenate(([True], grams[1:] != grams[:-1]))
+        several = ~(head & np.concatenate((head[1:], [True])))
+        grams, row = grams[several], row[several]  # columns that came more than once, perhaps from copies in other batches
+        order = np.lexsort((row, grams))
+        grams, row = grams[order], row[order]
+        new = np.ones(len(grams), bool)
+        new[1:] = (grams[1:] != grams[:-1]) | (row[1:] != row[:-1])
+        grams, row = grams[new], row[new]
+        head = np.flatnonzero(np.concatenate(([True], grams[1:] != grams[:-1]))) if len(grams) else np.zeros(0, int)
+        df = np.diff(np.concatenate((head, [len(grams)])))
+        keep = np.repeat(df > 1, df)
+        found.append((grams[keep], row[keep], np.repeat(np.minimum(8 * np.log2(np.maximum(df, 1)), 127).astype(np.int8), df)[keep]))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
 def _shared(t: pa.Table, buckets: int) -> pa.Table:
     """Of one block of columns: for each row its columns that another row has too, and the rarity of each (log2 of its rows); packed by buckets of rows."""
-    cls, size, counts, grams = _packed(t["classes"], np.uint64), _packed(t["sizes"], np.uint32), _packed(t["counts"], np.uint32), _packed(t["grams"], np.uint64)
-    names, first, row = np.unique(cls, return_index=True, return_inverse=True)
-    size = size[first]
-    row = np.repeat(row.astype(np.int32), counts)
-    order = np.argsort(grams, kind="stable")
-    grams, row = grams[order], row[order]
-    head = np.concatenate(([True], grams[1:] != grams[:-1])) if len(grams) else np.zeros(0, bool)
-    several = ~(head & np.concatenate((head[1:], [True]))) if len(grams) else head
-    grams, row = grams[several], row[several]  # columns that came more than once, perhaps from copies in other batches
-    order = np.lexsort((row, grams))
-    grams, row = grams[order], row[order]
-    new = np.ones(len(grams), bool)
-    new[1:] = (grams[1:] != grams[:-1]) | (row[1:] != row[:-1])
-    grams, row = grams[new], row[new]
-    head = np.flatnonzero(np.concatenate(([True], grams[1:] != grams[:-1]))) if len(grams) else np.zeros(0, int)
-    df = np.diff(np.concatenate((head, [len(grams)])))
-    rarity = np.repeat(np.minimum(8 * np.log2(np.maximum(df, 1)), 127).astype(np.int8), df)
-    keep = np.repeat(df > 1, df)
-    grams, row, rarity = grams[keep], row[keep], rarity[keep]
-    bucket = _bucket(names, buckets)[row]
-    order = np.lexsort((row, bucket))
-    grams, row, rarity, bucket = grams[order], row[order], rarity[order], bucket[order]
-    cut = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True]))) if len(row) else np.zeros(1, int)
+    cls, size, counts = _packed(t["classes"], np.uint64), _packed(t["sizes"], np.uint32), _packed(t["counts"], np.uint32)
+    names, first, own = np.unique(cls, return_index=True, return_inverse=True)
+    size, own = size[first], own.astype(np.int32)
+    grams, row, rarity = _several([np.frombuffer(x.as_buffer(), np.uint64) for chunk in t["grams"].chunks for x in chunk], own, counts)
+    bucket = _bucket(names, buckets)
+    dealt = np.argsort(bucket, kind="stable")  # rows by bucket
+    key = np.zeros(len(names), np.int32)
+    key[dealt] = np.arange(len(names))
+    order = np.argsort(key[row], kind="stable")
+    upto = np.cumsum(np.bincount(bucket[row], minlength=buckets)) if len(row) else np.zeros(buckets, int)
     out = []
-    for x, y in zip(cut[:-1], cut[1:]):
-        new = np.flatnonzero(np.concatenate(([True], row[x + 1 : y] != row[x : y - 1])))
-        at = row[x:y][new]
-        counts = np.diff(np.concatenate((new, [y - x])))
-        out.append((int(bucket[x]), names[at].tobytes(), size[at].astype(np.uint32).tobytes(), counts.astype(np.uint32).tobytes(), grams[x:y].tobytes(), rarity[x:y].tobytes()))
+    for k in np.flatnonzero(np.diff(upto, prepend=0)).tolist():
+        here = order[upto[k - 1] if k else 0 : upto[k]]
+        at = row[here]
+        new = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+        at, n = at[new], np.diff(np.concatenate((new, [len(here)])))
+        out.append((k, names[at].tobytes(), size[at].astype(np.uint32).tobytes(), n.astype(np.uint32).tobytes(), grams[here].tobytes(), rarity[here].tobytes()))
     columns = list(zip(*out)) or [()] * 6
     return pa.table({k: pa.array(c, pa.int32() if k == "bucket" else pa.binary()) for k, c in zip(("bucket", "classes", "sizes", "counts", "grams", "rarities"), columns)})
 
@@ -215,9 +236,11 @@ def incidence(docs: DataFrame, text: str, blocks: int, n: int = N, percent: int
     the one above, the first n_below for the one below; parity folds the columns."""
 
     def shared(t: pa.Table) -> pa.Table:
+        words.release()
         return _shared(t, blocks)
 
     def rows(t: pa.Table) -> pa.Table:
+        words.release()
         return _rows(t, percent)
 
     found = column_blocks(docs, text, blocks, n).groupBy("block").applyInArrow(shared, "bucket int, classes binary, sizes binary, counts binary, grams binary, rarities binary")
@@ -242,11 +265,10 @@ def _tile(left: pa.Table, right: pa.Table, percent: int) -> pa.Table:
     low, high = np.searchsorted(lg, rg, "left"), np.searchsorted(lg, rg, "right")
     overlap = np.zeros(len(rc) * len(lc), np.int32)
     right_row, times = np.repeat(np.arange(len(rc)), rn), high - low
-    step = 1 << 22
     ends = np.cumsum(times)
     a = 0
-    while a < len(times):  # as many entries of the right block as give about step products
-        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + step, "right")))
+    while a < len(times):  # as many entries of the right block as give about PRODUCTS products
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + PRODUCTS, "right")))
         t = times[a:b]
         at = np.repeat(low[a:b] - (np.cumsum(t) - t), t) + np.arange(int(t.sum()))
         overlap += np.bincount(np.repeat(right_row[a:b], t) * len(lc) + row[at], minlength=len(overlap)).astype(np.int32)

@@ -95,7 +95,15 @@ class Group:
         return len(self.bounds) - 1
 
     def hashes(self, lower: bool = True) -> np.ndarray:
-        return Spans(LOWER[self.data] if lower else self.data).hash(self.start, self.end)
+        """A hash of each word, the same wherever it stands; running sums are over about GROUP bytes at a time."""
+        out, a = np.zeros(len(self.start), np.uint64), 0
+        while a < len(out):
+            x = self.start[a]
+            b = max(a + 1, int(np.searchsorted(self.end, x + GROUP, "right")))
+            data = self.data[x : self.end[b - 1]]
+            out[a:b] = Spans(LOWER[data] if lower else data).hash(self.start[a:b] - x, self.end[a:b] - x)
+            a = b
+        return out
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

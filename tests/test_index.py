@@ -67,6 +67,25 @@ def test_a_task_takes_few_words_and_postings_at_a_time(spark, monkeypatch):
     assert sorted(r.times for r in index.phrase(kept, ["w0", "w1"]).collect()) == sorted(x for x in times if x)
 
 
+@pytest.fixture
+def large(spark, monkeypatch):
+    """How many batches of several rows that go to Python have over a limit of bytes."""
+    count, limit, kind = spark.sparkContext.accumulator(0), 400_000, type(spark.range(1))
+    whole = kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, f, *a, **k: whole(self, lambda bs: f((count.add(int(b.nbytes > limit and len(b) > 1)), b)[1] for b in bs), *a, **k))
+    return count
+
+
+def test_a_batch_has_bounded_bytes_of_long_texts(spark, monkeypatch, large):
+    monkeypatch.setattr(index, "BATCH_BYTES", 200_000, raising=False)
+    df = spark.range(0, 300, 1, 1).select("id", F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(3000)), lambda i: F.concat(F.lit("w"), (i * F.col("id")) % 997))).alias("text"))
+    kept = index.build(df, "text", place(spark, "index"))
+    assert large.value == 0
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None
+    want = sorted((r.id, r.score) for r in retrieval.bm25(df, "text", ["w0", "w7"]).collect())
+    assert sorted((r.id, r.score) for r in index.search(kept, ["w0", "w7"]).collect()) == want
+
+
 def test_index_of_nothing(spark):
     kept = index.build(spark.createDataFrame([], "id long, text string"), "text", place(spark, "index"))
     assert index.search(kept, ["a"]).count() == index.best(kept, ["a"], 3, "id").count() == index.phrase(kept, ["a", "b"]).count() == 0

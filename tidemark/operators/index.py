@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import reduce
 
@@ -32,6 +33,8 @@ FIRST = 4
 ROW_GROUP = 1 << 20
 #: Words of whole texts (one at least), and blocks, that a task has in numpy at a time, however many a batch brings.
 WORDS, AT_ONCE = 1 << 18, 256
+#: Bytes of a batch that goes to Python while an index is built (a row at least). Rows alone (10,000) bound nothing, as texts and runs have any length.
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 1 << 24
 #: Postings of a term that go to the sort as one row, and postings that a task makes blocks of at a time.
 RUN, POSTINGS = 512, 1 << 16
 #: Units whose postings of a bucket go to one task. Ranges of terms would have to be sampled, so all postings would be made twice.
@@ -229,6 +232,19 @@ def _blocks(postings: DataFrame, mean: float) -> DataFrame:
     return postings.mapInArrow(run, schema)
 
 
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Batches of BATCH_BYTES for what is computed within, unless the session bounds them already."""
+    before = spark.conf.get(BATCH, None)
+    if before is None:
+        spark.conf.set(BATCH, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(BATCH)
+
+
 def build(units: DataFrame, text: str, path: str) -> Index:
     """Writes the index of units by their text to path, a folder in the shared folder, and opens it. Other columns are kept; null texts have no words."""
     spark = units.sparkSession
@@ -238,7 +254,8 @@ def build(units: DataFrame, text: str, path: str) -> Index:
     stats.write.parquet(f"{path}/stats")
     mean = spark.read.parquet(f"{path}/stats").first()["mean"] or 1.0
     dealt = _postings(rows).withColumn("bucket", (F.crc32("term") % BUCKETS).cast("int")).repartition("bucket", F.floor(F.col("first") / PIECE)).sortWithinPartitions("bucket", "term", "first")
-    _blocks(dealt, mean).write.option("parquet.block.size", ROW_GROUP).partitionBy("bucket").parquet(f"{path}/blocks")
+    with _small_batches(spark):
+        _blocks(dealt, mean).write.option("parquet.block.size", ROW_GROUP).partitionBy("bucket").parquet(f"{path}/blocks")
     return opened(spark, path)
 
 

@@ -86,6 +86,15 @@ def test_a_batch_has_bounded_bytes_of_long_texts(spark, monkeypatch, large):
     assert sorted((r.id, r.score) for r in index.search(kept, ["w0", "w7"]).collect()) == want
 
 
+def test_a_block_has_bounded_bytes_of_places_of_long_texts(spark):
+    df = spark.range(0, 400, 1, 1).select("id", F.concat(F.repeat(F.lit("hot "), 3000), F.lit("w "), F.col("id")).alias("text"))
+    kept = index.build(df, "text", place(spark, "index"))
+    longest = kept.blocks.agg(F.max(F.octet_length("places")).alias("n"), F.sum(F.when(F.col("term") == "hot", F.col("n"))).alias("units")).first()
+    assert longest.n <= 8192 + 3000 and longest.units == 400
+    assert sorted((r.id, r.times) for r in index.phrase(kept, ["hot", "hot", "w"]).collect()) == [(i, 1) for i in range(400)]
+    assert sorted((r.id, r.times) for r in index.phrase(kept, ["hot", "hot"]).collect()) == [(i, 2999) for i in range(400)]
+
+
 def test_index_of_nothing(spark):
     kept = index.build(spark.createDataFrame([], "id long, text string"), "text", place(spark, "index"))
     assert index.search(kept, ["a"]).count() == index.best(kept, ["a"], 3, "id").count() == index.phrase(kept, ["a", "b"]).count() == 0

@@ -29,6 +29,8 @@ BLOCK, BUCKETS = 128, 64
 SPAN = 1024
 #: Highest blocks that are read first, as a multiple of the results asked for.
 FIRST = 4
+#: Bytes of the places of a block, one unit's beyond that, so blocks of long texts have fewer units.
+PLACES = 1 << 13
 #: Bytes of a row group: rows of other terms in the same file are skipped by these.
 ROW_GROUP = 1 << 20
 #: Words of whole texts (one at least), and blocks, that a task has in numpy at a time, however many a batch brings.
@@ -191,6 +193,9 @@ def _blocks(postings: DataFrame, mean: float) -> DataFrame:
             return None, t
         new = np.concatenate(([True], pc.not_equal(terms[1:], terms[:-1]).to_numpy(zero_copy_only=False))) if len(terms) > 1 else np.ones(1, bool)
         number, times, length = (t.column(c).to_numpy() for c in ("number", "times", "length"))
+        places = t.column("places").chunk(0)
+        offsets = np.frombuffer(places.buffers()[1], np.int32)[places.offset : places.offset + len(places) + 1]
+        new[1:] |= np.diff((offsets[1:] - offsets[0]) // PLACES) > 0
         starts = _starts(new, BLOCK)
         kept = len(starts) if whole else len(starts) - 1
         stop = len(new) if whole else int(starts[-1])
@@ -204,8 +209,7 @@ def _blocks(postings: DataFrame, mean: float) -> DataFrame:
         score = times[:stop] * (K1 + 1) / (times[:stop] + K1 * (1 - B + B * length[:stop] / mean))
         cuts = np.append(starts, stop)
 
-        places = t.column("places").chunk(0)
-        upto = np.frombuffer(places.buffers()[1], np.int32)[places.offset : places.offset + len(places) + 1][cuts]
+        upto = offsets[cuts]
         data = np.frombuffer(places.buffers()[2], np.uint8)[upto[0] : upto[-1]]
         firsts = terms.take(pa.array(starts))
         arrays = [

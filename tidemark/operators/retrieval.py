@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import times_of, tokens
+from ..functions.text import BREAKS, times_of, tokens
 from ..plans.lineage import stored
 
 K1, B = 1.2, 0.75
-#: Rare words that two results of nearly the same words have in common, at least.
-SHARED = 3
 #: Longs of the parities by which pairs of sets are ruled out.
 PARITIES = 8
 
@@ -91,34 +90,19 @@ def parities(words: Column) -> list[Column]:
     return [F.aggregate(values, F.lit(0).cast("long"), bit(k)).alias(f"p{k}") for k in range(PARITIES)]
 
 
-def merged(results: DataFrame, key: str, text: str, percent: int = 75) -> DataFrame:
+def having(units: DataFrame, text: str, terms: list[str]) -> DataFrame:
+    """The rows that bm25 gives a score, with their text: those that have any of the terms (lower-case words)."""
+    inner = BREAKS.removesuffix("+")
+    return units.where(F.lower(F.col(text)).rlike(f"(?:^|{inner})(?:{'|'.join(map(re.escape, terms))})(?:{inner}|\\z)"))
+
+
+def merged(results: DataFrame, key: str, text: str, percent: int = 75, texts: DataFrame | None = None) -> DataFrame:
     """Ranked results (key, rank, text; ranks differ) without those that have a better ranked one of nearly the same words, at any distance in rank.
 
-    Of equal sets of words the best ranked is compared on behalf of all. Sets that are alike to percent share SHARED words, or all that they
-    share, among the rarest 100 - percent in a hundred and SHARED more of each; what they can share beyond the last of these is bounded by what
-    is left of either set. Only pairs that can reach the bound by it are compared. Pairs whose parities differ in more bits than their sets may in words are ruled
-    out where they meet, before anything is written of them, so what is shuffled grows with the results and the pairs that are alike.
+    texts: where the texts are if results don't have them, rows of key and text, so that texts needn't be shuffled to their ranks.
     """
-    sets = results.select("rank", F.array_sort(F.array_distinct(tokens(F.col(text)))).alias("set"))
-    best = sets.groupBy(F.sha2(F.array_join("set", " "), 256).alias("digest")).agg(F.min("rank").alias("rank"), F.any_value("set").alias("set"))
-    bits = [f"p{k}" for k in range(PARITIES)]
-    best = stored(best.select("rank", "set", F.size("set").alias("n"), *parities(F.col("set"))), "sets")
-    words = best.select("rank", "n", F.explode("set").alias("word"))
-    counted = words.join(words.groupBy("word").agg(F.count(F.lit(1)).alias("in_sets")), "word")
-    place = F.row_number().over(Window.partitionBy("rank").orderBy("in_sets", "word"))
-    rare = stored(counted.withColumn("place", place).where(100 * (F.col("place") - SHARED) <= (100 - percent) * F.col("n")).select("rank", "n", "word", "place"), "rare")
-    rare = rare.join(best.select("rank", *bits), "rank")
-    a, b = rare.alias("a"), rare.alias("b")
-    near = 100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n")
-    differ = reduce(lambda x, y: x + y, (F.bit_count(F.col(f"a.{p}").bitwiseXOR(F.col(f"b.{p}"))) for p in bits))
-    both = F.col("a.n") + F.col("b.n")
-    may = differ <= both - 2 * F.ceil(percent * both / (100 + percent))
-    met = a.join(b, (F.col("a.word") == F.col("b.word")) & (F.col("a.rank") > F.col("b.rank")) & near & may)
-    met = met.groupBy("a.rank", F.col("b.rank").alias("better"), "a.n", F.col("b.n").alias("m")).agg(F.count(F.lit(1)).alias("common"), F.max("a.place").alias("i"), F.max("b.place").alias("j"))
-    need = F.ceil(percent * (F.col("n") + F.col("m")) / (100 + percent))
-    can = (F.col("common") >= F.least(F.lit(SHARED), need)) & (F.col("common") + F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) >= need)
-    pairs = met.where(can).select("rank", "better")
-    sides = pairs.join(best.drop(*bits), "rank").join(best.select(F.col("rank").alias("better"), F.col("set").alias("other"), F.col("n").alias("m")), "better")
-    common = F.size(F.array_intersect("set", "other"))
-    worse = sides.where(100 * common >= percent * (F.col("n") + F.col("m") - common)).select("rank").distinct()
-    return results.join(best.select("rank").join(worse, "rank", "left_anti"), "rank", "left_semi")
+    from .alike import unlike  # imports index, which imports this
+
+    if texts is not None:
+        return unlike(results, texts, key, text, percent)
+    return unlike(results, results.select("rank", text), "rank", text, percent)

@@ -33,8 +33,8 @@ WORDS, ROWS = 1 << 20, 1 << 19
 GROUP = 1 << 22
 #: Words whose frequency is known in the order of words, at most; others are rarer than each of them.
 FREQUENT = 1 << 18
-#: Pairs that a task looks at in one step.
-MEETS = 1 << 20
+#: First words, and pairs by them, that a task looks at in one step, and bytes of parities.
+MEETS, STEP_BYTES = 1 << 17, 1 << 23
 #: The least bits of parities.
 BITS = 512
 #: Bits of a size and of a place in the order of words, within an item's key. Larger sizes count as the largest.
@@ -238,29 +238,31 @@ def _read(path: str, segments: list[tuple], percent: int) -> Group:
     """The sets of segments (file, band, offset in bytes, first row, rows, words, items) that are compared."""
     fs, at = _opened(path)
     parts: list[list[np.ndarray]] = []
-    total = 0
+    all_words, total, upto = np.empty(sum(s[5] for s in segments), np.uint64), 0, 0
     for k, (file, band, offset, base, rows, words, items) in enumerate(segments):
         with fs.open_input_file(f"{at}/{file}.ranks") as f:
             kept, best = np.frombuffer(f.read(), np.int64).reshape(2, -1)
         a, b = np.searchsorted(kept, (base, base + rows))
-        kept, best = kept[a:b] - base, best[a:b]
+        kept, best = kept[a:b] - base, best[a:b].copy()
         longs = bits_of(band, percent) // 64
+        sizes = _sizes(rows, words, items, longs)
         with fs.open_input_file(f"{at}/{file}") as f:
             f.seek(offset)
-            data = f.read(sum(_sizes(rows, words, items, longs)))
-        ends = np.cumsum(_sizes(rows, words, items, longs))
-        n, w, par, keys, of, places = (np.frombuffer(data, kind, count=(e - s) // np.dtype(kind).itemsize, offset=s) for kind, s, e in zip((np.int64, np.uint64, np.uint64, np.uint64, np.int32, np.int32), np.append(0, ends), ends))
-        new = np.full(rows, -1, np.int64)
-        new[kept] = np.arange(len(kept)) + total
+            data = f.read(sum(sizes))
+        starts = np.cumsum(sizes) - sizes
+        n, w, par, keys, of, places = (np.frombuffer(data, kind, size // np.dtype(kind).itemsize, at) for kind, size, at in zip((np.int64, np.uint64, np.uint64, np.uint64, np.int32, np.int32), sizes, starts.tolist()))
+        new = np.full(rows, -1, np.int32)
+        new[kept] = np.arange(total, total + len(kept))
         in_kept = new >= 0
-        item = in_kept[of]
-        parts.append([np.full(len(kept), k), kept + base, best, n[in_kept], w[np.repeat(in_kept, n)], par.reshape(rows, longs)[in_kept], keys[item], new[of[item]], places[item].astype(np.int64)])
-        total += len(kept)
-    file, row, best, n, w, par, keys, of, places = (np.concatenate(x) for x in zip(*parts))
+        w, item = w[np.repeat(in_kept, n)], in_kept[of]
+        all_words[upto : upto + len(w)] = w
+        parts.append([np.full(len(kept), k, np.int32), kept + base, best, n[in_kept], par.reshape(rows, longs)[in_kept], keys[item], new[of[item]], places[item]])
+        total, upto = total + len(kept), upto + len(w)
+    file, row, best, n, par, keys, of, places = (np.concatenate(x) for x in zip(*parts))
     if len(parts) > 1:
         by = np.argsort(keys)
         keys, of, places = keys[by], of[by], places[by]
-    return Group(file, row, best, n, np.cumsum(n) - n, w, par, keys, of, places, np.ones(len(n), bool))
+    return Group(file, row, best, n, np.cumsum(n) - n, all_words[:upto], par, keys, of, places, np.ones(len(n), bool))
 
 
 def _sizes(rows: int, words: int, items: int, longs: int) -> list[int]:
@@ -268,14 +270,16 @@ def _sizes(rows: int, words: int, items: int, longs: int) -> list[int]:
     return [8 * rows, 8 * words, 8 * longs * rows, 8 * items, 4 * items, 4 * items]
 
 
-def _alike(a: Group, b: Group, pairs: np.ndarray, pa_: np.ndarray, pb: np.ndarray, percent: int) -> None:
-    """Of pairs (row of a times rows of b, and row of b) compares those that parities don't rule out, and closes rows of a that are alike to one."""
-    pairs = np.unique(pairs)
-    x, y = np.divmod(pairs, len(b.n))
-    n, m = a.n[x], b.n[y]
-    differ = np.bitwise_count(pa_[x] ^ pb[y]).sum(1, dtype=np.int64)
-    may = differ <= n + m - 2 * needed(n, m, percent)
-    x, y = x[may], y[may]
+def _alike(a: Group, b: Group, x: np.ndarray, y: np.ndarray, pa_: np.ndarray, pb: np.ndarray, percent: int) -> None:
+    """Compares those of the pairs of rows x of a and y of b that parities don't rule out, and closes rows of a that are alike to one."""
+    step, left = max(1, STEP_BYTES // (8 * pa_.shape[1])), []
+    for s in range(0, len(x), step):
+        x_, y_ = x[s : s + step], y[s : s + step]
+        both = a.n[x_] + b.n[y_]
+        differ = np.bitwise_count(pa_[x_] ^ pb[y_]).sum(1, dtype=np.int64)
+        may = differ <= both - 2 * needed(both, 0, percent)
+        left.append(x_[may].astype(np.int64) * len(b.n) + y_[may])
+    x, y = np.divmod(np.unique(np.concatenate([np.zeros(0, np.int64), *left])), len(b.n))
     by = np.lexsort((b.best[y], x))
     for i, j in zip(x[by].tolist(), y[by].tolist()):
         if a.open[i]:
@@ -294,36 +298,36 @@ def compare(a: Group, b: Group, percent: int, step: int) -> None:
     # the best ranked row of each word
     codes = b.keys >> np.uint64(SIZE)
     new = np.flatnonzero(np.append(True, codes[1:] != codes[:-1]))
-    by_rank = np.argsort(b.best, kind="stable")
-    order = np.empty(len(by_rank), np.int64)
+    by_rank = np.argsort(b.best, kind="stable").astype(np.int32)
+    order = np.empty(len(by_rank), np.int32)
     order[by_rank] = np.arange(len(by_rank))
     hubs, codes = by_rank[np.minimum.reduceat(order[b.of], new)], codes[new]
-    own = a.keys >> np.uint64(SIZE)
-    at = np.minimum(np.searchsorted(codes, own), len(codes) - 1)
-    for s in range(0, len(own), step):
-        t = slice(s, s + step)
-        x, y = a.of[t], hubs[at[t]]
-        n, m = a.n[x], b.n[y]
-        can = (codes[at[t]] == own[t]) & a.open[x] & (b.best[y] < a.best[x]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
-        _alike(a, b, x[can] * len(b.n) + y[can], pa_, pb, percent)
+    for s in range(0, len(a.keys), step):
+        own, x = a.keys[s : s + step] >> np.uint64(SIZE), a.of[s : s + step]
+        at = np.minimum(np.searchsorted(codes, own), len(codes) - 1)
+        y = hubs[at]
+        can = (codes[at] == own) & a.open[x] & (b.best[y] < a.best[x])
+        x, y = x[can], y[can]
+        can = 100 * np.minimum(a.n[x], b.n[y]) >= percent * np.maximum(a.n[x], b.n[y])
+        _alike(a, b, x[can], y[can], pa_, pb, percent)
+    del codes, new, hubs
     # all pairs of those that are left
-    item = np.flatnonzero(a.open[a.of])
-    n, own = a.n[a.of[item]], own[item] << np.uint64(SIZE)
-    least, most = -(-percent * n // 100), (100 + percent) * (n - a.places[item] + 1) // percent - n
-    low = np.searchsorted(b.keys, own | np.minimum(least, LARGEST).astype(np.uint64))
-    high = np.searchsorted(b.keys, own | np.clip(most, 0, LARGEST).astype(np.uint64), "right")
-    item, low, many = item[high > low], low[high > low], (high - low)[high > low]
-    upto = np.append(0, np.cumsum(many))
-    s = 0
-    while s < len(item):
-        e = max(s + 1, int(np.searchsorted(upto, upto[s] + step, "right")) - 1)
-        left = np.flatnonzero(a.open[a.of[item[s:e]]]) + s
-        t = np.repeat(left, many[left])
-        y = b.of[(k := np.arange(len(t)) - np.repeat(np.cumsum(many[left]) - many[left], many[left]) + low[t])]
-        x = a.of[item[t]]
-        can = (b.best[y] < a.best[x]) & (b.n[y] - b.places[k] + 1 >= needed(a.n[x], b.n[y], percent))
-        _alike(a, b, x[can] * len(b.n) + y[can], pa_, pb, percent)
-        s = e
+    for s in range(0, len(a.keys), step):
+        item = np.flatnonzero(a.open[a.of[s : s + step]]) + s
+        n, own = a.n[a.of[item]], a.keys[item] >> np.uint64(SIZE) << np.uint64(SIZE)
+        least, most = -(-percent * n // 100), (100 + percent) * (n - a.places[item] + 1) // percent - n
+        low = np.searchsorted(b.keys, own | np.minimum(least, LARGEST).astype(np.uint64))
+        high = np.searchsorted(b.keys, own | np.clip(most, 0, LARGEST).astype(np.uint64), "right")
+        item, low, many = item[high > low], low[high > low], (high - low)[high > low]
+        upto, e = np.append(0, np.cumsum(many)), 0
+        while e < len(item):
+            f, e = e, max(e + 1, int(np.searchsorted(upto, upto[e] + step, "right")) - 1)
+            left = np.flatnonzero(a.open[a.of[item[f:e]]]) + f
+            t = np.repeat(left, many[left])
+            k = np.arange(len(t)) - np.repeat(np.cumsum(many[left]) - many[left], many[left]) + low[t]
+            x, y = a.of[item[t]], b.of[k]
+            can = (b.best[y] < a.best[x]) & (b.n[y] - b.places[k] + 1 >= needed(a.n[x], b.n[y], percent))
+            _alike(a, b, x[can], y[can], pa_, pb, percent)
 
 
 def _tiles(path: str, groups: list[list[tuple]], tasks: list[list[tuple[int, int]]], percent: int, step: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
